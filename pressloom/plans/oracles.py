@@ -119,7 +119,7 @@ RAW = """raw AS (
          WHEN doc_id % 5 = 3 THEN strftime(date, '%Y-%m-%d') || 'T00:00:00'
          ELSE 'N/A' END AS raw_date,
     CASE WHEN date IS NOT NULL AND doc_id % 5 <> 4 THEN date END AS date,
-    CASE WHEN doc_id % 89 = 0 THEN '  ' ELSE ' <b>' || headline || '</b>' || chr(9) || ' ' END AS headline,
+    CASE WHEN doc_id % 89 = 0 THEN '  ' ELSE ' <b>' || headline || '</b>' || chr(9) || chr(160) END AS headline,
     '<p class="x">' || description || '</p> &amp; "end"' AS description,
     coalesce(covid_status, 'NA') AS covid_status, image_url, source, coalesce(sentiment, '') AS sentiment
   FROM articles)"""
@@ -265,7 +265,7 @@ SCORED = (
     PAIR_TOKENS,
     overlap_f1("r1", "pair_tokens", UNIGRAMS),
     overlap_f1("r2", "pair_tokens", BIGRAMS),
-    f"""scored AS (SELECT p.*, {rnd('r1.f1')} AS rouge1, {rnd('r2.f1')} AS rouge2
+    """scored AS (SELECT p.*, r1.f1 AS rouge1, r2.f1 AS rouge2
   FROM pairs p JOIN r1 ON r1.id = p.id JOIN r2 ON r2.id = p.id)""",
 )
 FULL_ROUGE = (PAIRS, PAIR_TOKENS, overlap_f1("r1", "pair_tokens", UNIGRAMS), overlap_f1("r2", "pair_tokens", BIGRAMS),
@@ -284,10 +284,9 @@ def wide_summary(source: str, metrics) -> str:
 WHERE prompt_strategy IS NOT NULL GROUP BY split, prompt_strategy"""
 
 
-WIDE = f"summary AS ({wide_summary('scored', ('rouge1', 'rouge2'))})"
 MEANS = """means AS (
-  SELECT split, prompt_strategy, 'rouge1' AS metric, rouge1_mean AS mean FROM summary
-  UNION ALL SELECT split, prompt_strategy, 'rouge2', rouge2_mean FROM summary)"""
+  SELECT split, prompt_strategy, 'rouge1' AS metric, avg(rouge1) AS mean FROM scored GROUP BY split, prompt_strategy
+  UNION ALL SELECT split, prompt_strategy, 'rouge2', avg(rouge2) FROM scored GROUP BY split, prompt_strategy)"""
 
 
 def _report() -> str:
@@ -303,7 +302,7 @@ def _report() -> str:
             f"SELECT {i}, 1, 0, CASE WHEN {some} THEN {q(head)} ELSE '_No results available._' END",
             f"SELECT {i}, 1, 1, {q(rule)} WHERE {some}",
             f"""SELECT {i}, 2, row_number() OVER (ORDER BY prompt_strategy), '| ' || prompt_strategy || ' | ' || {cells} || ' |'
- FROM raw_summary WHERE split = '{name}'""",
+ FROM summary WHERE split = '{name}'""",
             f"SELECT {i}, 3, 0, ''", f"SELECT {i}, 3, 1, '---'", f"SELECT {i}, 3, 2, ''",
         ]
     lines = " UNION ALL ".join(
@@ -312,8 +311,8 @@ def _report() -> str:
     )
     raw = ", ".join(stat_columns(m, m + "_", wrap=str) for m in ("rouge1", "rouge2"))
     return with_(
-        *SCORED, WIDE,
-        f"""raw_summary AS (SELECT split, prompt_strategy, {raw} FROM scored WHERE prompt_strategy IS NOT NULL
+        *SCORED,
+        f"""summary AS (SELECT split, prompt_strategy, {raw} FROM scored WHERE prompt_strategy IS NOT NULL
   GROUP BY split, prompt_strategy)""",
         f"lines AS ({lines})",
         select="SELECT CAST(row_number() OVER (ORDER BY s, p, n) AS INTEGER) AS line_no, line FROM lines",
@@ -441,7 +440,7 @@ WHERE {collapse('headline')} <> '' AND {collapse('description')} <> ''"""),
     "C5_preprocess_pages": f"SELECT page_id, {preprocess('html')} AS text FROM pages",
     "C6_dedup_normalized": with_(ARTICLES, f"""both_forms AS (
   SELECT doc_id, headline, source FROM articles
-  UNION ALL SELECT -1 - doc_id, '  ' || upper(replace(headline, ' ', '  ')), source FROM articles)""",
+  UNION ALL SELECT -1 - doc_id, '  ' || translate(replace(headline, ' ', '  '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), source FROM articles)""",
         select=f"""SELECT doc_id, headline, source FROM (
   SELECT *, row_number() OVER (PARTITION BY {near_key('headline')} ORDER BY doc_id) AS nr FROM both_forms) WHERE nr = 1"""),
     "C7_time_based_split": with_(ARTICLES, SPLIT_ARTICLES, select="SELECT doc_id, split FROM split_articles"),
@@ -541,7 +540,7 @@ FROM r1 JOIN r2 ON r1.id = r2.id JOIN rl ON rl.id = r1.id"""),
         """means AS (SELECT avg(list_dot_product(g, r) / sqrt(list_dot_product(g, g) * list_dot_product(r, r))) AS m,
   avg(u) AS u FROM vector_pairs v JOIN unrelated n ON n.id = v.id)""",
         select=f"SELECT {rnd('m')} AS matched_mean, {rnd('u')} AS unrelated_mean, {rnd('m / u')} AS contrast_ratio FROM means"),
-    "H1_ensure_metrics": recursive(*FULL_ROUGE, select=f"""SELECT r1.id, 0.5 AS sbert_similarity, {rnd('r1.f1')} AS rouge1,
+    "H1_ensure_metrics": recursive(*FULL_ROUGE, select=f"""SELECT r1.id, CAST(0.5 AS DOUBLE) AS sbert_similarity, {rnd('r1.f1')} AS rouge1,
   {rnd('r2.f1')} AS rouge2, {rnd('rl.f1')} AS "rougeL" FROM r1 JOIN r2 ON r1.id = r2.id JOIN rl ON rl.id = r1.id"""),
     "H2_evaluate_split": recursive(*FULL_ROUGE, select=f"""SELECT p.id, p.split, p.prompt_strategy, {rnd('r1.f1')} AS rouge1,
   {rnd('r2.f1')} AS rouge2, {rnd('rl.f1')} AS "rougeL"
@@ -551,24 +550,20 @@ FROM pairs p JOIN r1 ON r1.id = p.id JOIN r2 ON p.id = r2.id JOIN rl ON rl.id =
 UNION ALL SELECT split, 'rouge2', {stat_columns('rouge2', '')} FROM scored GROUP BY split"""),
     "H4_exact_medians": with_(*SCORED, select=f"""SELECT 'rouge1' AS metric, split, {rnd('median(rouge1)')} AS median FROM scored GROUP BY split
 UNION ALL SELECT 'rouge2', split, {rnd('median(rouge2)')} FROM scored GROUP BY split"""),
-    "H5_top_k_samples": with_(*SCORED, select="""SELECT split, id, rouge1 AS score, substr(target, 1, 80) AS headline,
+    "H5_top_k_samples": with_(*SCORED, select=f"""SELECT split, id, {rnd('rouge1')} AS score, substr(target, 1, 80) AS headline,
   substr(generated_text, 1, 120) AS generated, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY split ORDER BY rouge1 DESC NULLS LAST, id) AS rank FROM scored) WHERE rank <= 5"""),
-    "H6_bottom_k_samples": with_(*SCORED, select="""SELECT split, id, coalesce(score, -1.0) AS score, substr(target, 1, 80) AS headline,
+    "H6_bottom_k_samples": with_(*SCORED, select=f"""SELECT split, id, {rnd('coalesce(score, -1.0)')} AS score, substr(target, 1, 80) AS headline,
   substr(generated_text, 1, 120) AS generated, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY split ORDER BY score ASC NULLS FIRST, id DESC) AS rank
   FROM (SELECT *, CASE WHEN id % 13 <> 0 THEN rouge1 END AS score FROM scored)) WHERE rank <= 5"""),
     "H7_combine_summaries": with_(*SCORED, select=wide_summary("scored", ("rouge1", "rouge2"))),
-    "H8_compare_strategies": with_(*SCORED, WIDE, MEANS, select="""SELECT split, metric,
-  max(mean) FILTER (WHERE prompt_strategy = 'structured') AS structured,
-  max(mean) FILTER (WHERE prompt_strategy = 'detailed') AS detailed,
-  max(mean) FILTER (WHERE prompt_strategy = 'role_based') AS role_based,
-  max(mean) FILTER (WHERE prompt_strategy = 'metadata_aware') AS metadata_aware,
+    "H8_compare_strategies": with_(*SCORED, MEANS, select="SELECT split, metric, " + ", ".join(
+        f"{rnd(f'max(mean) FILTER (WHERE prompt_strategy = {q(n)})')} AS {n}" for n in V.STRATEGY_TEMPLATES)
+        + """,
   first(prompt_strategy ORDER BY mean DESC, prompt_strategy) AS best_strategy
-FROM means GROUP BY split, metric"""),
-    "H9_delta_vs_baseline": with_(*SCORED, """means AS (
-  SELECT split, prompt_strategy, 'rouge1' AS metric, avg(rouge1) AS mean FROM scored GROUP BY split, prompt_strategy
-  UNION ALL SELECT split, prompt_strategy, 'rouge2', avg(rouge2) FROM scored GROUP BY split, prompt_strategy)""",
+FROM means WHERE prompt_strategy IS NOT NULL GROUP BY split, metric"""),
+    "H9_delta_vs_baseline": with_(*SCORED, MEANS,
         f"""sides AS (SELECT split, metric, max(mean) FILTER (WHERE prompt_strategy = 'structured') AS a,
   max(mean) FILTER (WHERE prompt_strategy = 'metadata_aware') AS b FROM means GROUP BY split, metric)""",
         select=f"SELECT split, metric, {rnd('a')} AS baseline_mean, {rnd('b')} AS strategy_mean, {rnd('b - a')} AS delta FROM sides"),

@@ -1,6 +1,8 @@
 """One named query per operator, over the whole of the given tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
@@ -47,8 +49,7 @@ def prompt_articles(spark, d):
 
 
 def scored_pairs(spark, d):
-    pairs = metrics.with_rouge(views.chat_pairs(spark, d), stem=False, which=("rouge1", "rouge2"))
-    return pairs.withColumns({m: rounded(F.col(m)) for m in ("rouge1", "rouge2")})
+    return metrics.with_rouge(views.chat_pairs(spark, d), stem=False, which=("rouge1", "rouge2"))
 
 
 def token_vectors(spark, d):
@@ -64,7 +65,7 @@ def token_vectors(spark, d):
 
 
 def _long_vector(df, id_col, vector):
-    return df.select(id_col, F.posexplode(vector).alias("pos", "x")).select(id_col, "pos", rounded("x").alias("x"))
+    return df.select(id_col, F.posexplode(vector).alias("pos", "x")).select(id_col, "pos", rounded(F.col("x").cast("double")).alias("x"))
 
 
 def _rounded(df, *columns):
@@ -207,7 +208,7 @@ def c6_dedup_normalized(spark, d):
     # Each headline also in capitals with double spaces, under an id of its own, so that only the key tells them apart.
     louder = a.withColumns(
         {
-            "headline": F.concat(F.lit("  "), F.upper(F.regexp_replace("headline", " ", "  "))),
+            "headline": F.concat(F.lit("  "), F.translate(F.regexp_replace("headline", " ", "  "), ascii_lowercase, ascii_uppercase)),
             "doc_id": -1 - F.col("doc_id"),
         }
     )
@@ -498,14 +499,14 @@ def h4_exact_medians(spark, d):
 
 def h5_top_k_samples(spark, d):
     top = report.top_k_samples(scored_pairs(spark, d).withColumn("headline", F.col("target")), "rouge1")
-    return top.withColumn("rank", F.col("rank").cast("long"))
+    return _rounded(top.withColumn("rank", F.col("rank").cast("long")), "score")
 
 
 def h6_bottom_k_samples(spark, d):
     scored = scored_pairs(spark, d).withColumn("headline", F.col("target"))
     with_gaps = scored.withColumn("rouge1", F.when(F.col("id") % 13 != 0, F.col("rouge1")))
     bottom = report.bottom_k_samples(with_gaps, "rouge1")
-    return bottom.select("split", "id", F.coalesce("score", F.lit(-1.0)).alias("score"), "headline", "generated", "rank")
+    return bottom.select("split", "id", rounded(F.coalesce("score", F.lit(-1.0))).alias("score"), "headline", "generated", "rank")
 
 
 def h7_combine_summaries(spark, d):
@@ -515,8 +516,7 @@ def h7_combine_summaries(spark, d):
 
 
 def h8_compare_strategies(spark, d):
-    summary = _wide_rounded(report.summary_by_strategy(_scored_table(spark, d)))
-    return report.compare_strategies(summary)
+    return _wide_rounded(report.compare_strategies(report.summary_by_strategy(_scored_table(spark, d))))
 
 
 def h9_delta_vs_baseline(spark, d):

@@ -42,7 +42,7 @@ def raw_articles(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("N/A")
     )
     headline = F.when(F.col("doc_id") % 89 == 0, "  ").otherwise(
-        F.concat(F.lit(" <b>"), F.col("headline"), F.lit("</b>\t "))
+        F.concat(F.lit(" <b>"), F.col("headline"), F.lit("</b>\t\u00a0"))
     )
     return articles(spark, folder).select(
         "doc_id",
