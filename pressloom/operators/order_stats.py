@@ -23,16 +23,20 @@ def _offset(value: Column, lo, hi) -> tuple[Column, float]:
 
 
 def select_ranks(
-    df: DataFrame, value: Column, ranks: Callable[[int], list[int]], group: Column | None = None
+    df: DataFrame, value: Column, ranks: Callable[[int, int], list[int]], group: Column | None = None
 ) -> dict:
     """Values at 1-based ranks: ``{group: {rank: (value, rows strictly below it)}}``.
 
-    ``value`` is an integral or double column, ``ranks`` maps the row count of a group to the wanted
-    ranks. Null values are ignored. The number of groups must be small; each one adds a driver row.
+    ``value`` is an integral or double column, ``ranks`` maps the number of a group's values, and of all
+    its rows, to the wanted ranks. Nulls come after every value, and a rank among them is left out of the
+    result. The number of groups must be small; each one adds a driver row.
     """
-    group = F.lit(0) if group is None else group
-    rows = df.select(group.alias("g"), value.alias("v")).where(F.col("v").isNotNull())
-    limits = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    rows = df.select((F.lit(0) if group is None else group).alias("g"), value.alias("v"))
+    limits = (
+        rows.groupBy("g")
+        .agg(F.count("v").alias("n"), F.count("*").alias("n_rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .collect()
+    )
 
     found = {r["g"]: {} for r in limits}
     open_ranges = {}  # (group, lo, hi) -> (rows below lo, wanted ranks)
@@ -46,7 +50,7 @@ def select_ranks(
             open_ranges[(g, lo, hi)] = (below, wanted)
 
     for r in limits:
-        place(r["g"], r["lo"], r["hi"], 0, [k for k in sorted(set(ranks(r["n"]))) if 1 <= k <= r["n"]])
+        place(r["g"], r["lo"], r["hi"], 0, [k for k in sorted(set(ranks(r["n"], r["n_rows"]))) if 1 <= k <= r["n"]])
 
     while open_ranges:
         todo, open_ranges = open_ranges, {}
@@ -77,5 +81,5 @@ def select_ranks(
 
 def exact_medians(df: DataFrame, value: Column, group: Column) -> dict:
     """Median of every group, the mean of the two middle values when the count is even."""
-    found = select_ranks(df, value, lambda n: [(n + 1) // 2, n // 2 + 1], group)
-    return {g: (lambda vs: (min(vs) + max(vs)) / 2)([v for v, _ in by_rank.values()]) for g, by_rank in found.items()}
+    found = select_ranks(df, value, lambda n, _: [(n + 1) // 2, n // 2 + 1], group)
+    return {g: (lambda vs: (min(vs) + max(vs)) / 2)([v for v, _ in by_rank.values()]) for g, by_rank in found.items() if by_rank}

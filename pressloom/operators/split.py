@@ -13,45 +13,37 @@ from pyspark.sql import functions as F
 from pressloom.functions import fixed_values as V
 from pressloom.operators.order_stats import select_ranks
 
-_LAST = 2**63 - 1  # null dates sort behind every real one
-
 
 def _date_key(df: DataFrame, date_col: str) -> Column:
-    kind = df.schema[date_col].dataType.typeName()
+    kind = df.schema[date_col].dataType.typeName() if date_col in df.columns else None
     if kind == "date":
-        key = F.unix_date(F.col(date_col)).cast("long")
-    elif kind == "timestamp":
-        key = F.unix_micros(F.col(date_col))
-    elif kind == "timestamp_ntz":
-        key = F.unix_micros(F.to_utc_timestamp(F.col(date_col).cast("timestamp"), F.current_timezone()))
-    else:
-        return F.lit(0).cast("long")  # no real date column: the order of the ids decides
-    return F.coalesce(key, F.lit(_LAST))
-
-
-def cut_sizes(n: int, train_ratio: float, val_ratio: float) -> list[int]:
-    train_end = math.floor(n * train_ratio)
-    return [train_end, train_end + math.floor(n * val_ratio)]
-
-
-def split_points(df: DataFrame, key: Column, id_col: str, train_ratio: float, val_ratio: float) -> list:
-    """The (date key, id) of the last train row and of the last val row, None where a part is empty."""
-    dates = select_ranks(df, key, lambda n: cut_sizes(n, train_ratio, val_ratio)).get(0, {})
-    ranks_in_day = {}
-    for rank, (day, below) in dates.items():
-        ranks_in_day.setdefault(day, {})[rank - below] = rank
-    points = {}
-    if ranks_in_day:
-        ids = select_ranks(
-            df.where(key.isin(list(ranks_in_day))),
-            F.col(id_col).cast("long"),
-            lambda n: [k for ranks in ranks_in_day.values() for k in ranks],
-            key,
-        )
-        for day, ranks in ranks_in_day.items():
-            for in_day, rank in ranks.items():
-                points[rank] = (day, ids[day][in_day][0])
-    return points
+        return F.unix_date(F.col(date_col)).cast("long")
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(date_col).cast("timestamp"))
+    return F.lit(0).cast("long")  # no real date column: the order of the ids decides
+
+
+def cut_points(df: DataFrame, key: Column, id_col: str, train_ratio: float, val_ratio: float) -> list:
+    """(date key, id) of the last train row and of the last val row; None where there is no such row."""
+    cuts, sizes = [], {}
+
+    def wanted(n_dates, n_rows):
+        train_end = math.floor(n_rows * train_ratio)
+        cuts.extend([train_end, train_end + math.floor(n_rows * val_ratio)])
+        sizes["dated"] = n_dates
+        return cuts
+
+    by_date = select_ranks(df, key, wanted).get(0, {})
+    days = {rank: by_date.get(rank, (None, sizes["dated"])) for rank in cuts if rank > 0}
+    if not days:
+        return [None, None]
+    in_days = [rank - below for rank, (_, below) in days.items()]
+    real_days = sorted({day for day, _ in days.values() if day is not None})
+    needed = key.isin(real_days) if real_days else F.lit(False)
+    if any(day is None for day, _ in days.values()):
+        needed = needed | key.isNull()
+    ids = select_ranks(df.where(needed), F.col(id_col).cast("long"), lambda *_: in_days, key)
+    return [(days[r][0], ids[days[r][0]][r - days[r][1]][0]) if r in days else None for r in cuts]
 
 
 def time_based_split(
@@ -62,20 +54,18 @@ def time_based_split(
     val_ratio: float = V.VAL_RATIO,
 ) -> DataFrame:
     """Add ``split``. ``df`` is read a few times (two columns of it), so pass a table, not a long plan."""
-    key = _date_key(df, date_col) if date_col in df.columns else F.lit(0).cast("long")
-    n = df.count()
-    train_end, val_end = cut_sizes(n, train_ratio, val_ratio)
-    points = split_points(df, key, id_col, train_ratio, val_ratio)
+    key = _date_key(df, date_col)
+    cuts = cut_points(df, key, id_col, train_ratio, val_ratio) or [None, None]
 
-    def up_to(rank):
-        if rank not in points:
+    def up_to(cut):
+        if cut is None:
             return F.lit(False)
-        day, last_id = points[rank]
-        return (key < day) | ((key == day) & (F.col(id_col) <= last_id))
+        day, last_id = cut
+        if day is None:
+            return key.isNotNull() | (F.col(id_col) <= last_id)
+        return F.coalesce((key < day) | ((key == day) & (F.col(id_col) <= last_id)), F.lit(False))
 
-    return df.withColumn(
-        "split", F.when(up_to(train_end), "train").when(up_to(val_end), "val").otherwise("test")
-    )
+    return df.withColumn("split", F.when(up_to(cuts[0]), "train").when(up_to(cuts[1]), "val").otherwise("test"))
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

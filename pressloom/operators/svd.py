@@ -7,10 +7,11 @@ limit, never by the number of documents.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,52 +28,52 @@ def sparse_rows(features: DataFrame) -> DataFrame:
     )
 
 
-def _flatten(ids: pd.Series, weights: pd.Series):
-    lengths = ids.map(len).to_numpy()
-    full = np.flatnonzero(lengths)
-    if len(full) == 0:
-        return full, None, None, None
-    starts = np.concatenate([[0], np.cumsum(lengths[full])[:-1]])
-    return full, starts, np.concatenate(ids.iloc[full].to_numpy()), np.concatenate(weights.iloc[full].to_numpy())
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and concatenated values of a list array."""
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def _row_products(ids: pd.Series, weights: pd.Series, matrix: np.ndarray) -> np.ndarray:
-    """Sparse rows times a (terms x k) matrix."""
-    out = np.zeros((len(ids), matrix.shape[1]))
-    full, starts, term, weight = _flatten(ids, weights)
+def _row_products(lengths: np.ndarray, term: np.ndarray, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Sparse rows, given by their lengths and flat entries, times a (terms x k) matrix."""
+    out = np.zeros((len(lengths), matrix.shape[1]))
+    full = np.flatnonzero(lengths)
     if len(full):
+        starts = np.concatenate([[0], np.cumsum(lengths[full])[:-1]])
         out[full] = np.add.reduceat(weight[:, None] * matrix[term], starts, axis=0)
     return out
 
 
 def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """X'X q, with X spread over the rows of a DataFrame."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(q)
+    shared = rows.sparkSession.sparkContext.broadcast(q)
 
     def partial_sums(batches):
-        total, seen = np.zeros(shared.value.shape), np.zeros(shared.value.shape[0], dtype=bool)
+        matrix = shared.value
+        total, seen = np.zeros(matrix.shape), np.zeros(len(matrix), dtype=bool)
         for batch in batches:
-            full, starts, term, weight = _flatten(batch["ids"], batch["weights"])
-            if len(full) == 0:
+            lengths, term = _flat(batch.column("ids"))
+            _, weight = _flat(batch.column("weights"))
+            if len(term) == 0:
                 continue
-            projected = np.add.reduceat(weight[:, None] * shared.value[term], starts, axis=0)
-            row = np.repeat(np.arange(len(full)), np.diff(np.append(starts, len(term))))
+            projected = np.repeat(_row_products(lengths, term, weight, matrix), lengths, axis=0)
             order = np.argsort(term, kind="stable")
             distinct, first = np.unique(term[order], return_index=True)
-            total[distinct] += np.add.reduceat(weight[order, None] * projected[row[order]], first, axis=0)
+            total[distinct] += np.add.reduceat((weight[:, None] * projected)[order], first, axis=0)
             seen[distinct] = True
         touched = np.flatnonzero(seen)
-        for part in np.array_split(touched, max(1, len(touched) // 1000)):
-            yield pd.DataFrame({"term_id": part, "sums": list(total[part])})
+        if len(touched):
+            sums = pa.FixedSizeListArray.from_arrays(pa.array(total[touched].ravel()), matrix.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(touched, pa.int32()), sums.cast(pa.list_(pa.float64()))], ["term_id", "sums"]
+            )
 
-    partials = rows.mapInPandas(partial_sums, "term_id int, sums array<double>")
+    partials = rows.mapInArrow(partial_sums, "term_id int, sums array<double>")
     summed = partials.groupBy("term_id").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-    table = summed.toPandas()
+    table = summed.toArrow()
     shared.unpersist()
     result = np.zeros(q.shape)
-    if len(table):
-        result[table["term_id"].to_numpy()] = np.vstack(table["sums"])
+    _, values = _flat(table.column("sums").combine_chunks())
+    result[table.column("term_id").to_numpy()] = values.reshape(-1, q.shape[1])
     return result
 
 
@@ -120,17 +121,22 @@ def fit_svd(
 
 
 def _component_matrix(components: DataFrame) -> np.ndarray:
-    table = components.select("term_id", "vector").orderBy("term_id").toPandas()
-    return np.vstack(table["vector"]) if len(table) else np.zeros((0, 0))
+    table = components.select("term_id", "vector").orderBy("term_id").toArrow()
+    _, values = _flat(table.column("vector").combine_chunks())
+    return values.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0))
 
 
 def svd_transform(df: DataFrame, components: DataFrame, features: str = "features", out: str = "svd_vector") -> DataFrame:
     """Add the dense vector of each sparse row: one Arrow stage, no shuffle."""
     matrix = df.sparkSession.sparkContext.broadcast(_component_matrix(components))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(ids: pd.Series, weights: pd.Series) -> pd.Series:
-        return pd.Series(list(_row_products(ids, weights, matrix.value)))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def project(ids: pa.Array, weights: pa.Array) -> pa.Array:
+        lengths, term = _flat(ids)
+        _, weight = _flat(weights)
+        dense = _row_products(lengths, term, weight, matrix.value)
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(dense.ravel()), dense.shape[1])
+        return rows.cast(pa.list_(pa.float64()))
 
     ids = F.transform(features, lambda e: e["term_id"])
     weights = F.transform(features, lambda e: e["weight"])

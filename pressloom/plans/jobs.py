@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
 from pressloom.operators import clean, generate, metrics, prompts, report, split, svd, tfidf, topics
-from pressloom.session import write_and_read
+from pressloom.session import spread, write_and_read
 from pressloom.sources import tables
 
 log = logging.getLogger(__name__)
@@ -37,7 +37,7 @@ def ingest_and_clean(spark: SparkSession, input_path: str, output_path: str, sch
 
 def preprocess_and_split(spark: SparkSession, input_path: str, output_path: str) -> DataFrame:
     """Normalised text, one row per near-duplicate headline, written by ``split``."""
-    cleaned, loaded = _counted(spark.read.parquet(input_path), "loaded")
+    cleaned, loaded = _counted(spread(spark.read.parquet(input_path), "doc_id"), "loaded")
     normal = clean.remove_near_duplicates(clean.preprocess_text_fields(cleaned))
     # The split reads dates and ids a few times; the written table keeps the deduplication from running again.
     staged = write_and_read(_counted(normal, "unique")[0], "normalised")
@@ -54,7 +54,7 @@ def extract_metadata_and_keywords(
     components: int = V.SVD_COMPONENTS,
 ) -> DataFrame:
     """Keywords and dense vectors for every split, from models fitted on the train split alone."""
-    df = spark.read.parquet(input_path)
+    df = spread(spark.read.parquet(input_path), "doc_id")
     train = df.where(F.col("split") == "train")
     headline = F.col("headline")
     tables.save_model({"vocabulary": tfidf.fit_vocabulary(train, headline, max_features)}, model_path)
@@ -83,7 +83,7 @@ def cluster_and_build_prompts(
     restarts: int = V.KMEANS_RESTARTS,
 ) -> DataFrame:
     """Topics fitted on the train vectors, every article with its topic, and the prompt / target dataset."""
-    df = spark.read.parquet(input_path)
+    df = spread(spark.read.parquet(input_path), "doc_id")
     centres, cost = topics.fit_kmeans(df.where(F.col("split") == "train"), k=k, restarts=restarts)
     log.info("topics: inertia %.4f", cost)
     loadings = tables.load_model(spark, model_path, "components")["components"]
@@ -112,7 +112,7 @@ def run_generation(
 
     A language model reads ``input_col="prompt_text"``; the offline default takes its lead from the target.
     """
-    df = prompts.build_prompt(spark.read.parquet(prompt_path), strategy)
+    df = prompts.build_prompt(spread(spark.read.parquet(prompt_path), "id"), strategy)
     df = generate.tag_generation(generate.generate_batch(df, input_col, factory, batch_size), strategy)
     if run_sbert or run_rouge or run_bertscore:
         # The model runs once per row whatever the metrics read, and a lost metric task does not call it again.

@@ -25,14 +25,12 @@ def split_articles(spark, d):
     return split.time_based_split(views.articles(spark, d))
 
 
-def train_vocabulary(spark, d):
-    train = split_articles(spark, d).where(F.col("split") == "train")
-    return write_and_read(tfidf.fit_vocabulary(train, F.col("headline")), "vocabulary")
-
-
-def article_features(spark, d, vocabulary=None):
-    vocabulary = train_vocabulary(spark, d) if vocabulary is None else vocabulary
-    return tfidf.tfidf_features(split_articles(spark, d), F.col("headline"), vocabulary)
+def article_features(spark, d):
+    """Split articles with TF-IDF features, and the vocabulary of the train split they come from."""
+    rows = split_articles(spark, d)
+    train = rows.where(F.col("split") == "train")
+    vocabulary = write_and_read(tfidf.fit_vocabulary(train, F.col("headline")), "vocabulary")
+    return tfidf.tfidf_features(rows, F.col("headline"), vocabulary), vocabulary
 
 
 def prompt_articles(spark, d):
@@ -263,16 +261,16 @@ def d6_fit_idf(spark, d):
 
 
 def d7_tfidf_transform(spark, d):
-    return _rounded(tfidf.tfidf_matrix(article_features(spark, d)), "weight")
+    return _rounded(tfidf.tfidf_matrix(article_features(spark, d)[0]), "weight")
 
 
 def d8_top_keywords(spark, d):
-    return article_features(spark, d).select("doc_id", tfidf.top_keywords(F.col("features")).alias("keywords"))
+    return article_features(spark, d)[0].select("doc_id", tfidf.top_keywords(F.col("features")).alias("keywords"))
 
 
 def _train_svd(spark, d):
-    vocabulary = train_vocabulary(spark, d)
-    features = write_and_read(article_features(spark, d, vocabulary).select("doc_id", "split", "features"), "features")
+    features, vocabulary = article_features(spark, d)
+    features = write_and_read(features.select("doc_id", "split", "features"), "features")
     loadings, values = svd.fit_svd(features.where(F.col("split") == "train"), vocabulary)
     return features, loadings, values
 
@@ -303,11 +301,9 @@ def d12_text_to_vector(spark, d):
 
 
 def d13_enrich_split(spark, d):
-    a = split_articles(spark, d)
-    vocabulary = train_vocabulary(spark, d)
-    train = tfidf.tfidf_features(a.where(F.col("split") == "train"), F.col("headline"), vocabulary)
-    loadings, _ = svd.fit_svd(train.select("doc_id", "features"), vocabulary)
-    enriched = jobs.enrich(a, vocabulary, loadings)
+    rows, vocabulary = article_features(spark, d)
+    loadings, _ = svd.fit_svd(rows.where(F.col("split") == "train").select("doc_id", "features"), vocabulary)
+    enriched = jobs.enrich(rows.drop("features"), vocabulary, loadings)
     return enriched.select("doc_id", "split", "keywords", F.size("svd_vector").cast("long").alias("dimensions"))
 
 

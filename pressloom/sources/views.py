@@ -3,11 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressloom.session import spread
+
 STRATEGY_BY_CODE = ["structured", "detailed", "role_based", "metadata_aware"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    scan = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(scan, scan.columns[0])
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
