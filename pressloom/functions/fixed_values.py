@@ -27,6 +27,7 @@ DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "d
 # --- cleaning patterns ----------------------------------------------------------------------------
 # Python's Unicode white space, spelt out because neither Java's nor RE2's \s covers it.
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_WHITESPACE = WHITESPACE.replace("[", "[^", 1)
 HTML_TAG = r"<[^>]+>"
 HTML_ENTITY = r"&[a-z]+;|&#\p{Nd}+;"  # case-insensitive
 SPECIAL_CHAR = r"[^0-9A-Za-z_\t-\r\x1c-\x20.,!?'\-]"  # applied to ASCII text

@@ -1,6 +1,6 @@
 """Small helpers around Spark's higher-order functions."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,18 @@ def plus_zero(value: Column) -> Column:
 
 def rounded(value: Column, digits: int = 6) -> Column:
     return plus_zero(F.round(value, digits))
+
+
+def explode_once(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """``keep`` plus one row per element of a computed array of non-null elements.
+
+    A plain ``explode`` makes the optimizer add filters on the array's size and nullness, and push them
+    below the projection that computes it: the array would be built three times per row. The outer form
+    has no such filters, and the rows of empty arrays are dropped by a test on the element.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def inline_once(df: DataFrame, keep: list, structs: Column, field: str) -> DataFrame:
+    """The same for an array of structs, spelt out as columns; ``field`` is one that is never null."""
+    return df.select(*keep, F.inline_outer(structs)).where(F.col(field).isNotNull())

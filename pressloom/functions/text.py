@@ -15,7 +15,8 @@ def collapse_whitespace(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (collapse_whitespace(c) == "")
+    """Null or without any visible character; the search stops at the first one."""
+    return c.isNull() | ~c.rlike(V.NOT_WHITESPACE)
 
 
 def strip_html(c: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from pressloom.functions import fixed_values as V
 from pressloom.functions import tokens as K
-from pressloom.functions.lambdas import let
+from pressloom.functions.lambdas import explode_once, inline_once, let
 from pressloom.functions.stemming import stem_tokens
 from pressloom.functions.vectors import cosine, dot, sparse_dot, unit
 from pressloom.operators.joins import fits_broadcast, lookup_join
@@ -100,7 +100,7 @@ def with_rouge(
 
 def stem_dictionary(texts: DataFrame, text: str) -> DataFrame:
     """(token, stem) of every distinct token."""
-    words = texts.select(F.explode(K.rouge_tokens(F.col(text))).alias("token")).distinct()
+    words = explode_once(texts, [], F.array_distinct(K.rouge_tokens(F.col(text))), "token").distinct()
     return words.withColumn("stem", stem_tokens(F.array("token"))[0])
 
 
@@ -189,7 +189,7 @@ def _match_by_join(df: DataFrame, vectors: DataFrame, g: Column, r: Column, id_c
         F.struct(F.lit(True).alias("is_g"), K.term_counts(g).alias("terms")),
         F.struct(F.lit(False).alias("is_g"), K.term_counts(r).alias("terms")),
     )
-    long = df.select(id_col, F.inline(sides)).select(id_col, "is_g", F.inline("terms"))
+    long = inline_once(inline_once(df, [id_col], sides, "is_g"), [id_col, "is_g"], F.col("terms"), "term")
     found = lookup_join(long.withColumnRenamed("term", "token"), vectors, "token", id_col, max_rows=0)
 
     def gather(is_g, field):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressloom.functions import fixed_values as V
+from pressloom.functions.lambdas import explode_once
 
 _OVERSAMPLE = 10
 
@@ -67,7 +68,9 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
                 [pa.array(touched, pa.int32()), sums.cast(pa.list_(pa.float64()))], ["term_id", "sums"]
             )
 
-    partials = rows.mapInArrow(partial_sums, "term_id int, sums array<double>")
+    # Two partial results per core, not one per partition: what is shuffled stays small however many rows there are.
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    partials = rows.coalesce(tasks).mapInArrow(partial_sums, "term_id int, sums array<double>")
     summed = partials.groupBy("term_id").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
     table = summed.toArrow()
     shared.unpersist()
@@ -94,9 +97,7 @@ def fit_svd(
     n_terms = len(terms)
     k = min(components, n_terms)
     width = min(k + _OVERSAMPLE, n_terms)
-    rows = sparse_rows(features)
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    rows = rows.coalesce(tasks).persist()
+    rows = sparse_rows(features).persist()
     try:
         q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
         for _ in range(passes):
@@ -147,7 +148,7 @@ def explained_variance(df: DataFrame, features: str = "features", vector: str =
     """(component, variance, ratio): variance of each component over the summed variance of all terms."""
     n = df.count()
     per_term = (
-        df.select(F.explode(features).alias("e"))
+        explode_once(df, [], F.col(features), "e")
         .groupBy("e.term_id")
         .agg(F.sum("e.weight").alias("s"), F.sum(F.col("e.weight") * F.col("e.weight")).alias("ss"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
 from pressloom.functions import tokens as K
-from pressloom.functions.lambdas import array_sum, let, rounded
+from pressloom.functions.lambdas import array_sum, explode_once, inline_once, let, rounded
 from pressloom.operators.joins import fits_broadcast, lookup_join
 
 ROW_LOCAL_TERMS = 50_000
@@ -21,7 +21,7 @@ _HASH_SLOTS = 16_384
 def document_frequency(df: DataFrame, text: Column, stop_words=V.ENGLISH_STOP_WORDS) -> DataFrame:
     """Documents and occurrences per term. Counts are taken inside each row, then combined map-side."""
     return (
-        df.select(F.explode(K.term_counts(K.tfidf_terms(text, stop_words))).alias("t"))
+        explode_once(df, [], K.term_counts(K.tfidf_terms(text, stop_words)), "t")
         .groupBy(F.col("t.term").alias("term"))
         .agg(F.count("*").alias("df"), F.sum("t.tf").alias("corpus_count"))
     )
@@ -121,7 +121,7 @@ def tfidf_features(
 
 def _joined_features(df: DataFrame, counts: Column, vocabulary: DataFrame, id_col: str, out: str) -> DataFrame:
     """The same result for a vocabulary of any size: salted term join, then one group per document."""
-    long = df.select(id_col, F.explode(counts).alias("c")).select(id_col, "c.term", "c.tf")
+    long = inline_once(df, [id_col], counts, "term")
     entry = F.struct("term_id", "term", "tf", "idf")
     known = lookup_join(long, vocabulary.select("term", "term_id", "idf"), "term", id_col, max_rows=ROW_LOCAL_TERMS)
     rows = known.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
@@ -131,7 +131,7 @@ def _joined_features(df: DataFrame, counts: Column, vocabulary: DataFrame, id_co
 
 def tfidf_matrix(features: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The long form, one row per document and term."""
-    return features.select(id_col, F.inline("features"))
+    return inline_once(features, [id_col], F.col("features"), "term_id")
 
 
 def top_keywords(features: Column, k: int = V.TOP_KEYWORDS) -> Column:
@@ -154,11 +154,11 @@ def tfidf_search(
     rows per query and task ahead of its own shuffle (window group limit).
     """
     query_terms = (
-        queries.select(query_id, F.inline("features"))
+        tfidf_matrix(queries, query_id)
         .groupBy("term_id")
         .agg(F.collect_list(F.struct(F.col(query_id), F.col("weight").alias("q_weight"))).alias("asked_by"))
     )
-    doc_terms = documents.select(doc_id, F.inline("features")).select(doc_id, "term_id", "weight")
+    doc_terms = tfidf_matrix(documents, doc_id).select(doc_id, "term_id", "weight")
     matches = lookup_join(doc_terms, query_terms, "term_id", doc_id)
     scores = (
         matches.select(doc_id, "weight", F.inline("asked_by"))

@@ -9,7 +9,7 @@ from pressloom.functions import fixed_values as V
 from pressloom.functions import text as X
 from pressloom.functions import tokens as K
 from pressloom.functions import vectors as VX
-from pressloom.functions.lambdas import rounded
+from pressloom.functions.lambdas import explode_once, rounded
 from pressloom.operators import clean, generate, metrics, profile, prompts, report, split, svd, tfidf, topics
 from pressloom.plans import jobs
 from pressloom.session import new_path, write_and_read
@@ -53,9 +53,8 @@ def scored_pairs(spark, d):
 def token_vectors(spark, d):
     """A token table from the given data: each token takes the embedding that its md5 points to."""
     pairs = views.chat_pairs(spark, d)
-    words = pairs.select(
-        F.explode(F.array_union(K.rouge_tokens(F.col("generated_text")), K.rouge_tokens(F.col("target")))).alias("token")
-    ).distinct()
+    both = F.array_union(K.rouge_tokens(F.col("generated_text")), K.rouge_tokens(F.col("target")))
+    words = explode_once(pairs, [], both, "token").distinct()
     e = views.table(spark, d, "embeddings")
     n = e.agg(F.count("*").alias("n")).scalar()
     pointer = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")
