@@ -1,21 +1,37 @@
 """Equi-join against a lookup side whose size is checked before it is broadcast."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 256 * 1024 * 1024
 SALTS = 64
 
 
-def fits_broadcast(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``lookup`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return lookup.limit(max_rows + 1).count() <= max_rows
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column)
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(column, F.lit(0).cast("long"), lambda acc, x: acc + _bytes(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(column[f.name], f.dataType) for f in kind), F.lit(0))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(0))
+
+
+def fits_broadcast(lookup: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``lookup`` is small in rows and in bytes; looks at one row more than allowed and no further."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in lookup.schema), F.lit(0))
+    rows, size = lookup.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
 
 
 def lookup_join(
     big: DataFrame, lookup: DataFrame, key: str, salt_by: str, how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Join ``big`` to ``lookup`` (one row per ``key``).
+    """Join ``big`` to ``lookup`` on ``key``.
 
     A small lookup is broadcast. A larger one is shuffled with a salt, taken from ``salt_by`` on the big
     side and spelt out on the lookup side, so that a key in a third of all rows spreads over many tasks.

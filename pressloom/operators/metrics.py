@@ -142,11 +142,12 @@ def _greedy_match(gen: np.ndarray, gen_count: np.ndarray, ref: np.ndarray, ref_c
     """Mean best cosine of each side against the other, over unit vectors that occur ``count`` times."""
     if len(gen) == 0 or len(ref) == 0:
         return 0.0, 0.0
-    similarity = gen @ ref.T
-    return (
-        float(similarity.max(axis=1) @ gen_count / gen_count.sum()),
-        float(similarity.max(axis=0) @ ref_count / ref_count.sum()),
-    )
+    best_ref, precision = np.full(len(ref), -np.inf), 0.0
+    for i in range(0, len(gen), 512):  # a block of rows at a time: two long texts must not need their whole matrix
+        similarity = gen[i : i + 512] @ ref.T
+        precision += float(similarity.max(axis=1) @ gen_count[i : i + 512])
+        np.maximum(best_ref, similarity.max(axis=0), out=best_ref)
+    return precision / gen_count.sum(), float(best_ref @ ref_count / ref_count.sum())
 
 
 def _match_by_dictionary(df: DataFrame, vectors: DataFrame, g: Column, r: Column) -> DataFrame:
@@ -227,11 +228,26 @@ def with_soft_match(
     ).drop("_m")
 
 
-def train_token_vectors(texts: DataFrame, text: str, size: int = 64, min_count: int = 2, seed: int = V.SEED) -> DataFrame:
-    """Default token table: Word2Vec trained on the given texts."""
+def train_token_vectors(
+    texts: DataFrame, text: str, size: int = 64, min_count: int = 2, max_tokens: int = 200_000, seed: int = V.SEED
+) -> DataFrame:
+    """Default token table: Word2Vec trained on the given texts, by as many tasks as there are cores.
+
+    The model sits on the driver while it is trained, so the count that a token needs is raised until no
+    more than ``max_tokens`` have it.
+    """
     words = texts.select(K.rouge_tokens(F.col(text)).alias("tokens"))
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol="tokens", maxIter=1).fit(words)
-    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
+    frequent = (
+        explode_once(words, [], F.col("tokens"), "token").groupBy("token").agg(F.count("*").alias("n"))
+        .where(F.col("n") >= min_count).orderBy(F.desc("n")).limit(max_tokens + 1)
+    )
+    found, rarest = frequent.agg(F.count("*"), F.min("n")).first()
+    needed = rarest + 1 if found > max_tokens else min_count
+    tasks = texts.sparkSession.sparkContext.defaultParallelism
+    word2vec = Word2Vec(
+        vectorSize=size, minCount=needed, seed=seed, inputCol="tokens", maxIter=1, numPartitions=tasks
+    )
+    return word2vec.fit(words).getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
 
 
 METRIC_GROUPS = {

@@ -153,15 +153,10 @@ def tfidf_search(
     The products are summed per (query, document) before anything is ranked, and the ranking keeps ``k``
     rows per query and task ahead of its own shuffle (window group limit).
     """
-    query_terms = (
-        tfidf_matrix(queries, query_id)
-        .groupBy("term_id")
-        .agg(F.collect_list(F.struct(F.col(query_id), F.col("weight").alias("q_weight"))).alias("asked_by"))
-    )
+    asked = tfidf_matrix(queries, query_id).select("term_id", query_id, F.col("weight").alias("q_weight"))
     doc_terms = tfidf_matrix(documents, doc_id).select(doc_id, "term_id", "weight")
-    matches = lookup_join(doc_terms, query_terms, "term_id", doc_id)
     scores = (
-        matches.select(doc_id, "weight", F.inline("asked_by"))
+        lookup_join(doc_terms, asked, "term_id", doc_id)
         .groupBy(query_id, doc_id)
         .agg(rounded(F.sum(F.col("weight") * F.col("q_weight"))).alias("score"))
     )
