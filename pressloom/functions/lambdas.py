@@ -39,3 +39,8 @@ def explode_once(df: DataFrame, keep: list, array: Column, name: str) -> DataFra
 def inline_once(df: DataFrame, keep: list, structs: Column, field: str) -> DataFrame:
     """The same for an array of structs, spelt out as columns; ``field`` is one that is never null."""
     return df.select(*keep, F.inline_outer(structs)).where(F.col(field).isNotNull())
+
+
+def posexplode_once(df: DataFrame, keep: list, array: Column, pos: str, name: str) -> DataFrame:
+    """The same for an array with the position of each element."""
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).where(F.col(pos).isNotNull())

@@ -26,7 +26,10 @@ def extractive_lead(max_chars: int = V.MAX_POST_CHARS) -> Generator:
 
 
 def generated(prompt: Column, factory: Callable[[], Generator] = extractive_lead, batch_size: int = V.BATCH_SIZE) -> Column:
-    """``factory`` builds the model once per task; only the prompt column crosses to Python."""
+    """``factory`` builds the model once per task; only the prompt column crosses to Python.
+
+    Declared non-deterministic, so that a filter on the text never makes the model run twice.
+    """
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -38,7 +41,7 @@ def generated(prompt: Column, factory: Callable[[], Generator] = extractive_lead
                 out.extend(model(texts.iloc[i : i + batch_size].tolist()))
             yield pd.Series(out, dtype="object")
 
-    return run(prompt)
+    return run.asNondeterministic()(prompt)
 
 
 def generate_batch(

@@ -117,7 +117,7 @@ def embed_text(text: Column, factory: Callable[[], Callable[[list[str]], np.ndar
                 rows.extend(np.asarray(encoder(texts.iloc[i : i + batch_size].tolist()), dtype="float64"))
             yield pd.Series(rows, dtype="object")
 
-    return encode(text)
+    return encode.asNondeterministic()(text)
 
 
 def with_similarity(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressloom.functions import fixed_values as V
-from pressloom.functions.lambdas import explode_once
+from pressloom.functions.lambdas import explode_once, posexplode_once
 
 _OVERSAMPLE = 10
 
@@ -93,8 +93,8 @@ def fit_svd(
     is computed again from the source.
     """
     spark = features.sparkSession
-    terms = vocabulary.select("term_id", "term").orderBy("term_id").collect()
-    n_terms = len(terms)
+    terms = vocabulary.select("term_id", "term").orderBy("term_id").toArrow()
+    n_terms = terms.num_rows
     k = min(components, n_terms)
     width = min(k + _OVERSAMPLE, n_terms)
     rows = sparse_rows(features).persist()
@@ -110,15 +110,10 @@ def fit_svd(
     order = np.argsort(values)[::-1][:k]
     basis = last @ turn[:, order]
     basis *= np.where(basis[np.abs(basis).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
-    schema = T.StructType(
-        [
-            T.StructField("term_id", T.IntegerType()),
-            T.StructField("term", T.StringType()),
-            T.StructField("vector", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    data = [(t["term_id"], t["term"], basis[i].tolist()) for i, t in enumerate(terms)]
-    return spark.createDataFrame(data, schema), np.sqrt(np.clip(values[order], 0, None)).tolist()
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(basis).ravel()), k)
+    table = pa.table([terms.column("term_id"), terms.column("term"), vectors.cast(pa.list_(pa.float64()))],
+                     ["term_id", "term", "vector"])
+    return spark.createDataFrame(table), np.sqrt(np.clip(values[order], 0, None)).tolist()
 
 
 def _component_matrix(components: DataFrame) -> np.ndarray:
@@ -141,7 +136,8 @@ def svd_transform(df: DataFrame, components: DataFrame, features: str = "feature
 
     ids = F.transform(features, lambda e: e["term_id"])
     weights = F.transform(features, lambda e: e["weight"])
-    return df.withColumn(out, project(ids, weights))
+    # Not deterministic for the optimizer's purposes: a filter on the result must not run the projection twice.
+    return df.withColumn(out, project.asNondeterministic()(ids, weights))
 
 
 def explained_variance(df: DataFrame, features: str = "features", vector: str = "svd_vector") -> DataFrame:
@@ -156,7 +152,7 @@ def explained_variance(df: DataFrame, features: str = "features", vector: str =
     # Summarizer gives the sample variance; (n - 1) / n turns it into the population variance.
     variances = df.agg(vector_to_array(Summarizer.variance(array_to_vector(F.col(vector)))).alias("v"))
     return (
-        variances.select(F.posexplode("v").alias("component", "variance"))
+        posexplode_once(variances, [], F.col("v"), "component", "variance")
         .withColumn("variance", F.col("variance") * ((n - 1) / n if n else 0.0))
         .withColumn("ratio", F.try_divide("variance", total))
     )

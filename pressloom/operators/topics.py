@@ -1,5 +1,6 @@
 """K-means topics over dense vectors, and their labels in terms."""
 
+import math
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -9,10 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
-from pressloom.functions.lambdas import let
+from pressloom.functions.lambdas import let, posexplode_once
 from pressloom.functions.vectors import squared_distance
 
 
+ROWS_PER_TASK = 20_000  # fewer rows than this take less time than starting the task
+
+
+def _packed(points: DataFrame) -> DataFrame:
+    """``points`` cached, in no more partitions than their number is worth."""
+    points = points.persist()
+    partitions = max(1, math.ceil(points.count() / ROWS_PER_TASK))
+    if partitions >= points.rdd.getNumPartitions():
+        return points
+    packed = points.coalesce(partitions).persist()
+    packed.count()
+    points.unpersist()
+    return packed
+
+
 def fit_kmeans(
     df: DataFrame,
     vector: str = "svd_vector",
@@ -20,14 +36,13 @@ def fit_kmeans(
     seed: int = V.SEED,
     restarts: int = V.KMEANS_RESTARTS,
     max_iter: int = 100,
-    parallel_fits: int = 4,
+    parallel_fits: int = 8,
 ) -> tuple[DataFrame, float]:
     """Centres (cluster_id, center) and cost of the best of ``restarts`` seeds.
 
-    The vectors are cached once for all fits; a few fits run side by side, because late iterations leave
-    a cluster half idle.
+    The vectors are cached once for all fits, which run side by side: a fit is a chain of many short jobs.
     """
-    points = df.select(array_to_vector(F.col(vector)).alias("features")).persist()
+    points = _packed(df.select(array_to_vector(F.col(vector)).alias("features")))
 
     @inheritable_thread_target(df.sparkSession)
     def fit(s):
@@ -35,7 +50,6 @@ def fit_kmeans(
         return model.summary.trainingCost, s, [c.tolist() for c in model.clusterCenters()]
 
     try:
-        points.count()
         with ThreadPool(min(parallel_fits, restarts)) as pool:
             cost, _, centres = min(pool.map(fit, range(seed, seed + restarts)))
     finally:
@@ -79,8 +93,8 @@ def cluster_inertia(assigned: DataFrame) -> DataFrame:
 
 def topic_labels(centres: DataFrame, components: DataFrame, top: int = V.TOP_TERMS_PER_CLUSTER) -> DataFrame:
     """(cluster_id, topic_label): centres taken back to term space, the heaviest terms joined by ' | '."""
-    by_component = centres.select("cluster_id", F.posexplode("center").alias("comp", "c"))
-    loadings = components.select("term_id", "term", F.posexplode("vector").alias("comp", "v"))
+    by_component = posexplode_once(centres, ["cluster_id"], F.col("center"), "comp", "c")
+    loadings = posexplode_once(components, ["term_id", "term"], F.col("vector"), "comp", "v")
     in_terms = (
         by_component.join(loadings, "comp")
         .groupBy("cluster_id", "term_id", "term")

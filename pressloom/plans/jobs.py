@@ -26,8 +26,9 @@ def _log_counts(job: str, **seen: Observation) -> None:
 def ingest_and_clean(spark: SparkSession, input_path: str, output_path: str, schema=tables.ARTICLE_SCHEMA) -> DataFrame:
     """CSV articles to a cleaned table with one row per headline."""
     df = tables.with_row_ids(clean.normalize_column_names(tables.read_articles(spark, input_path, schema)))
-    df, loaded = _counted(df, "loaded")
     df = clean.clean_text_fields(clean.parse_dates(df))
+    # The count also keeps the filter below from being pushed under the cleaning, which would run it twice.
+    df, loaded = _counted(df, "loaded")
     df, kept = _counted(clean.drop_missing_critical(df), "kept")
     df, unique = _counted(clean.remove_duplicates(clean.fill_optional_missing(df)), "unique")
     table = tables.write_table(df, output_path)

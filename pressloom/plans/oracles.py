@@ -395,6 +395,13 @@ LABELS = """labels_of AS (
     FROM (SELECT c.cluster_id, t.term, round(list_dot_product(c.center, t.vector), 9) AS w FROM centres c CROSS JOIN components t))
   WHERE nr <= 5 GROUP BY cluster_id)"""
 
+PROJECTED = """projected AS (
+  SELECT a.doc_id, p.pos, coalesce(sum(w.weight * c.vector[p.pos + 1]), 0.0) AS x
+  FROM articles a CROSS JOIN (SELECT CAST(unnest(range(len(vector))) AS INTEGER) AS pos FROM components WHERE term_id = 0) p
+  LEFT JOIN weights w ON w.doc_id = a.doc_id LEFT JOIN components c ON c.term_id = w.term_id
+  GROUP BY a.doc_id, p.pos)"""
+ON_ALL = (ARTICLES, ALL_COUNTS, ALL_VOCABULARY, weights("weights", "counts", "doc_id"), COMPONENTS, PROJECTED)
+
 ORACLES = {
     "A1_read_articles": with_(ARTICLES, RAW, select=f"""SELECT doc_id, {null_if_na('raw_date')} AS "Date",
   {null_if_na('headline')} AS "Headline", {null_if_na('description')} AS "Description",
@@ -460,6 +467,14 @@ UNION ALL SELECT 'normalized', count(*), count(DISTINCT {near_key('headline')}),
     "D6_fit_idf": with_(ARTICLES, ALL_COUNTS, ALL_VOCABULARY, select=f"SELECT term, {rnd('idf')} AS idf FROM vocabulary"),
     "D7_tfidf_transform": with_(*TFIDF_ON_TRAIN, select=f"SELECT doc_id, term_id, term, CAST(tf AS INTEGER) AS tf, {rnd('weight')} AS weight FROM weights"),
     "D8_top_keywords": with_(*TFIDF_ON_TRAIN, KEYWORDS, select="SELECT doc_id, keywords FROM keywords"),
+    "D10_explained_variance_fixed": with_(
+        *ON_ALL,
+        """total AS (SELECT sum(ss / n - (s / n) * (s / n)) AS t FROM (
+  SELECT term_id, sum(weight) AS s, sum(weight * weight) AS ss FROM weights GROUP BY term_id),
+  (SELECT count(*) AS n FROM articles))""",
+        select=f"""SELECT pos AS component, {rnd('var_pop(x)')} AS variance, {rnd('var_pop(x) / any_value(t)')} AS ratio
+FROM projected, total GROUP BY pos"""),
+    "D11_svd_transform_fixed": with_(*ON_ALL, select=f"SELECT doc_id, pos, {rnd('x')} AS x FROM projected"),
     "D12_vector_to_text": """SELECT vec_id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',')
   AS svd_vector FROM embeddings""",
     "D12_text_to_vector": f"""SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos,

@@ -9,7 +9,7 @@ from pressloom.functions import fixed_values as V
 from pressloom.functions import text as X
 from pressloom.functions import tokens as K
 from pressloom.functions import vectors as VX
-from pressloom.functions.lambdas import explode_once, rounded
+from pressloom.functions.lambdas import explode_once, posexplode_once, rounded
 from pressloom.operators import clean, generate, metrics, profile, prompts, report, split, svd, tfidf, topics
 from pressloom.plans import jobs
 from pressloom.session import new_path, write_and_read
@@ -62,7 +62,7 @@ def token_vectors(spark, d):
 
 
 def _long_vector(df, id_col, vector):
-    return df.select(id_col, F.posexplode(vector).alias("pos", "x")).select(id_col, "pos", rounded(F.col("x").cast("double")).alias("x"))
+    return posexplode_once(df, [id_col], F.col(vector), "pos", "x").select(id_col, "pos", rounded(F.col("x").cast("double")).alias("x"))
 
 
 def _rounded(df, *columns):
@@ -276,7 +276,7 @@ def _train_svd(spark, d):
 
 def d9_fit_svd(spark, d):
     _, loadings, _ = _train_svd(spark, d)
-    return loadings.select("term_id", "term", F.posexplode("vector").alias("component", "loading"))
+    return posexplode_once(loadings, ["term_id", "term"], F.col("vector"), "component", "loading")
 
 
 def d10_explained_variance(spark, d):
@@ -287,7 +287,25 @@ def d10_explained_variance(spark, d):
 
 def d11_svd_transform(spark, d):
     features, loadings, _ = _train_svd(spark, d)
-    return svd.svd_transform(features, loadings).select("doc_id", F.posexplode("svd_vector").alias("component", "value"))
+    projected = svd.svd_transform(features, loadings)
+    return posexplode_once(projected, ["doc_id"], F.col("svd_vector"), "component", "value")
+
+
+def _fixed_projection(spark, d):
+    """Documents under given components (an embedding per term) instead of fitted ones, so that SQL can follow."""
+    a = views.articles(spark, d)
+    components = write_and_read(_stand_in_components(spark, d), "components")
+    features = tfidf.tfidf_features(a.select("doc_id", "headline"), F.col("headline"), _all_vocabulary(spark, d))
+    return svd.svd_transform(features, components)
+
+
+def d10_explained_variance_fixed(spark, d):
+    projected = write_and_read(_fixed_projection(spark, d).select("doc_id", "features", "svd_vector"), "projected")
+    return _rounded(svd.explained_variance(projected), "variance", "ratio")
+
+
+def d11_svd_transform_fixed(spark, d):
+    return _long_vector(_fixed_projection(spark, d), "doc_id", "svd_vector")
 
 
 def d12_vector_to_text(spark, d):
@@ -317,7 +335,7 @@ def d14_tfidf_search(spark, d):
 # --- E: topics and prompt dataset -----------------------------------------------------------------
 def e1_fit_kmeans(spark, d):
     centres, cost = topics.fit_kmeans(views.table(spark, d, "embeddings"), "embedding")
-    return centres.select("cluster_id", F.posexplode("center").alias("pos", "x")).withColumn("cost", F.lit(cost))
+    return posexplode_once(centres, ["cluster_id"], F.col("center"), "pos", "x").withColumn("cost", F.lit(cost))
 
 
 def _nearest(spark, d):
@@ -332,6 +350,10 @@ def e3_cluster_inertia(spark, d):
     return _rounded(topics.cluster_inertia(_nearest(spark, d)), "inertia")
 
 
+def _all_vocabulary(spark, d):
+    return write_and_read(tfidf.fit_vocabulary(views.articles(spark, d), F.col("headline")), "vocabulary")
+
+
 def _stand_in_components(spark, d):
     """(term_id, term, vector) with the embedding that each term id points to."""
     vocabulary = tfidf.fit_vocabulary(views.articles(spark, d), F.col("headline"))
@@ -617,7 +639,9 @@ QUERIES = {
     "D8_top_keywords": d8_top_keywords,
     "D9_fit_svd": d9_fit_svd,
     "D10_explained_variance": d10_explained_variance,
+    "D10_explained_variance_fixed": d10_explained_variance_fixed,
     "D11_svd_transform": d11_svd_transform,
+    "D11_svd_transform_fixed": d11_svd_transform_fixed,
     "D12_vector_to_text": d12_vector_to_text,
     "D12_text_to_vector": d12_text_to_vector,
     "D13_enrich_split": d13_enrich_split,

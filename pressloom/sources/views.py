@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressloom.functions.lambdas import posexplode_once
 from pressloom.session import spread
 
 STRATEGY_BY_CODE = ["structured", "detailed", "role_based", "metadata_aware"]
@@ -89,7 +90,7 @@ def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_centres(spark: SparkSession, folder: str) -> DataFrame:
     """Mean embedding of each label: a small fixed model derived from the whole table."""
-    long = table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    long = posexplode_once(table(spark, folder, "embeddings"), ["label"], F.col("embedding"), "pos", "x")
     means = long.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return means.groupBy(F.col("label").alias("cluster_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda e: F.round(e["m"], 9)).alias("center")

@@ -244,3 +244,9 @@ def test_every_strategy_renders_all_rows(spark):
     assert "Tone: neutral." in got["structured"] and "T" not in got["structured"].split("### Task")[0]
     assert "COVID-19 news (unknown)" in got["role_based"] and "H{x}" in got["metadata_aware"]
     assert prompts.build_prompt(row, "no such name").first()["prompt_text"] == got["metadata_aware"]
+
+
+def test_a_filter_on_generated_text_does_not_run_the_model_again(spark):
+    df = generate.generate_batch(spark.range(4).select("id", F.lit("A b. C").alias("prompt_text")))
+    plan = df.where(F.length("generated_text") > 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
