@@ -25,7 +25,7 @@ def _date_key(df: DataFrame, date_col: str) -> Column:
 
 def cut_points(df: DataFrame, key: Column, id_col: str, train_ratio: float, val_ratio: float) -> list:
     """(date key, id) of the last train row and of the last val row; None where there is no such row."""
-    cuts, sizes = [], {}
+    cuts, sizes = [], {"dated": 0}
 
     def wanted(n_dates, n_rows):
         train_end = math.floor(n_rows * train_ratio)
@@ -33,16 +33,20 @@ def cut_points(df: DataFrame, key: Column, id_col: str, train_ratio: float, val_
         sizes["dated"] = n_dates
         return cuts
 
-    by_date = select_ranks(df, key, wanted).get(0, {})
-    days = {rank: by_date.get(rank, (None, sizes["dated"])) for rank in cuts if rank > 0}
-    if not days:
-        return [None, None]
-    in_days = [rank - below for rank, (_, below) in days.items()]
-    real_days = sorted({day for day, _ in days.values() if day is not None})
-    needed = key.isin(real_days) if real_days else F.lit(False)
-    if any(day is None for day, _ in days.values()):
-        needed = needed | key.isNull()
-    ids = select_ranks(df.where(needed), F.col(id_col).cast("long"), lambda *_: in_days, key)
+    # Two numbers per row, cached for the few passes; a lost part is computed again from the source.
+    keys = df.select(key.alias("day"), F.col(id_col).cast("long").alias("id")).persist()
+    try:
+        by_date = select_ranks(keys, F.col("day"), wanted).get(0, {})
+        days = {rank: by_date.get(rank, (None, sizes["dated"])) for rank in cuts if rank > 0}
+        if not days:
+            return [None, None]
+        needed = F.lit(False)
+        for day in {day for day, _ in days.values()}:
+            needed = needed | F.col("day").eqNullSafe(F.lit(day))
+        in_days = [rank - below for rank, (_, below) in days.items()]
+        ids = select_ranks(keys.where(needed), F.col("id"), lambda *_: in_days, F.col("day"))
+    finally:
+        keys.unpersist()
     return [(days[r][0], ids[days[r][0]][r - days[r][1]][0]) if r in days else None for r in cuts]
 
 
@@ -53,9 +57,9 @@ def time_based_split(
     train_ratio: float = V.TRAIN_RATIO,
     val_ratio: float = V.VAL_RATIO,
 ) -> DataFrame:
-    """Add ``split``. ``df`` is read a few times (two columns of it), so pass a table, not a long plan."""
+    """Add ``split``. ``df`` is read once for the two cut points and once by whoever uses the result."""
     key = _date_key(df, date_col)
-    cuts = cut_points(df, key, id_col, train_ratio, val_ratio) or [None, None]
+    cuts = cut_points(df, key, id_col, train_ratio, val_ratio)
 
     def up_to(cut):
         if cut is None:
