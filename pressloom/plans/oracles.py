@@ -210,7 +210,7 @@ TFIDF_ON_TRAIN = (ARTICLES, SPLIT_ARTICLES, TRAIN_COUNTS, TRAIN_VOCABULARY, weig
 
 PROMPT_ARTICLES = f"""prompt_articles AS (
   SELECT doc_id AS id, headline, coalesce(description, '') AS target,
-    array_to_string(({word_tokens('headline')})[1:3], ', ') AS keywords, source AS topic_label, sentiment, covid_status
+    array_to_string(list_sort(list_distinct({word_tokens('headline')})), ', ') AS keywords, source AS topic_label, sentiment, covid_status
   FROM articles)"""
 
 

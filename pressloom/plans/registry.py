@@ -39,7 +39,7 @@ def prompt_articles(spark, d):
         F.col("doc_id").alias("id"),
         "headline",
         F.coalesce("description", F.lit("")).alias("target"),
-        F.array_join(F.slice(K.word_tokens(F.col("headline")), 1, 3), ", ").alias("keywords"),
+        F.array_join(F.sort_array(F.array_distinct(K.word_tokens(F.col("headline")))), ", ").alias("keywords"),
         F.col("source").alias("topic_label"),
         "sentiment",
         "covid_status",
