@@ -1,5 +1,6 @@
 """Session-level helpers: a local session for tests, and the shared folder for written tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -28,13 +29,13 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only a local-mode session without that setting gets a temporary folder; on a cluster a missing
-    setting is an error, because a machine-local folder would not survive the loss of its executor.
+    Only a session of one process (``local`` or ``local[n]``, as in tests) gets a temporary folder; with executors
+    a missing setting is an error, because a machine-local folder would not survive the loss of its executor.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="pressloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
