@@ -114,7 +114,8 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     shared = found.where("name is not null")
     best = F.min(F.struct((-F.col("n_chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     groups = shared.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    grouped = shared.join(groups, ["level", "name"]).select(
+    # Written, so that the join can split the task of a large group.
+    grouped = shared.join(write_and_read(groups, "groups"), ["level", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row_key") == F.col("best.row_key")).alias("kept"), "text_sha256", "n_chars",
     )
