@@ -1,9 +1,11 @@
 """The queries of this folder and, where SQL can express them, what DuckDB must return."""
 
-from pressloom.llm import exact_dedup, mixing, packing
+from pressloom.llm import exact_dedup, mixing, near_dups, packing, quality
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op5_quality": quality.op5_quality,
+    "op6_near_duplicates": near_dups.op6_near_duplicates,
     "op7_mixing": mixing.op7_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
