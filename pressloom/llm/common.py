@@ -22,6 +22,21 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
+def key_of(*parts: Column) -> Column:
+    """One text that is never null from columns of any kind; null differs from every value."""
+    return F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts))
+
+
+def stay_only(docs: DataFrame, key: Column, stay: DataFrame, stay_key: Column) -> DataFrame:
+    """The rows of ``docs`` whose key is among those of ``stay``, one row for each key, with all their columns.
+
+    The keys are cut to their digest, and both steps use the one shuffle by it.
+    """
+    name = free_name(docs, "row_key")
+    kept = stay.select(F.sha2(stay_key, 256).alias(name))
+    return docs.withColumn(name, F.sha2(key, 256)).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet, so that a column of the same name in the input survives."""
     taken = {c.lower() for c in df.columns}

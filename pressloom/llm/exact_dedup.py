@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.common import BLANK, free_name, table, text_of
+from pressloom.llm.common import BLANK, key_of, stay_only, table, text_of
 from pressloom.session import write_and_read
 
 #: Code points in a block.
@@ -123,16 +123,11 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The input rows that stay, with all their columns."""
-    key = free_name(docs, "text_key")
-    stay = verdicts(docs, id_col, text_col, block).where("kept").select(
-        F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"), F.col("n_chars").alias("stay_chars")
-    )
-    size = free_name(docs, "text_size")
-    keyed = docs.withColumn(key, F.sha2(normalised(text_of(text_col)), 256)).withColumn(size, F.length(text_of(text_col)))
-    same = keyed[id_col].eqNullSafe(stay["stay_id"]) & (keyed[key] == stay["stay_sha"]) & (keyed[size] == stay["stay_chars"])
-    # Rows that repeat id and text match together; one of them stays.
-    return keyed.join(stay, same, "left_semi").dropDuplicates([id_col, key]).drop(key, size)
+    """The input rows that stay, with all their columns; of rows that repeat id and text one stays."""
+    stay = verdicts(docs, id_col, text_col, block).where("kept")
+    text = text_of(text_col)
+    key = key_of(F.col(f"`{id_col}`"), F.length(text), F.sha2(normalised(text), 256))
+    return stay_only(docs, key, stay, key_of(F.col("doc_id"), F.col("n_chars"), F.col("text_sha256")))
 
 
 def op9_exact_dedup(spark, sf_dir):

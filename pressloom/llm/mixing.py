@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressloom.llm.common import free_name, table, text_of
+from pressloom.llm.common import BLANK, free_name, key_of, table, text_of
 from pressloom.session import write_and_read
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -45,6 +45,10 @@ def targets(totals: DataFrame, weights=WEIGHTS, repeats: int = MOST_REPEATS) ->
     return w.select("source", "source_size", F.round(share, 6).alias("target"))
 
 
+def row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.md5(key_of(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.md5(text_of(text_col))))
+
+
 def _before(rows: DataFrame, outer: list[str], inner: str, size: str, name: str) -> DataFrame:
     """Add the sum of ``size`` over the rows before this one in the order of ``inner`` within ``outer``."""
     w = Window.partitionBy(*outer).orderBy(inner).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +59,7 @@ def schedule(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, repeats: int = MOST_REPEATS, seed: str = SEED,
 ) -> DataFrame:
-    """Every row's place in the mix: ``doc_id, text_key, size, source_size, target, taken, epochs, cut, virtual_finish``.
+    """Every row's place in the mix: ``doc_id, row_key, size, source_size, target, taken, epochs, cut, virtual_finish``.
 
     A source plays its documents in a shuffled order (MD5 of seed and id), again and again. The virtual finish time
     of a copy is the source's words up to its end divided by the source's target, so at any time every source has
@@ -72,7 +76,7 @@ def schedule(
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
     sized = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(text_of(text_col)).alias("size"),
-        key.alias("key"), F.md5(text_of(text_col)).alias("text_key"),
+        key.alias("key"), row_key(id_col, text_col, source_col).alias("row_key"),
     )
     sized = write_and_read(sized, "sizes").withColumn("p1", F.substring("key", 1, 2)).withColumn("p2", F.substring("key", 3, 2))
     fine = sized.groupBy("source", "p1", "p2").agg(F.sum("size").alias("words"))
@@ -83,12 +87,12 @@ def schedule(
     same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["p1"] == b["p1"])
     base = fine.join(coarse, same(fine, coarse)).select(fine["source"], fine["p1"], "p2", (F.col("base1") + F.col("base2")).alias("base"))
     base = base.join(goals, base["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    local = Window.partitionBy("source", "p1", "p2").orderBy("key", "doc_id", "size", "text_key")
+    local = Window.partitionBy("source", "p1", "p2").orderBy("key", "doc_id", "size", "row_key")
     placed = sized.withColumn(
         "inside", F.coalesce(F.sum("size").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     rows = placed.join(base, same(placed, base) & (placed["p2"] == base["p2"])).select(
-        "doc_id", placed["source"], "text_key", "size", "source_size", "target", (F.col("base") + F.col("inside")).alias("begin")
+        "doc_id", placed["source"], "row_key", "size", "source_size", "target", (F.col("base") + F.col("inside")).alias("begin")
     )
     goal = F.floor("target")
     rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
@@ -96,11 +100,36 @@ def schedule(
     rows = rows.withColumn("cut", F.greatest(F.lit(0), F.least(F.col("size"), rest)).cast("long"))
     finish = (F.col("begin") + F.col("size")) / F.col("target")
     return rows.select(
-        "doc_id", "source", "text_key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"),
+        "doc_id", "source", "row_key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"),
         "epochs", "cut", F.when(F.col("target") > 0, finish).otherwise(0.0).alias("virtual_finish"),
     )
 
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed documents with all their columns, globally sorted by virtual finish time.
+
+    A document comes once for each of its copies before the cut; a copy that the cut divides (one for each source at
+    most) comes with the words before it. Rows that repeat id, source and text take their other columns from one of them.
+    """
+    plan = schedule(docs, id_col, text_col, source_col, **options).where("taken > 0")
+    each = plan.withColumn("copy", F.explode(F.expr("sequence(0L, epochs)"))).withColumn(
+        "words", F.when(F.col("copy") < F.col("epochs"), F.col("size")).otherwise(F.col("cut"))
+    )
+    key, words, whole, finish = (free_name(docs, n) for n in ("row_key", "words", "whole_words", "finish"))
+    each = each.where("words > 0").select(
+        F.col("row_key").alias(key), F.col("words").alias(words), F.col("size").alias(whole),
+        # The fraction of its target that the source has given when this copy ends.
+        (F.col("virtual_finish") + F.col("copy") * F.col("source_size") / F.col("target")).alias(finish),
+    )
+    start = F.array_join(
+        F.slice(F.regexp_extract_all(text_of(text_col), F.lit(f"{BLANK}*{WORD}"), F.lit(0)), F.lit(1), F.col(words).cast("int")), ""
+    )
+    text = F.when(F.col(words) < F.col(whole), start).otherwise(F.col(f"`{text_col}`"))
+    one = docs.withColumn(key, row_key(id_col, text_col, source_col)).dropDuplicates([key])
+    mixed = one.join(each, key).withColumn(text_col, text)
+    return mixed.repartitionByRange(finish, key).sortWithinPartitions(finish, key).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op7_mixing(spark, sf_dir):
     """All ``documents``."""
     return schedule(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -109,7 +138,8 @@ def op7_mixing(spark, sf_dir):
 ORACLE = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k, md5(coalesce(text, '')) AS t FROM documents),
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k, 
+         md5(coalesce('=' || CAST(doc_id AS VARCHAR), '-') || '|' || coalesce('=' || source, '-') || '|=' || md5(coalesce(text, ''))) AS t FROM documents),
 s AS (
   SELECT source, sum(size) AS n, [1.0::DOUBLE, 2.0, 3.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS w
   FROM d GROUP BY source),

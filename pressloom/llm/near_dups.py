@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.common import WORD_BYTE, Prefix, free_name, joined, mix64, powers, runs, steps, table, text_of
+from pressloom.llm.common import WORD_BYTE, Prefix, joined, key_of, mix64, powers, runs, stay_only, steps, table, text_of
 from pressloom.llm.graph import components
 from pressloom.session import write_and_read
 
@@ -236,11 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, one of each class, with all their columns."""
-    key = free_name(docs, "text_key")
-    stay = near_duplicates(docs, id_col, text_col).where("stays").select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_key"))
-    keyed = docs.withColumn(key, F.sha2(text_of(text_col), 256))
-    same = keyed[id_col].eqNullSafe(stay["stay_id"]) & (keyed[key] == stay["stay_key"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates([id_col, key]).drop(key)
+    stay = near_duplicates(docs, id_col, text_col).where("stays")
+    key = key_of(F.col(f"`{id_col}`"), F.sha2(text_of(text_col), 256))
+    return stay_only(docs, key, stay, key_of(F.col("doc_id"), F.col("text_key")))
 
 
 def op6_near_duplicates(spark, sf_dir):

@@ -1,6 +1,7 @@
 """The queries of this folder and, where SQL can express them, what DuckDB must return."""
 
-from pressloom.llm import exact_dedup, mixing, near_dups, packing, quality
+import corpus_pipeline
+from pressloom.llm import chat, exact_dedup, mixing, near_dups, packing, quality
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -8,8 +9,11 @@ QUERIES = {
     "op6_near_duplicates": near_dups.op6_near_duplicates,
     "op7_mixing": mixing.op7_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_chat_format": chat.op10_chat_format,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op7_mixing": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op10_chat_format": chat.ORACLE,
 }
