@@ -157,7 +157,9 @@ def fit(
 
 
 def score(docs: DataFrame, model: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of the whole text, 0 to 1. Null text counts as empty."""
+    """All columns of ``docs`` and the score of the whole text, 0 to 1. Null text counts as empty; a text's score does not
+    depend on the rows beside it. Where ``docs`` has a column of that name, the score's gets underscores in front."""
+    score_col = free_name(docs, score_col)
     weights = np.asarray(model, np.float32)
     text = free_name(docs, "scored_text")
     source = docs.withColumn(text, text_of(text_col))
