@@ -22,7 +22,10 @@ NA_TOKENS = [
 ]
 
 # --- date formats tried in this order -------------------------------------------------------------
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy", "d MMM yyyy"]
+DATE_FORMATS = [
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm[:ss][.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][.SSS][XXX]", "yyyy/M/d[ HH:mm:ss]",
+    "dd/MM/yyyy", "M/d/yyyy", "d/M/yyyy", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy",
+]
 
 # --- cleaning patterns ----------------------------------------------------------------------------
 # Python's Unicode white space, spelt out because neither Java's nor RE2's \s covers it.

@@ -28,9 +28,7 @@ def remove_html_entities(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def normalize_unicode(texts: pd.Series) -> pd.Series:
-    """Compose to NFC, then delete what is not ASCII: a precomposed é vanishes, it does not become e."""
-
+def _to_ascii(texts: pd.Series) -> pd.Series:
     def to_ascii(text):
         if text is None or text.isascii():
             return text
@@ -39,6 +37,12 @@ def normalize_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(to_ascii)
 
 
+def normalize_unicode(c: Column) -> Column:
+    """Compose to NFC, then delete what is not ASCII: a precomposed é vanishes, it does not become e. ASCII texts stay
+    in the JVM; only the others travel to Python."""
+    return F.coalesce(_to_ascii(F.when(c.rlike(V.NON_ASCII), c)), c)
+
+
 def remove_special_chars(c: Column) -> Column:
     return F.regexp_replace(c, V.SPECIAL_CHAR, " ")
 

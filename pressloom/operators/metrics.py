@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from pressloom.functions import fixed_values as V
 from pressloom.functions import tokens as K
-from pressloom.functions.lambdas import explode_once, inline_once, let
+from pressloom.functions.lambdas import explode_once, inline_once, let, posexplode_once
 from pressloom.functions.stemming import stem_tokens
 from pressloom.functions.vectors import cosine, dot, sparse_dot, unit
 from pressloom.operators.joins import fits_broadcast, lookup_join
@@ -229,25 +229,17 @@ def with_soft_match(
 
 
 def train_token_vectors(
-    texts: DataFrame, text: str, size: int = 64, min_count: int = 2, max_tokens: int = 200_000, seed: int = V.SEED
+    texts: DataFrame, text: str, size: int = 64, min_count: int = 2, partitions: int = 8, seed: int = V.SEED
 ) -> DataFrame:
-    """Default token table: Word2Vec trained on the given texts, by as many tasks as there are cores.
+    """Default token table: Word2Vec trained on the given texts, every token that occurs ``min_count`` times.
 
-    The model sits on the driver while it is trained, so the count that a token needs is raised until no
-    more than ``max_tokens`` have it.
+    The texts are dealt by value into a fixed number of ``partitions``, so the vectors do not change with the cluster.
+    Spark's model holds tokens x ``size`` numbers on the driver; for a larger vocabulary pass a table of vectors.
     """
     words = texts.select(K.rouge_tokens(F.col(text)).alias("tokens"))
-    frequent = (
-        explode_once(words, [], F.col("tokens"), "token").groupBy("token").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_count).orderBy(F.desc("n")).limit(max_tokens + 1)
-    )
-    found, rarest = frequent.agg(F.count("*"), F.min("n")).first()
-    needed = rarest + 1 if found > max_tokens else min_count
-    tasks = texts.sparkSession.sparkContext.defaultParallelism
-    word2vec = Word2Vec(
-        vectorSize=size, minCount=needed, seed=seed, inputCol="tokens", maxIter=1, numPartitions=tasks
-    )
-    return word2vec.fit(words).getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
+    dealt = words.repartition(partitions, F.xxhash64("tokens")).sortWithinPartitions("tokens")
+    word2vec = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol="tokens", maxIter=1, numPartitions=partitions)
+    return word2vec.fit(dealt).getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
 
 
 METRIC_GROUPS = {
@@ -296,26 +288,18 @@ def ensure_metrics(df: DataFrame, run_sbert: bool = True, run_rouge: bool = True
     return evaluate_generations(df.drop(*stale), **flags, **models)
 
 
-def contrast_ratio(
-    df: DataFrame, negatives: int = 100, gen: str = "generated_vec", ref: str = "target_vec", id_col: str = "id"
-) -> DataFrame:
-    """Mean similarity of matched pairs over mean similarity to ``negatives`` sampled unrelated targets.
+def contrast_ratio(df: DataFrame, gen: str = "generated_vec", ref: str = "target_vec") -> DataFrame:
+    """Mean similarity of matched pairs over the mean similarity to all other items' targets.
 
-    The sample is the targets with the smallest md5 of their id. A pair's mean over the sample is its dot
-    product with the sample's sum of unit vectors, less its own target if that was drawn: one pass, with a
-    constant the size of one vector.
+    Dot products are linear: over all pairs of different rows they add up to the product of the two vector sums less
+    the matched ones. So one pass with a sum per dimension, combined map-side, compares everything with everything.
+    Pairs with a missing vector do not count; a zero vector is like nothing (0).
     """
-    units = df.select(
-        id_col, unit(F.col(gen)).alias("g"), unit(F.col(ref)).alias("r"), F.md5(F.col(id_col).cast("string")).alias("h")
-    )
-    sample = units.orderBy("h").limit(negatives).select(id_col, "r").collect()
-    total = np.sum([row["r"] for row in sample], axis=0).tolist() if sample else []
-    drawn = F.col(id_col).isin([row[id_col] for row in sample]).cast("int")
-    matched = dot(F.col("g"), F.col("r"))
-    others = F.lit(len(sample)) - drawn
-    unrelated = (dot(F.col("g"), F.array(*[F.lit(x) for x in total])) - drawn * matched) / F.nullif(others, F.lit(0))
-    return (
-        units.select(matched.alias("m"), unrelated.alias("u"))
-        .agg(F.avg("m").alias("matched_mean"), F.avg("u").alias("unrelated_mean"))
-        .withColumn("contrast_ratio", F.try_divide("matched_mean", "unrelated_mean"))
-    )
+    units = df.select(unit(F.col(gen)).alias("g"), unit(F.col(ref)).alias("r")).where("g is not null and r is not null")
+    long = posexplode_once(units, [], F.arrays_zip("g", "r"), "pos", "x")
+    sums = long.groupBy("pos").agg(F.sum("x.g").alias("g"), F.sum("x.r").alias("r"), F.sum(F.col("x.g") * F.col("x.r")).alias("m"), F.count("x").alias("n"))
+    total = sums.agg(F.sum(F.col("g") * F.col("r")).alias("all"), F.sum("m").alias("matched"), F.max("n").alias("n"))
+    pairs = F.col("n") * (F.col("n") - 1)
+    return total.select(
+        F.try_divide("matched", "n").alias("matched_mean"), F.try_divide(F.col("all") - F.col("matched"), pairs).alias("unrelated_mean")
+    ).withColumn("contrast_ratio", F.try_divide("matched_mean", "unrelated_mean"))

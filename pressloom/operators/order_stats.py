@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 65536
+INFINITY = float("inf")
 
 
 def _offset(value: Column, lo, hi) -> tuple[Column, float]:
@@ -32,9 +33,14 @@ def select_ranks(
     result. The number of groups must be small; each one adds a driver row.
     """
     rows = df.select((F.lit(0) if group is None else group).alias("g"), value.alias("v"))
+    # The infinities are end buckets of their own: the range between them has a width.
+    finite = F.when((F.col("v") != -INFINITY) & (F.col("v") != INFINITY), F.col("v"))
     limits = (
         rows.groupBy("g")
-        .agg(F.count("v").alias("n"), F.count("*").alias("n_rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .agg(
+            F.count("v").alias("n"), F.count("*").alias("n_rows"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+            F.count_if(F.col("v") == -INFINITY).alias("n_lowest"), F.count_if(F.col("v") == INFINITY).alias("n_highest"),
+        )
         .collect()
     )
 
@@ -50,7 +56,11 @@ def select_ranks(
             open_ranges[(g, lo, hi)] = (below, wanted)
 
     for r in limits:
-        place(r["g"], r["lo"], r["hi"], 0, [k for k in sorted(set(ranks(r["n"], r["n_rows"]))) if 1 <= k <= r["n"]])
+        g, top = r["g"], r["n"] - r["n_highest"]
+        wanted = [k for k in sorted(set(ranks(r["n"], r["n_rows"]))) if 1 <= k <= r["n"]]
+        place(g, -INFINITY, -INFINITY, 0, [k for k in wanted if k <= r["n_lowest"]])
+        place(g, r["lo"], r["hi"], r["n_lowest"], [k for k in wanted if r["n_lowest"] < k <= top])
+        place(g, INFINITY, INFINITY, top, [k for k in wanted if k > top])
 
     while open_ranges:
         todo, open_ranges = open_ranges, {}

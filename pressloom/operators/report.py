@@ -10,8 +10,6 @@ from pressloom.operators.order_stats import exact_medians
 
 log = logging.getLogger(__name__)
 
-IN_MEMORY_MEDIAN_ROWS = 1_000_000
-
 
 def _present(df: DataFrame, metrics) -> list[str]:
     return [m for m in metrics if m in df.columns]
@@ -39,28 +37,28 @@ def _long(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 def summary_long(df: DataFrame, keys=("split",), metrics=V.METRICS) -> DataFrame:
     """One row per key and metric with mean, std, min, median, max.
 
-    The median of a group of up to ``IN_MEMORY_MEDIAN_ROWS`` rows is Spark's own. That aggregate holds a
-    whole group in memory, so larger groups take theirs from order statistics over histograms.
+    Spark's own median holds a whole group in memory; here it comes from order statistics over histograms, whatever
+    the size of the group. Keys are report keys: a split and a strategy, so the lookup has a row per report line.
     ``df`` is read more than once: pass a table, not a long plan.
     """
     keys, metrics = list(keys), _present(df, metrics)
     long = _long(df, keys, metrics)
     groups = [*keys, "metric"]
     stats = [*_five_stats("value"), F.count("value").alias("_n")]
-    biggest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest <= IN_MEMORY_MEDIAN_ROWS:
-        table = long.groupBy(*groups).agg(*stats, F.median("value").alias("median"))
-    else:
-        medians = exact_medians(long, F.col("value"), F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}))
-        lookup = df.sparkSession.createDataFrame(list(medians.items()), "_g string, median double")
-        summed = long.groupBy(*groups).agg(*stats)
-        name = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
-        table = summed.withColumn("_g", name).join(F.broadcast(lookup), "_g", "left")
+    name = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
+    medians = exact_medians(long, F.col("value"), name)
+    lookup = df.sparkSession.createDataFrame(list(medians.items()), "_g string, median double")
+    table = long.groupBy(*groups).agg(*stats).withColumn("_g", name).join(F.broadcast(lookup), "_g", "left")
     return table.select(*groups, *V.SUMMARY_STATS)
 
 
 def summary_by_strategy(df: DataFrame, metrics=V.METRICS) -> DataFrame:
-    """One row per split and strategy, columns ``<metric>_<stat>``; rows without a strategy do not count."""
+    """One row per split and strategy, columns ``<metric>_<stat>``; rows without a strategy do not count.
+
+    A table without the strategy column has no strategies to compare: it gets the long summary, a row per metric.
+    """
+    if "prompt_strategy" not in df.columns:
+        return summary_long(df, ["split"], metrics)
     metrics = _present(df, metrics)
     keys = ["split", "prompt_strategy"]
     long = summary_long(df.where(F.col("prompt_strategy").isNotNull()), keys, metrics)

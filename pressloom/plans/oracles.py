@@ -549,9 +549,8 @@ FROM prompt_articles, (SELECT unnest(['structured', 'detailed', 'role_based', 'm
 FROM r1 JOIN r2 ON r1.id = r2.id JOIN rl ON rl.id = r1.id"""),
     "G9_contrast_ratio": with_(
         VECTOR_PAIRS,
-        "drawn AS (SELECT id, r FROM vector_pairs ORDER BY md5(CAST(id AS VARCHAR)) LIMIT 100)",
         """unrelated AS (SELECT a.id, avg(list_dot_product(a.g, b.r) / sqrt(list_dot_product(a.g, a.g) * list_dot_product(b.r, b.r))) AS u
-  FROM vector_pairs a JOIN drawn b ON a.id <> b.id GROUP BY a.id)""",
+  FROM vector_pairs a JOIN vector_pairs b ON a.id <> b.id GROUP BY a.id)""",
         """means AS (SELECT avg(list_dot_product(g, r) / sqrt(list_dot_product(g, g) * list_dot_product(r, r))) AS m,
   avg(u) AS u FROM vector_pairs v JOIN unrelated n ON n.id = v.id)""",
         select=f"SELECT {rnd('m')} AS matched_mean, {rnd('u')} AS unrelated_mean, {rnd('m / u')} AS contrast_ratio FROM means"),

@@ -51,13 +51,3 @@ def write_and_read(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give per-row work to all cores where a table has fewer scan partitions than the cluster has cores.
-
-    A large table has far more partitions than that and is left as it is. Only for plain scans, whose
-    partition count is known without running anything.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

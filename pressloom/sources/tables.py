@@ -24,15 +24,27 @@ def read_articles(
     """CSV with a header, quoted line breaks and the usual NA marks as null; every field is text.
 
     A file whose fields contain line breaks cannot be split, so one task reads one file: keep such data in
-    many files, or pass ``multi_line=False`` where no field holds a line break. ``schema=None`` takes the
-    column names from the header.
+    many files, or pass ``multi_line=False`` where no field holds a line break. Columns are found by the header's
+    names, whatever their order, capitals and blanks: those of ``schema`` come first (null where the file has none),
+    then all others. ``schema=None`` takes the header as it is. The files of one call share one header.
     """
     reader = spark.read.options(
         header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8", nullValue="", emptyValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxCharsPerColumn=-1,
     )
-    raw = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-    return raw.select(*[_null_if_na(c) if t == "string" else F.col(f"`{c}`") for c, t in raw.dtypes])
+    raw = reader.csv(path)
+    if schema is None:
+        return raw.select(*map(_null_if_na, raw.columns))
+    found = {_plain(c): c for c in reversed(raw.columns)}
+    wanted = {_plain(f.name): f for f in schema}
+    known = [
+        (_null_if_na(found[p]) if p in found else F.lit(None)).cast(f.dataType).alias(f.name) for p, f in wanted.items()
+    ]
+    return raw.select(*known, *[_null_if_na(c) for c in raw.columns if _plain(c) not in wanted])
+
+
+def _plain(name: str) -> str:
+    return "_".join(name.strip().lower().split())
 
 
 def with_row_ids(df: DataFrame, col: str = "doc_id") -> DataFrame:

@@ -146,3 +146,21 @@ def test_all_jobs_in_a_row(spark, tmp_path):
 def test_evaluation_of_nothing_still_writes_a_report(spark, tmp_path):
     assert jobs.run_evaluation(spark, str(tmp_path / "none"), str(tmp_path / "out")) is None
     assert spark.read.text(str(tmp_path / "out" / "evaluation_report")).where("value = '_No results available._'").count() == 2
+
+
+def test_csv_columns_follow_the_header(spark, tmp_path):
+    from pressloom.sources.tables import read_articles
+
+    (tmp_path / "a.csv").write_text('Headline,date,Extra, Source\n"One, two",2020-03-15,more,reuters\nThree,NA,,\n')
+    found = read_articles(spark, str(tmp_path / "a.csv"))
+    assert found.columns == ["Date", "Headline", "Description", "Covid Status", "Image URL", "Source", "Sentiment", "Extra"]
+    assert [tuple(r) for r in found.collect()] == [
+        ("2020-03-15", "One, two", None, None, None, "reuters", None, "more"), (None, "Three", None, None, None, None, None, None),
+    ]
+
+
+def test_summary_without_strategies(spark):
+    from pressloom.operators.report import summary_by_strategy
+
+    rows = spark.createDataFrame([("val", 0.5), ("val", 1.0)], "split string, rouge1 double")
+    assert [(r.split, r.metric, r["mean"], r["median"]) for r in summary_by_strategy(rows).collect()] == [("val", "rouge1", 0.75, 0.75)]

@@ -109,3 +109,16 @@ def test_csv_round_trip_with_na_marks(spark, tmp_path):
     assert by_header.columns == V.SOURCE_COLUMNS
     ids = [r["doc_id"] for r in tables.with_row_ids(by_header).collect()]
     assert ids == list(range(9))  # one file: the ids are the row positions
+
+
+def test_dates_in_common_forms(spark):
+    from pressloom.functions.text import parse_timestamp
+
+    texts = {
+        "2020-03-15": "2020-03-15 00:00:00", "2020-03-15 10:00": "2020-03-15 10:00:00", "2020-03-15 10:00:00.123": "2020-03-15 10:00:00.123",
+        "2020-03-15T10:00:00Z": "2020-03-15 10:00:00", "2020-03-15T10:00:00+02:00": "2020-03-15 08:00:00", "2020/03/15": "2020-03-15 00:00:00",
+        "15-Mar-2020": "2020-03-15 00:00:00", "Mar 15, 2020": "2020-03-15 00:00:00", "March 15, 2020": "2020-03-15 00:00:00",
+        "03/25/2020": "2020-03-25 00:00:00", "5/3/2020": "2020-05-03 00:00:00", "25/03/2020": "2020-03-25 00:00:00", "soon": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_timestamp(F.col("t")).cast("string").alias("d"))
+    assert {r.t: r.d for r in rows.collect()} == texts
