@@ -21,7 +21,7 @@ def fit_kmeans(
     restarts: int = V.KMEANS_RESTARTS,
     max_iter: int = 300,
     parallel_fits: int = 8,
-    partitions: int = 32,
+    partitions: int = 4,
 ) -> tuple[DataFrame, float]:
     """Centres (cluster_id, center) and cost of the best of ``restarts`` seeds.
 
