@@ -13,6 +13,12 @@ from pressloom.functions.lambdas import let, posexplode_once
 from pressloom.functions.vectors import squared_distance
 
 
+def dealt(df: DataFrame, vector: str = "svd_vector", partitions: int = 4) -> DataFrame:
+    """The vectors as ``features``, dealt and ordered by their values alone."""
+    rows = df.select(vector).repartition(partitions, F.xxhash64(vector)).sortWithinPartitions(vector)
+    return rows.select(array_to_vector(F.col(vector)).alias("features"))
+
+
 def fit_kmeans(
     df: DataFrame,
     vector: str = "svd_vector",
@@ -29,8 +35,7 @@ def fit_kmeans(
     dealt by value into a number of ``partitions`` that depends neither on the rows nor on the cores, and sorted there,
     so a seed means one result on any cluster. Raise it with the data (about 10 million vectors of 100 a partition).
     """
-    dealt = df.select(vector).repartition(partitions, F.xxhash64(vector)).sortWithinPartitions(vector)
-    points = dealt.select(array_to_vector(F.col(vector)).alias("features")).persist()
+    points = dealt(df, vector, partitions).persist()
 
     @inheritable_thread_target(df.sparkSession)
     def fit(s):
