@@ -130,6 +130,9 @@ Write a concise, factual social-media post (≤ 280 characters) that captures th
 [POST]""",
 }
 DEFAULT_STRATEGY = "metadata_aware"
+META_LINE = r"^(Topic|Topic category|Story type|Tone|Keywords|Sentiment|COVID Status): "
+ARTICLE_LABEL = r"^(Headline|Article headline|Article body|Body): "
+SENTENCE = r"[^.!?]+[.!?]*"
 PROMPT_DEFAULTS = {"sentiment": "neutral", "covid_status": "unknown"}
 PROMPT_COLUMNS = ["headline", "keywords", "topic_label", "sentiment", "covid_status", "cluster_id"]
 

@@ -1,6 +1,7 @@
 """Batch text generation with a pluggable model."""
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,18 +15,39 @@ from pressloom.functions.text import clean_generated_text
 Generator = Callable[[list[str]], list[str]]
 
 
-def extractive_lead(max_chars: int = V.MAX_POST_CHARS) -> Generator:
-    """Offline default model: the leading sentences that fit, or the leading characters without any."""
+def prompt_words() -> list[str]:
+    """Words of the prompt templates themselves, and stop words: they say nothing about the article."""
+    fixed = re.sub(r"\{\w+\}", " ", " ".join(V.STRATEGY_TEMPLATES.values())).lower()
+    return sorted({*re.findall(r"\w{2,}", fixed), *V.ENGLISH_STOP_WORDS})
 
-    def lead(text: str) -> str:
-        head = re.sub(r"\s+", " ", text).strip()[:max_chars]
-        sentences = re.match(r".*[.!?]", head)
-        return sentences.group(0) if sentences else head
 
-    return lambda texts: [lead(t) for t in texts]
+def central_sentence() -> Generator:
+    """Offline default model: the prompt's sentence whose words occur most often in the whole prompt.
+
+    A sentence scores the sum, over its distinct words, of how often the prompt has them; words of the templates and
+    stop words do not count. Lines of metadata lend weight and are not answers. Ties go to the first sentence; a prompt
+    without words of its own gives ''. Spark's part is the batching; a language model takes this one's place.
+    """
+    ignored = frozenset(prompt_words())
+
+    def words(text: str) -> list[str]:
+        return [w for w in re.findall(r"\w{2,}", text.lower()) if w not in ignored]
+
+    def answer(prompt: str) -> str:
+        counts, best, best_score = Counter(words(prompt)), "", 0
+        for line in prompt.split("\n"):
+            if re.search(V.META_LINE, line):
+                continue
+            for sentence in re.findall(V.SENTENCE, re.sub(V.ARTICLE_LABEL, "", line)):
+                score = sum(counts[w] for w in set(words(sentence)))
+                if score > best_score:
+                    best, best_score = sentence, score
+        return re.sub(r"\s+", " ", best).strip()
+
+    return lambda texts: [answer(t) for t in texts]
 
 
-def generated(prompt: Column, factory: Callable[[], Generator] = extractive_lead, batch_size: int = V.BATCH_SIZE) -> Column:
+def generated(prompt: Column, factory: Callable[[], Generator] = central_sentence, batch_size: int = V.BATCH_SIZE) -> Column:
     """``factory`` builds the model once per task; only the prompt column crosses to Python.
 
     Declared non-deterministic, so that a filter on the text never makes the model run twice.
@@ -47,7 +69,7 @@ def generated(prompt: Column, factory: Callable[[], Generator] = extractive_lead
 def generate_batch(
     df: DataFrame,
     prompt_col: str = "prompt_text",
-    factory: Callable[[], Generator] = extractive_lead,
+    factory: Callable[[], Generator] = central_sentence,
     batch_size: int = V.BATCH_SIZE,
     out: str = "generated_text",
 ) -> DataFrame:

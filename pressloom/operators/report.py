@@ -142,7 +142,8 @@ def _cell(df: DataFrame, c: str) -> Column:
 def markdown_lines(summary: DataFrame, splits, title: str = "Evaluation Report") -> DataFrame:
     """The report as (line_no, line). A summary has a row per split and strategy, so it fits one partition."""
     spark = summary.sparkSession
-    columns = [c for c in summary.columns if c != "split"]
+    columns = summary.columns
+    order_by = next((c for c in ("prompt_strategy", "metric") if c in columns), columns[0])
     fixed, order = [(0, 0, 0, f"# {title}"), (0, 0, 1, ""), (0, 0, 2, "---"), (0, 0, 3, "")], {}
     filled = {r["split"] for r in summary.select("split").distinct().collect()}
     for i, split in enumerate(splits, start=1):
@@ -159,7 +160,7 @@ def markdown_lines(summary: DataFrame, splits, title: str = "Evaluation Report")
     body = summary.select(
         section.alias("section"),
         F.lit(2).alias("part"),
-        F.row_number().over(Window.partitionBy("split").orderBy(columns[0])).alias("nr"),
+        F.row_number().over(Window.partitionBy("split").orderBy(order_by)).alias("nr"),
         F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(summary, c) for c in columns]), F.lit(" |")).alias("line"),
     ).where(F.col("section").isNotNull())
     lines = spark.createDataFrame(fixed, "section int, part int, nr int, line string").unionByName(body)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
-from pressloom.operators.order_stats import select_ranks
+from pressloom.operators.order_stats import select_ranks, select_text_rank
 
 
 def _date_key(df: DataFrame, date_col: str) -> Column:
@@ -34,12 +34,17 @@ def cut_points(df: DataFrame, key: Column, id_col: str, train_ratio: float, val_
         return cuts
 
     # Two numbers per row, cached for the few passes; a lost part is computed again from the source.
-    keys = df.select(key.alias("day"), F.col(id_col).cast("long").alias("id")).persist()
+    is_text = df.schema[id_col].dataType.typeName() == "string"
+    keys = df.select(key.alias("day"), F.col(id_col).cast("string" if is_text else "long").alias("id")).persist()
     try:
         by_date = select_ranks(keys, F.col("day"), wanted).get(0, {})
         days = {rank: by_date.get(rank, (None, sizes["dated"])) for rank in cuts if rank > 0}
         if not days:
             return [None, None]
+        if is_text:
+            on_day = {day: keys.where(F.col("day").eqNullSafe(F.lit(day))) for day, _ in days.values()}
+            ids = {r: select_text_rank(on_day[day], F.col("id"), r - below) for r, (day, below) in days.items()}
+            return [(days[r][0], ids[r]) if r in days else None for r in cuts]
         needed = F.lit(False)
         for day in {day for day, _ in days.values()}:
             needed = needed | F.col("day").eqNullSafe(F.lit(day))

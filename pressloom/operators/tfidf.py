@@ -6,13 +6,21 @@ and each text becomes ``features``: array<struct<term_id, term, tf, weight>>, in
 is exploded and no article is shuffled. A vocabulary beyond ``ROW_LOCAL_TERMS`` is joined instead.
 """
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pressloom.functions import fixed_values as V
 from pressloom.functions import tokens as K
-from pressloom.functions.lambdas import array_sum, explode_once, inline_once, let, rounded
+from pressloom.functions.lambdas import array_sum, explode_once, inline_once, let
 from pressloom.operators.joins import fits_broadcast, lookup_join
+from pressloom.session import write_and_read
 
 ROW_LOCAL_TERMS = 50_000
 _HASH_SLOTS = 16_384
@@ -146,19 +154,76 @@ def top_keywords(features: Column, k: int = V.TOP_KEYWORDS) -> Column:
 
 
 def tfidf_search(
-    queries: DataFrame, documents: DataFrame, k: int = 10, query_id: str = "query_id", doc_id: str = "doc_id"
+    queries: DataFrame, documents: DataFrame, k: int = 10, query_id: str = "query_id", doc_id: str = "doc_id",
+    block: int = 2_000,
 ) -> DataFrame:
-    """The ``k`` most similar documents per query; both sides carry ``features``.
+    """The ``k`` most similar documents per query that share a term with it; both sides carry ``features``.
 
-    The products are summed per (query, document) before anything is ranked, and the ranking keeps ``k``
-    rows per query and task ahead of its own shuffle (window group limit).
+    A document's whole row is local, so tasks multiply their rows with a broadcast block of at most ``block`` queries
+    and return ``k`` rows per query and task: no score of a document leaves its task unless it can win. More queries
+    mean more blocks, each a pass over the documents, so pass a table there. Scores count to six digits, ties
+    go to the smaller document id.
     """
-    asked = tfidf_matrix(queries, query_id).select("term_id", query_id, F.col("weight").alias("q_weight"))
-    doc_terms = tfidf_matrix(documents, doc_id).select(doc_id, "term_id", "weight")
-    scores = (
-        lookup_join(doc_terms, asked, "term_id", doc_id)
-        .groupBy(query_id, doc_id)
-        .agg(rounded(F.sum(F.col("weight") * F.col("q_weight"))).alias("score"))
+    asked = queries.select(F.col(query_id).alias("query"), "features").where(F.size("features") > 0)
+    asked = write_and_read(asked, "queries")  # counted, then read once per block
+    n_blocks = max(1, -(-asked.count() // block))
+    nr = F.pmod(F.xxhash64("query"), F.lit(n_blocks))
+    kind = queries.schema[query_id].dataType
+    found = [
+        _best_per_task(documents, asked.where(nr == i).toArrow(), k, kind, doc_id) for i in range(n_blocks)
+    ]
+    best = reduce(DataFrame.unionByName, found)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), doc_id))
+    ranked = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(query_id), doc_id, "score", "rank")
+
+
+def _best_per_task(documents: DataFrame, asked: pa.Table, k: int, query_type: T.DataType, doc_id: str) -> DataFrame:
+    """(query, doc_id, score) of the ``k`` best documents of every task for each query of one block."""
+    rows = asked.column("features").to_pylist()
+    used = sorted({e["term_id"] for row in rows for e in row})
+    column = {t: i for i, t in enumerate(used)}
+    weights = np.zeros((len(used), len(rows)))
+    for j, row in enumerate(rows):
+        for e in row:
+            weights[column[e["term_id"]], j] = e["weight"]
+    shared = documents.sparkSession.sparkContext.broadcast((np.array(used), weights, asked.column("query")))
+
+    def keep_best(batches):
+        terms, matrix, names = shared.value
+        kept = [(np.zeros(0), None)] * matrix.shape[1]
+        for batch in batches:
+            lists = batch.column("ids")
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            term, weight = lists.flatten().to_numpy(zero_copy_only=False), batch.column("weights").flatten().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(terms, term)
+            known = np.flatnonzero(np.append(terms, -1)[at] == term) if len(terms) else at[:0]
+            row, at, weight = row[known], at[known], weight[known]
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for start in range(0, len(ids), 256):  # a dense slice of 256 documents at a time
+                lo, hi = np.searchsorted(row, [start, start + 256])
+                dense = np.zeros((min(256, len(ids) - start), len(terms)))
+                dense[row[lo:hi] - start, at[lo:hi]] = weight[lo:hi]
+                scores = dense @ matrix
+                for j in np.flatnonzero((scores > 0).any(axis=0)):
+                    hits = np.flatnonzero(scores[:, j] > 0)
+                    old, old_ids = kept[j]
+                    score, names_of = np.round(scores[hits, j], 6), ids[start + hits]
+                    if old_ids is not None:
+                        score, names_of = np.concatenate([old, score]), np.concatenate([old_ids, names_of])
+                    best = np.lexsort((names_of, -score))[:k]
+                    kept[j] = (score[best], names_of[best])
+        for j, (score, names_of) in enumerate(kept):
+            if names_of is not None:
+                who = pa.array([names[j].as_py()] * len(score), names.type)
+                yield pa.RecordBatch.from_arrays([who, pa.array(names_of, id_type), pa.array(score)], ["query", doc_id, "score"])
+
+    schema = T.StructType().add("query", query_type).add(doc_id, documents.schema[doc_id].dataType).add("score", T.DoubleType())
+    id_type = to_arrow_type(documents.schema[doc_id].dataType)
+    sparse = documents.select(
+        F.col(doc_id).alias("id"),
+        F.transform("features", lambda e: e["term_id"]).alias("ids"),
+        F.transform("features", lambda e: e["weight"]).alias("weights"),
     )
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    return sparse.mapInArrow(keep_best, schema)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
-from pressloom.functions.lambdas import let, posexplode_once
-from pressloom.functions.vectors import squared_distance
+from pressloom.functions.lambdas import inline_once, let
+from pressloom.functions.vectors import dot, squared_distance
 
 
 def dealt(df: DataFrame, vector: str = "svd_vector", partitions: int = 4) -> DataFrame:
@@ -86,13 +86,14 @@ def cluster_inertia(assigned: DataFrame) -> DataFrame:
 
 def topic_labels(centres: DataFrame, components: DataFrame, top: int = V.TOP_TERMS_PER_CLUSTER) -> DataFrame:
     """(cluster_id, topic_label): centres taken back to term space, the heaviest terms joined by ' | '."""
-    by_component = posexplode_once(centres, ["cluster_id"], F.col("center"), "comp", "c")
-    loadings = posexplode_once(components, ["term_id", "term"], F.col("vector"), "comp", "v")
-    in_terms = (
-        by_component.join(loadings, "comp")
-        .groupBy("cluster_id", "term_id", "term")
-        .agg(F.round(F.sum(F.col("c") * F.col("v")), 9).alias("w"))
+    weighed = let(
+        F.struct(F.col("vector").alias("v"), _centres_column(centres).alias("cs")),
+        lambda x: F.transform(
+            x["cs"], lambda c: F.struct(c["cluster_id"].alias("cluster_id"), F.round(dot(c["center"], x["v"]), 9).alias("w"))
+        ),
     )
+    # k rows per term, then k x top rows per task: the window's group limit works ahead of its shuffle.
+    in_terms = inline_once(components, ["term"], weighed, "cluster_id")
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("w"), "term"))
     best = in_terms.withColumn("rank", rank).where(F.col("rank") <= top)
     return best.groupBy("cluster_id").agg(

@@ -101,18 +101,15 @@ def run_generation(
     prompt_path: str,
     output_path: str,
     strategy: str = V.DEFAULT_STRATEGY,
-    factory=generate.extractive_lead,
-    input_col: str = "target",
+    factory=generate.central_sentence,
+    input_col: str = "prompt_text",
     batch_size: int = V.BATCH_SIZE,
     run_sbert: bool = True,
     run_rouge: bool = True,
     run_bertscore: bool = True,
     **models,
 ) -> DataFrame:
-    """Prompts under one strategy, generated and cleaned text, and its metrics.
-
-    A language model reads ``input_col="prompt_text"``; the offline default takes its lead from the target.
-    """
+    """Prompts under one strategy, the text generated from them, cleaned, and its metrics."""
     df = prompts.build_prompt(spark.read.parquet(prompt_path), strategy)
     df = generate.tag_generation(generate.generate_batch(df, input_col, factory, batch_size), strategy)
     if run_sbert or run_rouge or run_bertscore:

@@ -2,6 +2,7 @@
 
 from pressloom.functions import fixed_values as V
 from pressloom.functions import stemming
+from pressloom.operators.generate import prompt_words
 
 
 def q(text: str) -> str:
@@ -268,8 +269,7 @@ SCORED = (
     """scored AS (SELECT p.*, r1.f1 AS rouge1, r2.f1 AS rouge2
   FROM pairs p JOIN r1 ON r1.id = p.id JOIN r2 ON r2.id = p.id)""",
 )
-FULL_ROUGE = (PAIRS, PAIR_TOKENS, overlap_f1("r1", "pair_tokens", UNIGRAMS), overlap_f1("r2", "pair_tokens", BIGRAMS),
-              lcs_f1("rl", "pair_tokens"))
+
 
 
 def stat_columns(metric: str, name: str, wrap=rnd) -> str:
@@ -294,14 +294,14 @@ def _report() -> str:
     cells = " || ' | ' || ".join(f"coalesce(printf('%.4f', {c}), 'nan')" for c in columns)
     sections = []
     for i, name in enumerate(("val", "test", "train"), start=1):
-        head = "| prompt_strategy | " + " | ".join(columns) + " |"
-        rule = "|" + "---|" * (len(columns) + 1)
+        head = "| split | prompt_strategy | " + " | ".join(columns) + " |"
+        rule = "|" + "---|" * (len(columns) + 2)
         some = f"EXISTS (SELECT 1 FROM summary WHERE split = '{name}')"
         sections += [
             f"SELECT {i}, 0, 0, '## {name.capitalize()} Set Results'", f"SELECT {i}, 0, 1, ''",
             f"SELECT {i}, 1, 0, CASE WHEN {some} THEN {q(head)} ELSE '_No results available._' END",
             f"SELECT {i}, 1, 1, {q(rule)} WHERE {some}",
-            f"""SELECT {i}, 2, row_number() OVER (ORDER BY prompt_strategy), '| ' || prompt_strategy || ' | ' || {cells} || ' |'
+            f"""SELECT {i}, 2, row_number() OVER (ORDER BY prompt_strategy), '| ' || split || ' | ' || prompt_strategy || ' | ' || {cells} || ' |'
  FROM summary WHERE split = '{name}'""",
             f"SELECT {i}, 3, 0, ''", f"SELECT {i}, 3, 1, '---'", f"SELECT {i}, 3, 2, ''",
         ]
@@ -346,8 +346,33 @@ split_articles AS {split_of('unique_rows', 'date', 'doc_id')}"""
 # Singular vectors have as many components as the vocabulary has terms, 100 at most.
 DIMENSIONS = "(SELECT least(100, count(*)) FROM vocabulary) AS dimensions"
 
-LEAD_HEAD = f"substr({collapse('target')}, 1, {V.MAX_POST_CHARS})"
-LEAD = f"CASE WHEN regexp_matches({LEAD_HEAD}, '[.!?]') THEN regexp_extract({LEAD_HEAD}, '.*[.!?]') ELSE {LEAD_HEAD} END"
+
+
+def central_sentence(source: str) -> tuple[str, ...]:
+    """CTEs ending in ``answers`` (id, prompt_strategy, raw) for the prompts in ``source``."""
+    def words(text: str) -> str:
+        return f"list_filter({word_tokens(text)}, lambda w: w NOT IN {in_list(prompt_words())})"
+
+    return (
+        f"""prompt_counts AS (SELECT id, prompt_strategy, w, count(*) AS n FROM (
+  SELECT id, prompt_strategy, unnest({words('prompt_text')}) AS w FROM {source}) GROUP BY id, prompt_strategy, w)""",
+        f"""prompt_lines AS (SELECT id, prompt_strategy, generate_subscripts(ls, 1) AS ln, unnest(ls) AS line
+  FROM (SELECT id, prompt_strategy, string_split(prompt_text, chr(10)) AS ls FROM {source}))""",
+        f"""sentences AS (SELECT id, prompt_strategy, ln, generate_subscripts(ss, 1) AS sn, unnest(ss) AS sentence
+  FROM (SELECT id, prompt_strategy, ln, regexp_extract_all(regexp_replace(line, {q(V.ARTICLE_LABEL)}, ''), {q(V.SENTENCE)}) AS ss
+        FROM prompt_lines WHERE NOT regexp_matches(line, {q(V.META_LINE)})))""",
+        f"""sentence_words AS (SELECT DISTINCT id, prompt_strategy, ln, sn, w FROM (
+  SELECT id, prompt_strategy, ln, sn, unnest({words('sentence')}) AS w FROM sentences))""",
+        """best_sentence AS (SELECT id, prompt_strategy, first(ln ORDER BY score DESC, ln, sn) AS ln, first(sn ORDER BY score DESC, ln, sn) AS sn
+  FROM (SELECT id, prompt_strategy, ln, sn, sum(n) AS score
+        FROM sentence_words JOIN prompt_counts USING (id, prompt_strategy, w) GROUP BY id, prompt_strategy, ln, sn)
+  GROUP BY id, prompt_strategy)""",
+        f"""answers AS (SELECT p.id, p.prompt_strategy, p.prompt_text, coalesce({collapse('s.sentence')}, '') AS raw
+  FROM {source} p LEFT JOIN best_sentence b USING (id, prompt_strategy) LEFT JOIN sentences s USING (id, prompt_strategy, ln, sn))""",
+    )
+
+
+STRATEGIES = "(SELECT unnest(['structured', 'detailed', 'role_based', 'metadata_aware']) AS prompt_strategy)"
 
 
 def strategy_sql(name: str) -> str:
@@ -368,10 +393,11 @@ SOFT_MATCH = (
     """occurrences AS (
   SELECT id, 'g' AS side, unnest(g) AS token FROM pair_tokens
   UNION ALL SELECT id, 'r', unnest(r) FROM pair_tokens)""",
+    """known_tokens AS (SELECT token FROM occurrences)""",
     """side_counts AS (SELECT id, side, token, count(*) AS tf FROM occurrences GROUP BY id, side, token)""",
     """token_vectors AS (
   SELECT t.token, list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x) AS v
-  FROM (SELECT DISTINCT token FROM occurrences) t
+  FROM (SELECT DISTINCT token FROM known_tokens) t
   JOIN embeddings e ON e.vec_id = CAST('0x' || substr(md5(t.token), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings))""",
     """sims AS (
   SELECT a.id, a.token AS g_token, a.tf AS g_tf, b.token AS r_token, b.tf AS r_tf,
@@ -386,6 +412,40 @@ SOFT_MATCH = (
   FROM pairs LEFT JOIN best_g ON best_g.id = pairs.id LEFT JOIN best_r ON best_r.id = pairs.id)""",
 )
 
+
+
+def similarity(targets: str) -> tuple[str, ...]:
+    """CTEs ending in ``text_likeness`` (id, s): cosine of TF-IDF rows of ``pairs``, vocabulary of the texts in ``targets``."""
+    return (
+        term_counts("fit_counts", targets, "id", "target"),
+        vocabulary("fit_counts", f"SELECT count(*) FROM {targets}"),
+        term_counts("ref_counts", "pairs", "id", "target"),
+        weights("ref_weights", "ref_counts", "id"),
+        term_counts("gen_counts", "pairs", "id", "generated_text"),
+        weights("gen_weights", "gen_counts", "id"),
+        """text_likeness AS (SELECT a.id, sum(a.weight * b.weight) AS s
+  FROM gen_weights a JOIN ref_weights b ON a.id = b.id AND a.term_id = b.term_id GROUP BY a.id)""",
+    )
+
+
+def all_metrics(targets: str = "pairs", known: str | None = None) -> tuple[str, ...]:
+    """CTEs from ``pairs`` to ``all_scores``: the pairs with all seven metrics. ``known``: a query of tokens with a vector."""
+    soft = list(SOFT_MATCH[2:])
+    if known:
+        soft[1] = f"known_tokens AS ({known})"
+    return (
+        PAIR_TOKENS, *STEMMED_PAIRS, overlap_f1("r1", "stemmed", UNIGRAMS), overlap_f1("r2", "stemmed", BIGRAMS),
+        lcs_f1("rl", "stemmed"), *similarity(targets), *soft,
+        """all_scores AS (SELECT pairs.*, coalesce(text_likeness.s, 0.0) AS sbert_similarity, r1.f1 AS rouge1, r2.f1 AS rouge2,
+    rl.f1 AS "rougeL", matched.p AS bertscore_p, matched.r AS bertscore_r,
+    CASE WHEN matched.p + matched.r = 0 THEN 0.0 ELSE 2 * matched.p * matched.r / (matched.p + matched.r) END AS bertscore_f1
+  FROM pairs LEFT JOIN text_likeness ON text_likeness.id = pairs.id JOIN r1 ON r1.id = pairs.id JOIN r2 ON r2.id = pairs.id
+  JOIN rl ON rl.id = pairs.id JOIN matched ON matched.id = pairs.id)""",
+    )
+
+
+METRIC_COLUMNS = ", ".join(f'{rnd(chr(34) + m + chr(34))} AS "{m}"' for m in V.METRICS)
+
 COMPONENTS = """components AS (
   SELECT v.term_id, v.term, CAST(e.embedding AS DOUBLE[]) AS vector
   FROM vocabulary v JOIN embeddings e ON e.vec_id = v.term_id % (SELECT count(*) FROM embeddings))"""
@@ -414,7 +474,7 @@ ORACLES = {
                            select=f"SELECT term_id, term, df, corpus_count, {rnd('idf')} AS idf FROM vocabulary"),
     "A4_write_label_dictionary": """SELECT CAST(label AS VARCHAR) AS cluster_id, 'label | ' || count(*) AS topic_label
 FROM embeddings GROUP BY label""",
-    "A5_read_if_exists": with_(PAIRS, select="SELECT split, count(*) AS n FROM pairs WHERE split = 'val' GROUP BY split"),
+    "A5_read_if_exists": with_(PAIRS, select="SELECT split, count(*) AS n FROM pairs GROUP BY split"),
     "A6_markdown_report": _report(),
     "B1_normalize_column_names": with_(ARTICLES, RAW, select="""SELECT doc_id, raw_date AS date, headline, description,
   covid_status, image_url, source, sentiment FROM raw"""),
@@ -452,6 +512,9 @@ WHERE {collapse('headline')} <> '' AND {collapse('description')} <> ''"""),
   SELECT *, row_number() OVER (PARTITION BY {near_key('headline')} ORDER BY doc_id) AS nr FROM both_forms) WHERE nr = 1"""),
     "C7_time_based_split": with_(ARTICLES, SPLIT_ARTICLES, select="SELECT doc_id, split FROM split_articles"),
     "C7_time_based_split_events": f"SELECT event_id, split FROM {split_of('events', 'ts', 'event_id')}",
+    "C7_time_based_split_text_ids": with_(
+        ARTICLES, "keyed AS (SELECT 'article-' || md5(CAST(doc_id AS VARCHAR)) AS key, date FROM articles)",
+        select=f"SELECT key, split FROM {split_of('keyed', 'date', 'key')}"),
     "C8_dedup_report": with_(ARTICLES, select=f"""SELECT 'exact' AS step, count(*) AS rows_before,
   count(DISTINCT headline) AS rows_after, count(*) - count(DISTINCT headline) AS dropped FROM articles
 UNION ALL SELECT 'normalized', count(*), count(DISTINCT {near_key('headline')}),
@@ -480,8 +543,8 @@ FROM projected, total GROUP BY pos"""),
     "D12_text_to_vector": f"""SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos,
   {rnd("CAST(CAST(printf('%.6f', CAST(embedding[pos] AS DOUBLE)) AS FLOAT) AS DOUBLE)")} AS x
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)""",
-    "D13_enrich_split": with_(*TFIDF_ON_TRAIN, KEYWORDS, select=f"""SELECT k.doc_id, a.split, k.keywords, {DIMENSIONS}
-FROM keywords k JOIN split_articles a ON a.doc_id = k.doc_id"""),
+    "D13_enrich_split": with_(*TFIDF_ON_TRAIN, KEYWORDS, COMPONENTS, PROJECTED, select=f"""SELECT k.doc_id, a.split, k.keywords, p.pos, {rnd('p.x')} AS x
+FROM keywords k JOIN split_articles a ON a.doc_id = k.doc_id JOIN projected p ON p.doc_id = k.doc_id"""),
     "D14_tfidf_search": with_(
         term_counts("counts", "documents", "doc_id", "text"),
         vocabulary("counts", "SELECT count(*) FROM documents"),
@@ -512,7 +575,9 @@ FROM nearest n LEFT JOIN labels_of l ON l.cluster_id = n.cluster_id"""),
     "F5_build_prompt": with_(ARTICLES, PROMPT_ARTICLES, """named AS (SELECT *, CASE id % 5 WHEN 0 THEN 'structured'
   WHEN 1 THEN 'detailed' WHEN 2 THEN 'role_based' WHEN 3 THEN 'metadata_aware' ELSE 'other' END AS prompt_strategy FROM prompt_articles)""",
         select=f"SELECT id, prompt_strategy, {prompt_by('prompt_strategy')} AS prompt_text FROM named"),
-    "F6_generate_batch": with_(ARTICLES, PROMPT_ARTICLES, select=f"SELECT id, {LEAD} AS generated_text FROM prompt_articles"),
+    "F6_generate_batch": with_(
+        ARTICLES, PROMPT_ARTICLES, f"prompted AS (SELECT id, prompt_strategy, {prompt_by('prompt_strategy')} AS prompt_text FROM prompt_articles, {STRATEGIES})",
+        *central_sentence("prompted"), select="SELECT id, prompt_strategy, raw AS generated_text FROM answers"),
     "F7_clean_generated_text": f"""SELECT conv_id, turn, {clean_generated('opening || text')} AS text FROM (
   SELECT *, CASE conv_id % 5 WHEN 0 THEN 'Sure! Let me see.' || chr(10) WHEN 1 THEN 'Here is the post' || chr(10) || chr(10)
     WHEN 2 THEN '  Post : ' WHEN 3 THEN 'certainly, gladly' || chr(10) || 'Summary:' || chr(10) ELSE '' END AS opening
@@ -542,11 +607,7 @@ FROM prompt_articles, (SELECT unnest(['structured', 'detailed', 'role_based', 'm
                               select=f"SELECT r1.id, {rnd('r1.f1')} AS rouge1, {rnd('r2.f1')} AS rouge2 FROM r1 JOIN r2 ON r1.id = r2.id"),
     "G7_soft_token_score": with_(*SOFT_MATCH, select=f"""SELECT id, {rnd('p')} AS bertscore_p, {rnd('r')} AS bertscore_r,
   {rnd('CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END')} AS bertscore_f1 FROM matched"""),
-    "G8_evaluate_generations": recursive(
-        PAIRS, PAIR_TOKENS, *STEMMED_PAIRS, overlap_f1("r1", "stemmed", UNIGRAMS), overlap_f1("r2", "stemmed", BIGRAMS),
-        lcs_f1("rl", "stemmed"),
-        select=f"""SELECT r1.id, {rnd('r1.f1')} AS rouge1, {rnd('r2.f1')} AS rouge2, {rnd('rl.f1')} AS "rougeL"
-FROM r1 JOIN r2 ON r1.id = r2.id JOIN rl ON rl.id = r1.id"""),
+    "G8_evaluate_generations": recursive(PAIRS, *all_metrics(), select=f"SELECT id, {METRIC_COLUMNS} FROM all_scores"),
     "G9_contrast_ratio": with_(
         VECTOR_PAIRS,
         """unrelated AS (SELECT a.id, avg(list_dot_product(a.g, b.r) / sqrt(list_dot_product(a.g, a.g) * list_dot_product(b.r, b.r))) AS u
@@ -554,11 +615,8 @@ FROM r1 JOIN r2 ON r1.id = r2.id JOIN rl ON rl.id = r1.id"""),
         """means AS (SELECT avg(list_dot_product(g, r) / sqrt(list_dot_product(g, g) * list_dot_product(r, r))) AS m,
   avg(u) AS u FROM vector_pairs v JOIN unrelated n ON n.id = v.id)""",
         select=f"SELECT {rnd('m')} AS matched_mean, {rnd('u')} AS unrelated_mean, {rnd('m / u')} AS contrast_ratio FROM means"),
-    "H1_ensure_metrics": recursive(*FULL_ROUGE, select=f"""SELECT r1.id, CAST(0.5 AS DOUBLE) AS sbert_similarity, {rnd('r1.f1')} AS rouge1,
-  {rnd('r2.f1')} AS rouge2, {rnd('rl.f1')} AS "rougeL" FROM r1 JOIN r2 ON r1.id = r2.id JOIN rl ON rl.id = r1.id"""),
-    "H2_evaluate_split": recursive(*FULL_ROUGE, select=f"""SELECT p.id, p.split, p.prompt_strategy, {rnd('r1.f1')} AS rouge1,
-  {rnd('r2.f1')} AS rouge2, {rnd('rl.f1')} AS "rougeL"
-FROM pairs p JOIN r1 ON r1.id = p.id JOIN r2 ON p.id = r2.id JOIN rl ON rl.id = p.id"""),
+    "H1_ensure_metrics": recursive(PAIRS, *all_metrics(), select=f"SELECT id, {METRIC_COLUMNS} FROM (SELECT * REPLACE (CAST(0.5 AS DOUBLE) AS sbert_similarity) FROM all_scores)"),
+    "H2_evaluate_split": recursive(PAIRS, *all_metrics(), select=f"SELECT id, split, prompt_strategy, {METRIC_COLUMNS} FROM all_scores"),
     "H3_summary_by_strategy": with_(*SCORED, select=wide_summary("scored", ("rouge1", "rouge2"))),
     "H4_summary_long": with_(*SCORED, select=f"""SELECT split, 'rouge1' AS metric, {stat_columns('rouge1', '')} FROM scored GROUP BY split
 UNION ALL SELECT split, 'rouge2', {stat_columns('rouge2', '')} FROM scored GROUP BY split"""),
@@ -581,10 +639,7 @@ FROM means WHERE prompt_strategy IS NOT NULL GROUP BY split, metric"""),
         f"""sides AS (SELECT split, metric, max(mean) FILTER (WHERE prompt_strategy = 'structured') AS a,
   max(mean) FILTER (WHERE prompt_strategy = 'metadata_aware') AS b FROM means GROUP BY split, metric)""",
         select=f"SELECT split, metric, {rnd('a')} AS baseline_mean, {rnd('b')} AS strategy_mean, {rnd('b - a')} AS delta FROM sides"),
-    "H10_run_evaluation": recursive(*FULL_ROUGE, """all_scores AS (
-  SELECT p.*, r1.f1 AS rouge1, r2.f1 AS rouge2, rl.f1 AS "rougeL"
-  FROM pairs p JOIN r1 ON r1.id = p.id JOIN r2 ON p.id = r2.id JOIN rl ON rl.id = p.id)""",
-        select=wide_summary("all_scores", ("rouge1", "rouge2", '"rougeL"')).replace('AS "rougeL"_', 'AS rougeL_')),
+    "H10_run_evaluation": recursive(PAIRS, *all_metrics(), select=wide_summary("all_scores", V.METRICS)),
     "P1_ingest_and_clean": with_(ARTICLES, RAW, CLEANED, select="SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date) FROM ingested"),
     "P2_preprocess_and_split": with_(ARTICLES, RAW, CLEANED, PREPARED, select="""SELECT doc_id, headline, description,
   strftime(date, '%Y-%m-%d') AS date, split FROM split_articles"""),
@@ -592,11 +647,18 @@ FROM means WHERE prompt_strategy IS NOT NULL GROUP BY split, metric"""),
                                  weights("weights", "counts", "doc_id"), KEYWORDS,
                                  select=f"""SELECT k.doc_id, a.split, k.keywords, {DIMENSIONS}
 FROM keywords k JOIN split_articles a ON a.doc_id = k.doc_id"""),
-    "P5_run_generation": with_(
-        ARTICLES, PROMPT_ARTICLES,
-        f"pairs AS (SELECT *, {clean_generated(LEAD)} AS generated_text FROM prompt_articles)",
-        PAIR_TOKENS, overlap_f1("r1", "pair_tokens", UNIGRAMS), overlap_f1("r2", "pair_tokens", BIGRAMS),
-        select=f"""SELECT p.id, {render(V.STRATEGY_TEMPLATES['metadata_aware'], description='target')} AS prompt_text,
-  p.generated_text, 'metadata_aware' AS prompt_strategy, {rnd('r1.f1')} AS rouge1, {rnd('r2.f1')} AS rouge2
-FROM pairs p JOIN r1 ON r1.id = p.id JOIN r2 ON r2.id = p.id"""),
+    "P4_cluster_and_build_prompts": with_(ARTICLES, RAW, CLEANED, PREPARED, TRAIN_COUNTS, TRAIN_VOCABULARY,
+                                          weights("weights", "counts", "doc_id"), KEYWORDS,
+                                          select="""SELECT a.doc_id AS id, a.description AS target, a.headline, k.keywords,
+  a.sentiment, a.covid_status, a.split, true AS has_cluster, true AS has_label, true AS prompt_fits
+FROM keywords k JOIN split_articles a ON a.doc_id = k.doc_id"""),
+    "P5_run_generation": recursive(
+        f"""chats AS (WITH {PAIRS} SELECT id, generated_text AS headline, target, split AS topic_label, NULL AS sentiment, NULL AS covid_status,
+    array_to_string(list_sort(list_distinct({word_tokens('target')})), ', ') AS keywords FROM pairs)""",
+        f"prompted AS (SELECT id, prompt_strategy, {prompt_by('prompt_strategy')} AS prompt_text FROM chats, {STRATEGIES})",
+        *central_sentence("prompted"),
+        f"""pairs AS (SELECT id AS chat_id, row_number() OVER (ORDER BY id, prompt_strategy) AS id, prompt_strategy, prompt_text,
+    {clean_generated('raw')} AS generated_text, target FROM answers JOIN (SELECT id, target FROM chats) USING (id))""",
+        *all_metrics("chats", f"SELECT unnest({rouge_tokens('headline')}) AS token FROM chats UNION ALL SELECT unnest({rouge_tokens('target')}) FROM chats"),
+        select=f"SELECT chat_id AS id, prompt_text, generated_text, prompt_strategy, {METRIC_COLUMNS} FROM all_scores"),
 }

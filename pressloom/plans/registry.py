@@ -50,17 +50,37 @@ def scored_pairs(spark, d):
     return metrics.with_rouge(views.chat_pairs(spark, d), stem=False, which=("rouge1", "rouge2"))
 
 
-def token_vectors(spark, d):
+def chat_prompts(spark, d):
+    """A prompt table from the conversations: the answer as headline, the turn before it as target."""
+    return views.chat_pairs(spark, d).select(
+        "id",
+        F.col("generated_text").alias("headline"),
+        "target",
+        F.array_join(F.sort_array(F.array_distinct(K.word_tokens(F.col("target")))), ", ").alias("keywords"),
+        F.col("split").alias("topic_label"),
+    )
+
+
+def token_vectors(spark, d, texts=None, first="generated_text"):
     """A token table from the given data: each token takes the embedding that its md5 points to."""
-    pairs = views.chat_pairs(spark, d)
-    both = F.array_union(K.rouge_tokens(F.col("generated_text")), K.rouge_tokens(F.col("target")))
-    words = explode_once(pairs, [], both, "token").distinct()
+    texts = views.chat_pairs(spark, d) if texts is None else texts
+    both = F.array_union(K.rouge_tokens(F.col(first)), K.rouge_tokens(F.col("target")))
+    words = explode_once(texts, [], both, "token").distinct()
     e = views.table(spark, d, "embeddings")
     n = e.agg(F.count("*").alias("n")).scalar()
     pointer = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")
     return words.withColumn("vec_id", pointer % n).join(e, "vec_id").select("token", F.col("embedding").alias("vector"))
 
 
+def metric_models(spark, d, texts=None, first="generated_text"):
+    """What the similarity and the soft match read: a vocabulary of the targets and a token table, both written."""
+    texts = views.chat_pairs(spark, d) if texts is None else texts
+    return {
+        "vocabulary": write_and_read(tfidf.fit_vocabulary(texts, F.col("target")), "vocabulary"),
+        "token_vectors": write_and_read(token_vectors(spark, d, texts, first), "tokens"),
+    }
+
+
 def _long_vector(df, id_col, vector):
     return posexplode_once(df, [id_col], F.col(vector), "pos", "x").select(id_col, "pos", rounded(F.col("x").cast("double")).alias("x"))
 
@@ -113,8 +133,9 @@ def a4_write_label_dictionary(spark, d):
 def a5_read_if_exists(spark, d):
     path = new_path(spark, "generated")
     pairs = views.chat_pairs(spark, d)
-    pairs.where(F.col("split") == "val").write.parquet(f"{path}/val")
-    found = {name: tables.read_if_exists(spark, f"{path}/{name}") for name in ("val", "test")}
+    tables.write_table(pairs, path, ["split"])
+    found = {s: tables.read_if_exists(spark, f"{path}/split={s}") for s in ("train", "val", "test")}  # no train rows
+    found = {s: df if df is None else df.withColumn("split", F.lit(s)) for s, df in found.items()}
     return report.combine_summaries([df for df in found.values() if df is not None]).groupBy("split").agg(
         F.count("*").alias("n")
     )
@@ -220,6 +241,11 @@ def c7_time_based_split_events(spark, d):
     return split.time_based_split(views.table(spark, d, "events"), "ts", "event_id").select("event_id", "split")
 
 
+def c7_time_based_split_text_ids(spark, d):
+    a = views.articles(spark, d).select(F.concat(F.lit("article-"), F.md5(F.col("doc_id").cast("string"))).alias("key"), "date")
+    return split.time_based_split(a, "date", "key").select("key", "split")
+
+
 def c8_dedup_report(spark, d):
     a = views.articles(spark, d)
     exact = profile.dedup_report(a, F.col("headline"), "exact")
@@ -318,10 +344,12 @@ def d12_text_to_vector(spark, d):
 
 
 def d13_enrich_split(spark, d):
+    """Keywords and vectors of every split, under given components so that SQL can follow the vectors."""
     rows, vocabulary = article_features(spark, d)
-    loadings, _ = svd.fit_svd(rows.where(F.col("split") == "train").select("doc_id", "features"), vocabulary)
-    enriched = jobs.enrich(rows.drop("features"), vocabulary, loadings)
-    return enriched.select("doc_id", "split", "keywords", F.size("svd_vector").cast("long").alias("dimensions"))
+    components = write_and_read(_stand_in_components(spark, d, vocabulary), "components")
+    enriched = jobs.enrich(rows.drop("features"), vocabulary, components)
+    long = posexplode_once(enriched, ["doc_id", "split", "keywords"], F.col("svd_vector"), "pos", "x")
+    return _rounded(long, "x")
 
 
 def d14_tfidf_search(spark, d):
@@ -354,9 +382,10 @@ def _all_vocabulary(spark, d):
     return write_and_read(tfidf.fit_vocabulary(views.articles(spark, d), F.col("headline")), "vocabulary")
 
 
-def _stand_in_components(spark, d):
+def _stand_in_components(spark, d, vocabulary=None):
     """(term_id, term, vector) with the embedding that each term id points to."""
-    vocabulary = tfidf.fit_vocabulary(views.articles(spark, d), F.col("headline"))
+    if vocabulary is None:
+        vocabulary = tfidf.fit_vocabulary(views.articles(spark, d), F.col("headline"))
     e = views.table(spark, d, "embeddings")
     n = e.agg(F.count("*").alias("n")).scalar()
     return (
@@ -403,7 +432,8 @@ def f5_build_prompt(spark, d):
 
 
 def f6_generate_batch(spark, d):
-    return generate.generate_batch(prompt_articles(spark, d), "target").select("id", "generated_text")
+    prompted = prompts.run_strategies(prompt_articles(spark, d))
+    return generate.generate_batch(prompted).select("id", "prompt_strategy", "generated_text")
 
 
 def f7_clean_generated_text(spark, d):
@@ -465,9 +495,8 @@ def g7_soft_token_score_word2vec(spark, d):
 
 
 def g8_evaluate_generations(spark, d):
-    scored = metrics.evaluate_generations(views.chat_pairs(spark, d), run_sbert=False, run_bertscore=False)
-    names = ["rouge1", "rouge2", "rougeL"]
-    return _rounded(scored.select("id", *names), *names)
+    scored = metrics.evaluate_generations(views.chat_pairs(spark, d), **metric_models(spark, d))
+    return _rounded(scored.select("id", *V.METRICS), *V.METRICS)
 
 
 def g9_contrast_ratio(spark, d):
@@ -482,21 +511,19 @@ def _scored_table(spark, d):
 def h1_ensure_metrics(spark, d):
     """ROUGE is incomplete, so the whole group is computed again; the similarity column is already there."""
     stale = views.chat_pairs(spark, d).withColumns({"rouge1": F.lit(-1.0), "sbert_similarity": F.lit(0.5)})
-    scored = metrics.ensure_metrics(stale, run_bertscore=False, stem=False)
-    names = ["sbert_similarity", "rouge1", "rouge2", "rougeL"]
-    return _rounded(scored.select("id", *names), *names)
+    scored = metrics.ensure_metrics(stale, **metric_models(spark, d))
+    return _rounded(scored.select("id", *V.METRICS), *V.METRICS)
 
 
 def h2_evaluate_split(spark, d):
     path = new_path(spark, "generated")
     tables.write_table(views.chat_pairs(spark, d), path, ["split"])
-    options = {"run_sbert": False, "run_bertscore": False, "stem": False}
+    options = metric_models(spark, d)
     parts = [
         jobs.evaluate_split(spark, f"{path}/split={s}", f"{path}-{s}", s, **options) for s in ("val", "test", "train")
     ]
-    names = ["rouge1", "rouge2", "rougeL"]
     both = report.combine_summaries([p for p in parts if p is not None])
-    return _rounded(both.select("id", "split", "prompt_strategy", *names), *names)
+    return _rounded(both.select("id", "split", "prompt_strategy", *V.METRICS), *V.METRICS)
 
 
 def h3_summary_by_strategy(spark, d):
@@ -543,7 +570,7 @@ def h9_delta_vs_baseline(spark, d):
 def h10_run_evaluation(spark, d):
     path = new_path(spark, "evaluation")
     tables.write_table(views.chat_pairs(spark, d), f"{path}/generated", ["split"])
-    options = {"run_sbert": False, "run_bertscore": False, "stem": False}
+    options = metric_models(spark, d)
     return _wide_rounded(jobs.run_evaluation(spark, f"{path}/generated", f"{path}/out", ("val", "test", "train"), **options))
 
 
@@ -583,20 +610,28 @@ def p3_extract_keywords(spark, d):
 
 
 def p4_cluster_and_build_prompts(spark, d):
+    """All that does not hang on the fitted clusters, and checks of what does: cluster, label, a prompt that shows it."""
     root = new_path(spark, "p4")
     _enriched(spark, d, root)
-    return jobs.cluster_and_build_prompts(spark, f"{root}/keywords", f"{root}/model", f"{root}/clustered", f"{root}/prompts")
+    made = jobs.cluster_and_build_prompts(spark, f"{root}/keywords", f"{root}/model", f"{root}/clustered", f"{root}/prompts")
+    again = prompts.build_prompt_context(made, "_again")
+    return again.select(
+        "id", "target", "headline", "keywords", "sentiment", "covid_status", "split",
+        F.col("cluster_id").between(0, V.N_CLUSTERS - 1).alias("has_cluster"),
+        (F.length("topic_label") > 0).alias("has_label"),
+        (F.col("prompt") == F.col("_again")).alias("prompt_fits"),
+    )
 
 
 def p5_run_generation(spark, d):
     root = new_path(spark, "p5")
-    tables.write_table(prompt_articles(spark, d), f"{root}/prompts")
-    df = jobs.run_generation(
-        spark, f"{root}/prompts", f"{root}/generated", run_sbert=False, run_bertscore=False, stem=False
-    )
-    return _rounded(
-        df.select("id", "prompt_text", "generated_text", "prompt_strategy", "rouge1", "rouge2"), "rouge1", "rouge2"
-    )
+    table = tables.write_table(chat_prompts(spark, d), f"{root}/prompts")
+    models = metric_models(spark, d, table, "headline")
+    made = [
+        jobs.run_generation(spark, f"{root}/prompts", f"{root}/generated/{s}", s, **models) for s in V.STRATEGY_TEMPLATES
+    ]
+    columns = ["id", "prompt_text", "generated_text", "prompt_strategy", *V.METRICS]
+    return _rounded(report.combine_summaries(made).select(*columns), *V.METRICS)
 
 
 QUERIES = {
@@ -627,6 +662,7 @@ QUERIES = {
     "C6_dedup_normalized": c6_dedup_normalized,
     "C7_time_based_split": c7_time_based_split,
     "C7_time_based_split_events": c7_time_based_split_events,
+    "C7_time_based_split_text_ids": c7_time_based_split_text_ids,
     "C8_dedup_report": c8_dedup_report,
     "C9_split_sizes": c9_split_sizes,
     "D1_tokenize": d1_tokenize,
