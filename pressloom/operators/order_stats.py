@@ -93,21 +93,25 @@ TEXT_STEP = 7
 
 
 def select_text_rank(df: DataFrame, text: Column, rank: int) -> str:
-    """The text at a 1-based rank among non-null texts, in byte order: seven bytes at a time become a number whose rank
-    is looked up, and the rows that share them go on to the next seven. A pass per seven bytes of common prefix."""
+    """The text at a 1-based rank among non-null texts, in byte order.
+
+    The seven bytes after the common prefix of all texts become a number whose rank is looked up; the rows that share
+    that number go on, until all of them are equal.
+    """
     rows = df.select(F.encode(text, "UTF-8").alias("b"))
-    at = 1
     while True:
+        lowest, highest = map(bytes, rows.agg(F.min("b"), F.max("b")).first())
+        if lowest == highest:
+            return lowest.decode("utf-8")
+        at = next((i for i, (x, y) in enumerate(zip(lowest, highest)) if x != y), len(lowest)) + 1
         # A byte is a digit of 1 to 256 and a missing one 0, so a prefix comes before what continues it.
         code = F.lit(0).cast("long")
         for i in range(at, at + TEXT_STEP):
             byte = F.conv(F.hex(F.substring("b", i, 1)), 16, 10).cast("long")
             code = code * 257 + F.when(F.length("b") >= i, byte + 1).otherwise(0)
-        value, below = select_ranks(rows, code, lambda *_: [rank])[0][rank]  # noqa: B023
-        rank, rows, at = rank - below, rows.where(code == value), at + TEXT_STEP
-        longest, found = rows.agg(F.max(F.length("b")), F.min("b")).first()
-        if longest < at:
-            return bytes(found).decode("utf-8")
+        wanted = rank
+        value, below = select_ranks(rows, code, lambda *_: [wanted])[0][wanted]  # noqa: B023
+        rank, rows = rank - below, rows.where(code == value)
 
 
 def exact_medians(df: DataFrame, value: Column, group: Column) -> dict:

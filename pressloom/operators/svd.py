@@ -6,6 +6,8 @@ their sparse rows into partial sums of X'(XQ), a shuffle adds them up per term,
 limit, never by the number of documents.
 """
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,7 +20,10 @@ from pyspark.sql import types as T
 from pressloom.functions import fixed_values as V
 from pressloom.functions.lambdas import explode_once, posexplode_once
 
+log = logging.getLogger(__name__)
+
 _OVERSAMPLE = 10
+_SLICE_ENTRIES = 100_000
 
 
 def sparse_rows(features: DataFrame) -> DataFrame:
@@ -34,6 +39,20 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
 
 
+def _slices(ids: pa.Array, weights: pa.Array):
+    """(lengths, terms, weights) of runs of whole rows, about ``_SLICE_ENTRIES`` entries each: memory follows that number
+    and the longest row, not the batch."""
+    lengths, term = _flat(ids)
+    _, weight = _flat(weights)
+    ends = np.cumsum(lengths)
+    row = entry = 0
+    while row < len(lengths):
+        last = max(row + 1, int(np.searchsorted(ends, entry + _SLICE_ENTRIES, side="right")))
+        stop = int(ends[last - 1])
+        yield lengths[row:last], term[entry:stop], weight[entry:stop]
+        row, entry = last, stop
+
+
 def _row_products(lengths: np.ndarray, term: np.ndarray, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """Sparse rows, given by their lengths and flat entries, times a (terms x k) matrix."""
     out = np.zeros((len(lengths), matrix.shape[1]))
@@ -52,15 +71,14 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         matrix = shared.value
         total, seen = np.zeros(matrix.shape), np.zeros(len(matrix), dtype=bool)
         for batch in batches:
-            lengths, term = _flat(batch.column("ids"))
-            _, weight = _flat(batch.column("weights"))
-            if len(term) == 0:
-                continue
-            projected = np.repeat(_row_products(lengths, term, weight, matrix), lengths, axis=0)
-            order = np.argsort(term, kind="stable")
-            distinct, first = np.unique(term[order], return_index=True)
-            total[distinct] += np.add.reduceat((weight[:, None] * projected)[order], first, axis=0)
-            seen[distinct] = True
+            for lengths, term, weight in _slices(batch.column("ids"), batch.column("weights")):
+                if len(term) == 0:
+                    continue
+                projected = np.repeat(_row_products(lengths, term, weight, matrix), lengths, axis=0)
+                order = np.argsort(term, kind="stable")
+                distinct, first = np.unique(term[order], return_index=True)
+                total[distinct] += np.add.reduceat((weight[:, None] * projected)[order], first, axis=0)
+                seen[distinct] = True
         touched = np.flatnonzero(seen)
         if len(touched):
             sums = pa.FixedSizeListArray.from_arrays(pa.array(total[touched].ravel()), matrix.shape[1])
@@ -85,12 +103,14 @@ def fit_svd(
     vocabulary: DataFrame,
     components: int = V.SVD_COMPONENTS,
     seed: int = V.SEED,
-    passes: int = 5,
+    tolerance: float = 1e-4,
+    max_passes: int = 50,
 ) -> tuple[DataFrame, list[float]]:
     """Components as (term_id, term, vector) and the singular values, largest first.
 
-    ``features`` is read once per pass, so its sparse rows are cached for the fit; a lost executor's part
-    is computed again from the source.
+    Passes go on until the sum of the singular values grows by less than ``tolerance`` of itself, at most
+    ``max_passes`` times (a warning says so). ``features`` is read once per pass, so its sparse rows are cached for the fit; a lost executor's
+    part is computed again from the source.
     """
     spark = features.sparkSession
     terms = vocabulary.select("term_id", "term").orderBy("term_id").toArrow()
@@ -100,14 +120,21 @@ def fit_svd(
     rows = sparse_rows(features).persist()
     try:
         q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
-        for _ in range(passes):
+        before = 0.0
+        for _ in range(max_passes):
             product = _gram_times(rows, q)
             last, (q, _) = q, np.linalg.qr(product)
+            # Rayleigh-Ritz on the basis whose product is known: no further pass over the data.
+            values, turn = np.linalg.eigh((last.T @ product + product.T @ last) / 2)
+            order = np.argsort(values)[::-1][:k]
+            reached = float(np.sqrt(np.clip(values[order], 0, None)).sum())
+            if reached - before <= tolerance * reached:
+                break
+            before = reached
+        else:
+            log.warning("singular values still grow after %d passes", max_passes)
     finally:
         rows.unpersist()
-    # Rayleigh-Ritz on the last basis whose product is known: no further pass over the data.
-    values, turn = np.linalg.eigh((last.T @ product + product.T @ last) / 2)
-    order = np.argsort(values)[::-1][:k]
     basis = last @ turn[:, order]
     basis *= np.where(basis[np.abs(basis).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
     vectors = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(basis).ravel()), k)
@@ -128,9 +155,10 @@ def svd_transform(df: DataFrame, components: DataFrame, features: str = "feature
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def project(ids: pa.Array, weights: pa.Array) -> pa.Array:
-        lengths, term = _flat(ids)
-        _, weight = _flat(weights)
-        dense = _row_products(lengths, term, weight, matrix.value)
+        dense, row = np.zeros((len(ids), matrix.value.shape[1])), 0
+        for lengths, term, weight in _slices(ids, weights):
+            dense[row : row + len(lengths)] = _row_products(lengths, term, weight, matrix.value)
+            row += len(lengths)
         rows = pa.FixedSizeListArray.from_arrays(pa.array(dense.ravel()), dense.shape[1])
         return rows.cast(pa.list_(pa.float64()))
 

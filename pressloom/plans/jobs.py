@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
 from pressloom.operators import clean, generate, metrics, prompts, report, split, svd, tfidf, topics
-from pressloom.session import write_and_read
+from pressloom.session import staged
 from pressloom.sources import tables
 
 log = logging.getLogger(__name__)
@@ -41,9 +41,9 @@ def preprocess_and_split(spark: SparkSession, input_path: str, output_path: str)
     cleaned, loaded = _counted(spark.read.parquet(input_path), "loaded")
     normal = clean.remove_near_duplicates(clean.preprocess_text_fields(cleaned))
     # The split reads dates and ids a few times; the written table keeps the deduplication from running again.
-    staged = write_and_read(_counted(normal, "unique")[0], "normalised")
-    _log_counts("preprocess", loaded=loaded)
-    return tables.write_table(split.time_based_split(staged), output_path, ["split"])
+    with staged(_counted(normal, "unique")[0], "normalised") as table:
+        _log_counts("preprocess", loaded=loaded)
+        return tables.write_table(split.time_based_split(table), output_path, ["split"])
 
 
 def extract_metadata_and_keywords(
@@ -60,16 +60,23 @@ def extract_metadata_and_keywords(
     headline = F.col("headline")
     tables.save_model({"vocabulary": tfidf.fit_vocabulary(train, headline, max_features)}, model_path)
     vocabulary = tables.load_model(spark, model_path, "vocabulary")["vocabulary"]
-    train_features = tfidf.tfidf_features(train.select("doc_id", "headline"), headline, vocabulary)
-    loadings, singular_values = svd.fit_svd(train_features, vocabulary, components)
-    values = spark.createDataFrame(list(enumerate(singular_values)), "component int, singular_value double")
-    tables.save_model({"components": loadings, "singular_values": values}, model_path)
-    return tables.write_table(enrich(df, vocabulary, loadings), output_path, ["split"])
+    with staged(tfidf.tfidf_features(df, headline, vocabulary), "features") as featured:
+        train_features = featured.where(F.col("split") == "train")
+        loadings, singular_values = svd.fit_svd(train_features.select("doc_id", "features"), vocabulary, components)
+        values = spark.createDataFrame(list(enumerate(singular_values)), "component int, singular_value double")
+        tables.save_model({"components": loadings, "singular_values": values}, model_path)
+        table = tables.write_table(_with_keywords(featured, loadings), output_path, ["split"])
+        with staged(svd.svd_transform(train_features.select("features"), loadings), "projected") as projected:
+            tables.save_model({"explained_variance": svd.explained_variance(projected)}, model_path)
+    return table
 
 
 def enrich(df: DataFrame, vocabulary: DataFrame, loadings: DataFrame, text: str = "headline") -> DataFrame:
     """Add ``keywords`` and ``svd_vector`` inside each row."""
-    featured = tfidf.tfidf_features(df, F.col(text), vocabulary)
+    return _with_keywords(tfidf.tfidf_features(df, F.col(text), vocabulary), loadings)
+
+
+def _with_keywords(featured: DataFrame, loadings: DataFrame) -> DataFrame:
     featured = svd.svd_transform(featured, loadings)
     return featured.withColumn("keywords", tfidf.top_keywords(F.col("features"))).drop("features")
 
@@ -112,12 +119,13 @@ def run_generation(
     """Prompts under one strategy, the text generated from them, cleaned, and its metrics."""
     df = prompts.build_prompt(spark.read.parquet(prompt_path), strategy)
     df = generate.tag_generation(generate.generate_batch(df, input_col, factory, batch_size), strategy)
-    if run_sbert or run_rouge or run_bertscore:
-        # The model runs once per row whatever the metrics read, and a lost metric task does not call it again.
-        df = write_and_read(df, "generated")
-        flags = {"run_sbert": run_sbert, "run_rouge": run_rouge, "run_bertscore": run_bertscore}
-        df = metrics.evaluate_generations(df, **flags, **models)
-    return tables.write_table(df, output_path, ["split"] if "split" in df.columns else [])
+    by = ["split"] if "split" in df.columns else []
+    if not (run_sbert or run_rouge or run_bertscore):
+        return tables.write_table(df, output_path, by)
+    flags = {"run_sbert": run_sbert, "run_rouge": run_rouge, "run_bertscore": run_bertscore}
+    # The model runs once per row whatever the metrics read, and a lost metric task does not call it again.
+    with staged(df, "generated") as texts:
+        return tables.write_table(metrics.evaluate_generations(texts, **flags, **models), output_path, by)
 
 
 def evaluate_split(

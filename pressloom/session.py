@@ -1,5 +1,6 @@
 """Session-level helpers: a local session for tests, and the shared folder for written tables."""
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -51,3 +52,15 @@ def write_and_read(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def staged(df: DataFrame, name: str = "table"):
+    """A written table for the length of a block; its folder is deleted after it."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
