@@ -620,8 +620,6 @@ FROM prompt_articles, (SELECT unnest(['structured', 'detailed', 'role_based', 'm
     "H3_summary_by_strategy": with_(*SCORED, select=wide_summary("scored", ("rouge1", "rouge2"))),
     "H4_summary_long": with_(*SCORED, select=f"""SELECT split, 'rouge1' AS metric, {stat_columns('rouge1', '')} FROM scored GROUP BY split
 UNION ALL SELECT split, 'rouge2', {stat_columns('rouge2', '')} FROM scored GROUP BY split"""),
-    "H4_exact_medians": with_(*SCORED, select=f"""SELECT 'rouge1' AS metric, split, {rnd('median(rouge1)')} AS median FROM scored GROUP BY split
-UNION ALL SELECT 'rouge2', split, {rnd('median(rouge2)')} FROM scored GROUP BY split"""),
     "H5_top_k_samples": with_(*SCORED, select=f"""SELECT split, id, {rnd('rouge1')} AS score, substr(target, 1, 80) AS headline,
   substr(generated_text, 1, 120) AS generated, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY split ORDER BY rouge1 DESC NULLS LAST, id) AS rank FROM scored) WHERE rank <= 5"""),

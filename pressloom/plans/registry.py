@@ -534,13 +534,6 @@ def h4_summary_long(spark, d):
     return _wide_rounded(report.summary_long(_scored_table(spark, d)))
 
 
-def h4_exact_medians(spark, d):
-    """The large-group path on purpose: medians from histograms instead of from rows held in memory."""
-    df = _scored_table(spark, d)
-    found = [(m, split_name, v) for m in ("rouge1", "rouge2") for split_name, v in report.exact_medians(df, F.col(m), F.col("split")).items()]
-    return _rounded(spark.createDataFrame(found, "metric string, split string, median double"), "median")
-
-
 def h5_top_k_samples(spark, d):
     top = report.top_k_samples(scored_pairs(spark, d).withColumn("headline", F.col("target")), "rouge1")
     return _rounded(top.withColumn("rank", F.col("rank").cast("long")), "score")
@@ -713,7 +706,6 @@ QUERIES = {
     "H2_evaluate_split": h2_evaluate_split,
     "H3_summary_by_strategy": h3_summary_by_strategy,
     "H4_summary_long": h4_summary_long,
-    "H4_exact_medians": h4_exact_medians,
     "H5_top_k_samples": h5_top_k_samples,
     "H6_bottom_k_samples": h6_bottom_k_samples,
     "H7_combine_summaries": h7_combine_summaries,
