@@ -1,12 +1,13 @@
 """Equi-join against a lookup side whose size is checked before it is broadcast."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 256 * 1024 * 1024
-SALTS = 64
 
 
 def _bytes(column: Column, kind: T.DataType) -> Column:
@@ -34,10 +35,13 @@ def lookup_join(
     """Join ``big`` to ``lookup`` on ``key``.
 
     A small lookup is broadcast. A larger one is shuffled with a salt, taken from ``salt_by`` on the big
-    side and spelt out on the lookup side, so that a key in a third of all rows spreads over many tasks.
+    side and spelt out on the lookup side, so that a key in a third of all rows spreads over many tasks: over
+    as many as the square root of the shuffle partitions, which keeps the copies of the lookup side few, and
+    what is still too large is split by adaptive execution.
     """
     if fits_broadcast(lookup, max_rows):
         return big.join(F.broadcast(lookup), key, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = math.isqrt(max(1, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))) + 1
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")

@@ -20,36 +20,31 @@ def _number(c: str) -> Column:
     return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
-def _five_stats(c: str, prefix: str = "") -> list[Column]:
-    return [
-        F.avg(c).alias(prefix + "mean"),
-        F.stddev_samp(c).alias(prefix + "std"),
-        F.min(c).alias(prefix + "min"),
-        F.max(c).alias(prefix + "max"),
-    ]
-
-
-def _long(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    numbers = df.select(*keys, *[_number(m).alias(m) for m in metrics])
-    return numbers.unpivot(keys, metrics, "metric", "value")
+def _stats(c: str) -> Column:
+    return F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
 
 
 def summary_long(df: DataFrame, keys=("split",), metrics=V.METRICS) -> DataFrame:
     """One row per key and metric with mean, std, min, median, max.
 
-    Spark's own median holds a whole group in memory; here it comes from order statistics over histograms, whatever
-    the size of the group. Keys are report keys: a split and a strategy, so the lookup has a row per report line.
+    One pass aggregates all metrics side by side; only its few result rows are turned into a row per metric. Spark's
+    own median holds a whole group in memory; here it comes from order statistics over histograms, whatever the size
+    of the group. Keys are report keys: a split and a strategy, so the lookup has a row per report line.
     ``df`` is read more than once: pass a table, not a long plan.
     """
     keys, metrics = list(keys), _present(df, metrics)
-    long = _long(df, keys, metrics)
-    groups = [*keys, "metric"]
-    stats = [*_five_stats("value"), F.count("value").alias("_n")]
-    name = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
-    medians = exact_medians(long, F.col("value"), name)
-    lookup = df.sparkSession.createDataFrame(list(medians.items()), "_g string, median double")
-    table = long.groupBy(*groups).agg(*stats).withColumn("_g", name).join(F.broadcast(lookup), "_g", "left")
-    return table.select(*groups, *V.SUMMARY_STATS)
+    key_text = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    numbers = df.select(*keys, *[_number(m).alias(m) for m in metrics])
+    lines = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("stats")) for m in metrics])
+    wide = numbers.groupBy(*keys).agg(*[_stats(m).alias(m) for m in metrics])
+    table = wide.select(*keys, F.explode(lines).alias("line")).select(*keys, "line.metric", "line.stats.*")
+
+    line = F.concat_ws(" ", "metric", "_keys")
+    values = numbers.select(key_text.alias("_keys"), *metrics).unpivot(["_keys"], metrics, "metric", "value")
+    medians = exact_medians(values, F.col("value"), line)
+    lookup = df.sparkSession.createDataFrame(list(medians.items()), "_line string, median double")
+    table = table.withColumn("_keys", key_text).withColumn("_line", line).join(lookup, "_line", "left")
+    return table.select(*keys, "metric", *V.SUMMARY_STATS)
 
 
 def summary_by_strategy(df: DataFrame, metrics=V.METRICS) -> DataFrame:

@@ -2,37 +2,56 @@
 
 import logging
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
-from pressloom.operators import clean, generate, metrics, prompts, report, split, svd, tfidf, topics
+from pressloom.operators import clean, generate, metrics, profile, prompts, report, split, svd, tfidf, topics
 from pressloom.session import staged
 from pressloom.sources import tables
 
 log = logging.getLogger(__name__)
 
 
-def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Count rows as they pass, within the job that writes them."""
+def _counted(df: DataFrame, name: str, *more: Column) -> tuple[DataFrame, Observation]:
+    """Count rows (and what else is asked) as they pass, within the job that writes them."""
     seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), seen
 
 
 def _log_counts(job: str, **seen: Observation) -> None:
     log.info("%s: %s", job, ", ".join(f"{step} {o.get['rows']}" for step, o in seen.items()))
 
 
-def ingest_and_clean(spark: SparkSession, input_path: str, output_path: str, schema=tables.ARTICLE_SCHEMA) -> DataFrame:
-    """CSV articles to a cleaned table with one row per headline."""
+def ingest_and_clean(
+    spark: SparkSession, input_path: str, output_path: str, schema=tables.ARTICLE_SCHEMA, profile_path: str | None = None
+) -> DataFrame:
+    """CSV articles to a cleaned table with one row per headline.
+
+    With ``profile_path``, the profile of the cleaned table is written there, a table for each part, and ``steps``:
+    rows loaded, dates that no format reads, rows with text, rows that stay.
+    """
     df = tables.with_row_ids(clean.normalize_column_names(tables.read_articles(spark, input_path, schema)))
-    df = clean.clean_text_fields(clean.parse_dates(df))
+    unread = []
+    if "date" in df.columns:  # no normalised name has a blank, so the copy clashes with no column
+        df = df.withColumn("raw date", F.col("date"))
+        unread = [F.count_if(F.col("raw date").isNotNull() & F.col("date").isNull()).alias("bad_dates")]
     # The count also keeps the filter below from being pushed under the cleaning, which would run it twice.
-    df, loaded = _counted(df, "loaded")
-    df, kept = _counted(clean.drop_missing_critical(df), "kept")
+    df, loaded = _counted(clean.parse_dates(df), "loaded", *unread)
+    df, kept = _counted(clean.drop_missing_critical(clean.clean_text_fields(df.drop("raw date"))), "kept")
     df, unique = _counted(clean.remove_duplicates(clean.fill_optional_missing(df)), "unique")
     table = tables.write_table(df, output_path)
-    _log_counts("ingest", loaded=loaded, with_text=kept, unique=unique)
+    steps = {
+        "loaded": loaded.get["rows"], "bad_dates": loaded.get.get("bad_dates", 0),
+        "with_text": kept.get["rows"], "unique": unique.get["rows"],
+    }
+    log.info("ingest: %s", ", ".join(f"{step} {n}" for step, n in steps.items()))
+    if profile_path:
+        parts = {"shape": profile.profile_shape(table), "nulls": profile.profile_nulls(table), "value_counts": profile.profile_value_counts(table)}
+        if "date" in table.columns:
+            parts["date_range"] = profile.profile_date_range(table)
+        parts["steps"] = spark.createDataFrame(list(steps.items()), "step string, n long")
+        tables.save_model(parts, profile_path)
     return table
 
 
@@ -129,34 +148,42 @@ def run_generation(
 
 
 def evaluate_split(
-    spark: SparkSession, generated_path: str, output_path: str, split_name: str, review=None, **options
+    spark: SparkSession, generated_path: str, output_path: str, split_name: str, **options
 ) -> DataFrame | None:
     """Metrics of one split as a table, or None where the split was never generated."""
     df = tables.read_if_exists(spark, generated_path)
     if df is None:
         return None
     scored = metrics.ensure_metrics(df.withColumn("split", F.lit(split_name)), **options)
-    table = tables.write_table(scored, output_path)
+    return _review(tables.write_table(scored, output_path))
+
+
+def _review(table: DataFrame) -> DataFrame:
+    """Log the best and the worst rows of every split."""
     for name, samples in (("top", report.top_k_samples(table)), ("bottom", report.bottom_k_samples(table))):
         if samples is not None:
-            for row in samples.orderBy("rank").collect():
-                log.info("%s %s: %s | %s | %s", split_name, name, row["score"], row["headline"], row["generated"])
+            for row in samples.orderBy("split", "rank").collect():
+                log.info("%s %s: %s | %s | %s", row["split"], name, row["score"], row["headline"], row["generated"])
     return table
 
 
 def run_evaluation(
     spark: SparkSession, generated_path: str, output_path: str, splits=("val", "test"), **options
 ) -> DataFrame | None:
-    """Per-split metric tables, one combined summary and the Markdown report."""
-    summaries = []
-    for name in splits:
-        table = evaluate_split(spark, f"{generated_path}/split={name}", f"{output_path}/{name}_metrics", name, **options)
-        if table is not None:
-            summaries.append(report.summary_by_strategy(table))
-    if not summaries:
+    """Metrics of the splits as one table (``metrics``, written by split), one summary and the Markdown report.
+
+    All splits go through one plan. A split without rows has none in the summary and says so in the report; without
+    any rows there is no summary (None).
+    """
+    df = tables.read_if_exists(spark, generated_path)
+    found = None
+    if df is not None and "split" in df.columns:
+        scored = metrics.ensure_metrics(df.where(F.col("split").isin(*splits)), **options)
+        found = tables.write_table(scored, f"{output_path}/metrics", ["split"], schema=scored.schema)
+    if found is None or found.isEmpty():
         empty = spark.createDataFrame([], "split string, prompt_strategy string")
         tables.write_markdown(report.markdown_lines(empty, splits), f"{output_path}/evaluation_report")
         return None
-    combined = tables.write_table(report.combine_summaries(summaries), f"{output_path}/summary_stats")
-    tables.write_markdown(report.markdown_lines(combined, splits), f"{output_path}/evaluation_report")
-    return combined
+    summary = tables.write_table(report.summary_by_strategy(_review(found)), f"{output_path}/summary_stats")
+    tables.write_markdown(report.markdown_lines(summary, splits), f"{output_path}/evaluation_report")
+    return summary

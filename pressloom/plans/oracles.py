@@ -639,6 +639,16 @@ FROM means WHERE prompt_strategy IS NOT NULL GROUP BY split, metric"""),
         select=f"SELECT split, metric, {rnd('a')} AS baseline_mean, {rnd('b')} AS strategy_mean, {rnd('b - a')} AS delta FROM sides"),
     "H10_run_evaluation": recursive(PAIRS, *all_metrics(), select=wide_summary("all_scores", V.METRICS)),
     "P1_ingest_and_clean": with_(ARTICLES, RAW, CLEANED, select="SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date) FROM ingested"),
+    "P1_ingest_profile": with_(ARTICLES, RAW, CLEANED, select=" UNION ALL ".join([
+        "SELECT 'step' AS part, 'loaded' AS name, count(*) AS n FROM raw",
+        # what no format reads is the text 'not a date' of the raw view
+        "SELECT 'step', 'bad_dates', count(*) FROM raw WHERE raw_date = 'not a date'",
+        "SELECT 'step', 'with_text', count(*) FROM cleaned WHERE headline <> '' AND description <> ''",
+        "SELECT 'step', 'unique', count(*) FROM ingested",
+        *[f"SELECT 'nulls', {q(c)}, count(*) - count({c}) FROM ingested" for c in ARTICLE_TYPES],
+        *[f"SELECT 'value', {q(c + '=')} || {c}, count(*) FROM ingested GROUP BY {c}" for c in ("covid_status", "sentiment")],
+        *[f"SELECT 'rows', {q(c)}, count(*) FROM ingested" for c in ARTICLE_TYPES],
+    ])),
     "P2_preprocess_and_split": with_(ARTICLES, RAW, CLEANED, PREPARED, select="""SELECT doc_id, headline, description,
   strftime(date, '%Y-%m-%d') AS date, split FROM split_articles"""),
     "P3_extract_keywords": with_(ARTICLES, RAW, CLEANED, PREPARED, TRAIN_COUNTS, TRAIN_VOCABULARY,

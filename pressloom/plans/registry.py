@@ -1,5 +1,6 @@
 """One named query per operator, over the whole of the given tables."""
 
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame
@@ -571,10 +572,10 @@ def h10_run_evaluation(spark, d):
 _RAW_SCHEMA = "doc_id long, " + ", ".join(f"`{c}` string" for c in V.SOURCE_COLUMNS)
 
 
-def _ingested(spark, d, root):
+def _ingested(spark, d, root, profile_path=None):
     tables.write_csv(views.raw_articles(spark, d), f"{root}/csv")
     schema = spark.createDataFrame([], _RAW_SCHEMA).schema
-    return jobs.ingest_and_clean(spark, f"{root}/csv", f"{root}/cleaned", schema)
+    return jobs.ingest_and_clean(spark, f"{root}/csv", f"{root}/cleaned", schema, profile_path)
 
 
 def _preprocessed(spark, d, root):
@@ -592,6 +593,20 @@ def p1_ingest_and_clean(spark, d):
     return df.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
+def p1_ingest_profile(spark, d):
+    """The tables that the job writes beside the cleaned one, as lines of (part, name, n)."""
+    root = new_path(spark, "p1")
+    _ingested(spark, d, root, f"{root}/profile")
+    made = tables.load_model(spark, f"{root}/profile", "steps", "nulls", "value_counts", "shape")
+    lines = [
+        made["steps"].select(F.lit("step").alias("part"), F.col("step").alias("name"), "n"),
+        made["nulls"].select(F.lit("nulls"), "column_name", "null_count"),
+        made["value_counts"].select(F.lit("value"), F.concat_ws("=", "column_name", "value"), "n"),
+        made["shape"].select(F.lit("rows"), "column_name", "n_rows"),
+    ]
+    return reduce(DataFrame.union, lines)
+
+
 def p2_preprocess_and_split(spark, d):
     df = _preprocessed(spark, d, new_path(spark, "p2"))
     return df.select("doc_id", "headline", "description", F.date_format("date", "yyyy-MM-dd").alias("date"), "split")
@@ -713,6 +728,7 @@ QUERIES = {
     "H9_delta_vs_baseline": h9_delta_vs_baseline,
     "H10_run_evaluation": h10_run_evaluation,
     "P1_ingest_and_clean": p1_ingest_and_clean,
+    "P1_ingest_profile": p1_ingest_profile,
     "P2_preprocess_and_split": p2_preprocess_and_split,
     "P3_extract_keywords": p3_extract_keywords,
     "P4_cluster_and_build_prompts": p4_cluster_and_build_prompts,

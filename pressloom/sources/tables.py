@@ -52,10 +52,11 @@ def with_row_ids(df: DataFrame, col: str = "doc_id") -> DataFrame:
     return df if col in df.columns else df.withColumn(col, F.monotonically_increasing_id())
 
 
-def write_table(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> DataFrame:
-    """Parquet, partitioned on request, and read back."""
+def write_table(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite", schema: T.StructType | None = None) -> DataFrame:
+    """Parquet, partitioned on request, and read back; with a schema also where no row was written."""
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    reader = df.sparkSession.read if schema is None else df.sparkSession.read.schema(schema)
+    return reader.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -164,3 +164,35 @@ def test_summary_without_strategies(spark):
 
     rows = spark.createDataFrame([("val", 0.5), ("val", 1.0)], "split string, rouge1 double")
     assert [(r.split, r.metric, r["mean"], r["median"]) for r in summary_by_strategy(rows).collect()] == [("val", "rouge1", 0.75, 0.75)]
+
+
+def test_ingest_writes_its_profile(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Headline,Date,Description\nOne,2020-03-15,x\nTwo,soon,y\nTwo,NA,z\n,2020-03-16,w\n')
+    jobs.ingest_and_clean(spark, str(tmp_path / "a.csv"), str(tmp_path / "out"), profile_path=str(tmp_path / "profile"))
+    made = tables.load_model(spark, str(tmp_path / "profile"), "steps", "nulls", "shape", "date_range", "value_counts")
+    assert {r["step"]: r["n"] for r in made["steps"].collect()} == {"loaded": 4, "bad_dates": 1, "with_text": 3, "unique": 2}
+    assert {r["column_name"]: r["null_count"] for r in made["nulls"].collect()}["date"] == 1
+    assert {r["n_rows"] for r in made["shape"].collect()} == {2}
+
+
+def test_summary_aggregates_before_it_makes_lines(spark, tmp_path):
+    from pressloom.operators.report import summary_long
+
+    rows = [("val", "a b", 0.5, 1.0), ("val", "a b", 1.0, None), ("test", None, float("nan"), 3.0), ("test", None, 2.0, 5.0)]
+    df = spark.createDataFrame(rows, "split string, prompt_strategy string, rouge1 double, rouge2 double")
+    found = {tuple(r[:3]): tuple(r[3:]) for r in summary_long(df, ["split", "prompt_strategy"]).drop("std").collect()}
+    assert found == {
+        ("val", "a b", "rouge1"): (0.75, 0.5, 0.75, 1.0), ("val", "a b", "rouge2"): (1.0, 1.0, 1.0, 1.0),
+        ("test", None, "rouge1"): (2.0, 2.0, 2.0, 2.0), ("test", None, "rouge2"): (4.0, 3.0, 4.0, 5.0),
+    }
+    plan = summary_long(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate") and "Expand" not in plan
+
+
+def test_evaluation_of_other_splits_is_none(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "train", "a", "b", "structured")], "id long, split string, target string, generated_text string, prompt_strategy string")
+    tables.write_table(rows, str(tmp_path / "generated"), ["split"])
+    options = {"run_sbert": False, "run_bertscore": False}
+    assert jobs.run_evaluation(spark, str(tmp_path / "generated"), str(tmp_path / "out"), ("val",), **options) is None
+    found = jobs.run_evaluation(spark, str(tmp_path / "generated"), str(tmp_path / "out"), ("train", "val"), **options)
+    assert [r["split"] for r in found.collect()] == ["train"]
