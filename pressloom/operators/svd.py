@@ -143,7 +143,7 @@ def fit_svd(
     return spark.createDataFrame(table), np.sqrt(np.clip(values[order], 0, None)).tolist()
 
 
-def _component_matrix(components: DataFrame) -> np.ndarray:
+def component_matrix(components: DataFrame) -> np.ndarray:
     table = components.select("term_id", "vector").orderBy("term_id").toArrow()
     _, values = _flat(table.column("vector").combine_chunks())
     return values.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0))
@@ -151,7 +151,7 @@ def _component_matrix(components: DataFrame) -> np.ndarray:
 
 def svd_transform(df: DataFrame, components: DataFrame, features: str = "features", out: str = "svd_vector") -> DataFrame:
     """Add the dense vector of each sparse row: one Arrow stage, no shuffle."""
-    matrix = df.sparkSession.sparkContext.broadcast(_component_matrix(components))
+    matrix = df.sparkSession.sparkContext.broadcast(component_matrix(components))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def project(ids: pa.Array, weights: pa.Array) -> pa.Array:

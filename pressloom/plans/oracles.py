@@ -530,6 +530,8 @@ UNION ALL SELECT 'normalized', count(*), count(DISTINCT {near_key('headline')}),
     "D6_fit_idf": with_(ARTICLES, ALL_COUNTS, ALL_VOCABULARY, select=f"SELECT term, {rnd('idf')} AS idf FROM vocabulary"),
     "D7_tfidf_transform": with_(*TFIDF_ON_TRAIN, select=f"SELECT doc_id, term_id, term, CAST(tf AS INTEGER) AS tf, {rnd('weight')} AS weight FROM weights"),
     "D8_top_keywords": with_(*TFIDF_ON_TRAIN, KEYWORDS, select="SELECT doc_id, keywords FROM keywords"),
+    "D9_svd_invariants": with_(*TFIDF_ON_TRAIN, select="""SELECT CAST(i AS INTEGER) AS component, CAST(0 AS DOUBLE) AS off_orthonormal,
+  CAST(0 AS DOUBLE) AS off_energy FROM range((SELECT least(100, count(*)) FROM vocabulary)) AS t(i)"""),
     "D10_explained_variance_fixed": with_(
         *ON_ALL,
         """total AS (SELECT sum(ss / n - (s / n) * (s / n)) AS t FROM (
@@ -555,6 +557,9 @@ FROM keywords k JOIN split_articles a ON a.doc_id = k.doc_id JOIN projected p ON
   FROM query_weights a JOIN doc_weights b ON a.term_id = b.term_id GROUP BY query_id, doc_id)""",
         select="""SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10"""),
+    "E1_kmeans_invariants": f"""WITH long AS (
+  SELECT CAST(pos - 1 AS INTEGER) AS pos, CAST(embedding[pos] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(pos))
+SELECT pos, {rnd('sum(x)', 4)} AS total FROM long GROUP BY pos UNION ALL SELECT -1, {rnd('sum(x * x)', 4)} FROM long""",
     "E2_assign_clusters": with_(CENTRES, NEAREST, select=f"SELECT vec_id, cluster_id, {rnd('distance2')} AS distance2 FROM nearest"),
     "E3_cluster_inertia": with_(CENTRES, NEAREST, select=f"SELECT {rnd('sum(distance2)')} AS inertia FROM nearest"),
     "E4_topic_labels": with_(ARTICLES, ALL_COUNTS, ALL_VOCABULARY, CENTRES, COMPONENTS, LABELS,

@@ -3,6 +3,7 @@
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -306,6 +307,23 @@ def d9_fit_svd(spark, d):
     return posexplode_once(loadings, ["term_id", "term"], F.col("vector"), "component", "loading")
 
 
+def d9_svd_invariants(spark, d):
+    """What holds for every fit: orthonormal components, and documents whose energy along one is its squared value.
+
+    Per component, the largest deviation from it; the energy's is relative to the first component's.
+    """
+    features, loadings, values = _train_svd(spark, d)
+    matrix = svd.component_matrix(loadings)  # terms x components, as the fit itself holds it
+    off = np.abs(matrix.T @ matrix - np.eye(len(values))).max(axis=1)
+    fitted = spark.createDataFrame([(i, float(o), v) for i, (o, v) in enumerate(zip(off, values))], "component int, off double, value double")
+    projected = svd.svd_transform(features.where(F.col("split") == "train").select("features"), loadings)
+    energy = posexplode_once(projected, [], F.col("svd_vector"), "component", "x").groupBy("component").agg(F.sum(F.col("x") * F.col("x")).alias("energy"))
+    gap = F.abs(F.coalesce("energy", F.lit(0.0)) - F.col("value") * F.col("value")) / F.lit(values[0] ** 2 if values and values[0] else 1.0)
+    return fitted.join(energy, "component", "left").select(
+        "component", rounded(F.col("off")).alias("off_orthonormal"), rounded(gap).alias("off_energy")
+    )
+
+
 def d10_explained_variance(spark, d):
     features, loadings, _ = _train_svd(spark, d)
     train = features.where(F.col("split") == "train")
@@ -367,6 +385,19 @@ def e1_fit_kmeans(spark, d):
     return posexplode_once(centres, ["cluster_id"], F.col("center"), "pos", "x").withColumn("cost", F.lit(cost))
 
 
+def e1_kmeans_invariants(spark, d):
+    """What holds for every converged fit: centres weighted by their members add up to all vectors (a row per
+    position), and cost plus weighted squared centres to all squared lengths (position -1)."""
+    vectors = views.table(spark, d, "embeddings")
+    centres, cost = topics.fit_kmeans(vectors, "embedding")
+    sizes = topics.assign_clusters(vectors, centres, "embedding").groupBy("cluster_id").agg(F.count("*").alias("n"))
+    sums = posexplode_once(centres.join(sizes, "cluster_id"), ["n"], F.col("center"), "pos", "x")
+    along = sums.groupBy("pos").agg(F.sum(F.col("n") * F.col("x")).alias("total"))
+    lengths = sums.agg((F.sum(F.col("n") * F.col("x") * F.col("x")) + F.lit(cost)).alias("total"))
+    both = along.unionByName(lengths.select(F.lit(-1).alias("pos"), "total"))
+    return both.select("pos", rounded(F.col("total"), 4).alias("total"))
+
+
 def _nearest(spark, d):
     return topics.assign_clusters(views.table(spark, d, "embeddings"), views.label_centres(spark, d), "embedding")
 
@@ -682,6 +713,7 @@ QUERIES = {
     "D7_tfidf_transform": d7_tfidf_transform,
     "D8_top_keywords": d8_top_keywords,
     "D9_fit_svd": d9_fit_svd,
+    "D9_svd_invariants": d9_svd_invariants,
     "D10_explained_variance": d10_explained_variance,
     "D10_explained_variance_fixed": d10_explained_variance_fixed,
     "D11_svd_transform": d11_svd_transform,
@@ -691,6 +723,7 @@ QUERIES = {
     "D13_enrich_split": d13_enrich_split,
     "D14_tfidf_search": d14_tfidf_search,
     "E1_fit_kmeans": e1_fit_kmeans,
+    "E1_kmeans_invariants": e1_kmeans_invariants,
     "E2_assign_clusters": e2_assign_clusters,
     "E3_cluster_inertia": e3_cluster_inertia,
     "E4_topic_labels": e4_topic_labels,
