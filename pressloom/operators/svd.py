@@ -23,6 +23,8 @@ from pressloom.functions.lambdas import explode_once, posexplode_once
 log = logging.getLogger(__name__)
 
 _OVERSAMPLE = 10
+#: Blocks of directions that are kept before they are condensed into one.
+_BLOCKS = 4
 _SLICE_ENTRIES = 100_000
 
 
@@ -98,6 +100,13 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     return result
 
 
+def _beyond(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Orthonormal directions of ``block`` outside ``basis``; twice, because one step loses digits."""
+    for _ in range(2):
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+    return block
+
+
 def fit_svd(
     features: DataFrame,
     vocabulary: DataFrame,
@@ -108,9 +117,11 @@ def fit_svd(
 ) -> tuple[DataFrame, list[float]]:
     """Components as (term_id, term, vector) and the singular values, largest first.
 
-    Passes go on until the sum of the singular values grows by less than ``tolerance`` of itself, at most
-    ``max_passes`` times (a warning says so). ``features`` is read once per pass, so its sparse rows are cached for the fit; a lost executor's
-    part is computed again from the source.
+    Block Lanczos: each pass multiplies one new block of directions, and the components come from all blocks kept so
+    far, so a few passes are enough. After ``_BLOCKS`` blocks the best directions go on as one, which bounds the
+    driver's memory. Passes go on until the sum of the singular values grows by less than ``tolerance`` of itself, at
+    most ``max_passes`` times (a warning says so). ``features`` is read once per pass, so its sparse rows are cached
+    for the fit; a lost executor's part is computed again from the source.
     """
     spark = features.sparkSession
     terms = vocabulary.select("term_id", "term").orderBy("term_id").toArrow()
@@ -120,27 +131,31 @@ def fit_svd(
     rows = sparse_rows(features).persist()
     try:
         q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
+        basis = images = q[:, :0]
         before = 0.0
         for _ in range(max_passes):
-            product = _gram_times(rows, q)
-            last, (q, _) = q, np.linalg.qr(product)
-            # Rayleigh-Ritz on the basis whose product is known: no further pass over the data.
-            values, turn = np.linalg.eigh((last.T @ product + product.T @ last) / 2)
-            order = np.argsort(values)[::-1][:k]
-            reached = float(np.sqrt(np.clip(values[order], 0, None)).sum())
-            if reached - before <= tolerance * reached:
+            basis, images = np.hstack([basis, q]), np.hstack([images, _gram_times(rows, q)])
+            # Rayleigh-Ritz on the basis whose images are known: no further pass over the data.
+            small = basis.T @ images
+            values, turn = np.linalg.eigh((small + small.T) / 2)
+            values, turn = values[::-1], turn[:, ::-1]
+            reached = float(np.sqrt(np.clip(values[:k], 0, None)).sum())
+            if reached - before <= tolerance * reached or basis.shape[1] == n_terms:
                 break
             before = reached
+            q = _beyond(images[:, -q.shape[1] :], basis)[:, : n_terms - basis.shape[1]]
+            if basis.shape[1] >= _BLOCKS * width and n_terms > 2 * _BLOCKS * width:
+                basis, images, turn = basis @ turn[:, :width], images @ turn[:, :width], np.eye(width)
         else:
             log.warning("singular values still grow after %d passes", max_passes)
     finally:
         rows.unpersist()
-    basis = last @ turn[:, order]
+    basis = basis @ turn[:, :k]
     basis *= np.where(basis[np.abs(basis).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
     vectors = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(basis).ravel()), k)
     table = pa.table([terms.column("term_id"), terms.column("term"), vectors.cast(pa.list_(pa.float64()))],
                      ["term_id", "term", "vector"])
-    return spark.createDataFrame(table), np.sqrt(np.clip(values[order], 0, None)).tolist()
+    return spark.createDataFrame(table), np.sqrt(np.clip(values[:k], 0, None)).tolist()
 
 
 def component_matrix(components: DataFrame) -> np.ndarray:
