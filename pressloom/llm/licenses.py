@@ -76,26 +76,151 @@ RULES = [
     (("CcByNotice",), "CC-BY-4.0"),
 ]
 
+#: Names of the GNU licenses in their notices, the identifiers' stem, and the versions with their SPDX names.
+_GNU = [
+    ("gnu general public license", "Gpl", {"2": "GPL-2.0", "2 0": "GPL-2.0", "3": "GPL-3.0", "3 0": "GPL-3.0"}),
+    ("gnu lesser general public license", "Lgpl", {"2 1": "LGPL-2.1", "3": "LGPL-3.0", "3 0": "LGPL-3.0"}),
+    ("gnu library general public license", "Lgpl", {"2": "LGPL-2.0", "2 0": "LGPL-2.0"}),
+    ("gnu affero general public license", "Agpl", {"3": "AGPL-3.0", "3 0": "AGPL-3.0"}),
+]
+_WORKS = ("program", "library", "file", "software")
+#: SPDX names for which a tag, "licensed under ..." and "released under ..." are known besides those of SENTENCES.
+_NAMES = {
+    "MIT": "MitNotice", "Apache-2.0": "ApacheNotice", "BSD-2-Clause": "Bsd2Notice", "BSD-3-Clause": "Bsd3Notice", "MPL-2.0": "MplNotice",
+    "ISC": "IscNotice", "Unlicense": "UnlicenseNotice", "CC0-1.0": "Cc0Notice", "CC-BY-4.0": "CcByNotice", "CC-BY-SA-4.0": "CcBySaNotice",
+    "CC-BY-NC-4.0": "CcByNcNotice",
+}
+
+
+def _plain(words: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in words.lower()).split())
+
+
+def _more() -> tuple[dict[str, str], list[tuple[tuple[str, ...], str]]]:
+    """Sentences and rules besides SENTENCES and RULES, for the splitting that :func:`whole_sentences` protects."""
+    known = {
+        "this source code form is subject to the terms of the mozilla public license v 2 0": "MplNotice",
+        "mozilla public license version 2 0": "MplTitle",
+        "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MplCopy",
+        "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MplCopy",
+        "isc license": "IscTitle",
+        "the isc license": "IscTitle",
+        "this is free and unencumbered software released into the public domain": "UnlicenseGrant",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a "
+        "compiled binary for any purpose commercial or non commercial and by any means": "UnlicenseAnyone",
+        "cc0 1 0 universal": "Cc0Title",
+        "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this "
+        "software to the public domain worldwide": "Cc0Grant",
+        "you should have received a copy of the cc0 public domain dedication along with this software": "Cc0Received",
+        "licensed under the mozilla public license version 2 0": "MplNotice",
+        "licensed under the isc license": "IscNotice",
+        "you may obtain a copy of the license at http www apache org licenses license 2 0": "ApacheCopy",
+        "you may obtain a copy of the license at https www apache org licenses license 2 0": "ApacheCopy",
+    }
+    for use in ("and or distribute", "and distribute"):
+        known[
+            f"permission to use copy modify {use} this software for any purpose with or without fee is hereby granted provided that "
+            "the above copyright notice and this permission notice appear in all copies"
+        ] = "IscGrant"
+    rules = [
+        (("MplNotice", "MplCopy"), "MPL-2.0"), (("IscTitle", "IscGrant"), "ISC"), (("IscGrant",), "ISC"), (("UnlicenseGrant", "UnlicenseAnyone"), "Unlicense"),
+        (("UnlicenseGrant",), "Unlicense"), (("Cc0Grant", "Cc0Received"), "CC0-1.0"), (("Cc0Grant",), "CC0-1.0"), (("MplTitle",), "MPL-2.0"),
+        (("IscTitle",), "ISC"), (("Cc0Title",), "CC0-1.0"),
+    ]
+    for spdx, name in _NAMES.items():
+        known[f"spdx license identifier {_plain(spdx)}"] = name
+        for verb in ("licensed", "released"):
+            known.setdefault(f"{verb} under {_plain(spdx)}", name)
+        rules.append(((name,), spdx))
+    for license, stem, versions in _GNU:
+        details, received = f"{stem}Details", f"{stem}Received"
+        known[f"see the {license} for more details"] = details
+        for work in _WORKS:
+            known[f"you should have received a copy of the {license} along with this {work}"] = received
+        for version, spdx in versions.items():
+            digit = spdx.split("-")[1].replace(".", "").removesuffix("0")
+            later, only, notice, later_notice = (f"{stem}{digit}{x}" for x in ("Later", "Only", "Notice", "LaterNotice"))
+            for work in _WORKS:
+                start = f"this {work} is free software you can redistribute it and or modify it under the terms of the {license}"
+                free = "as published by the free software foundation"
+                known[f"{start} {free} either version {version} of the license or at your option any later version"] = later
+                for form in (f"{free} version {version} of the license", f"{free} version {version}", f"version {version} {free}", f"version {version}"):
+                    known[f"{start} {form}"] = only
+            for text in ("this work is licensed", "licensed", "released"):
+                known[f"{text} under the {license} version {version}"] = notice
+                known[f"{text} under the {license} version {version} or later"] = later_notice
+            for text in (spdx, f"{spdx}-only"):
+                known[f"spdx license identifier {_plain(text)}"] = notice
+            known[f"spdx license identifier {_plain(spdx)} or later"] = later_notice
+            for name, suffix in ((later, "or-later"), (only, "only")):
+                if ((name,), f"{spdx}-{suffix}") not in RULES:
+                    rules += [((name, details, received), f"{spdx}-{suffix}"), ((name, details), f"{spdx}-{suffix}"), ((name,), f"{spdx}-{suffix}")]
+            rules += [((later_notice,), f"{spdx}-or-later"), ((notice,), f"{spdx}-only")]
+    return known, rules
+
+
+_MORE_SENTENCES, _MORE_RULES = _more()
+#: All that the operator knows. The SQL below has SENTENCES and RULES only.
+KNOWN = {**_MORE_SENTENCES, **SENTENCES}
+ALL_RULES = list(dict.fromkeys([*RULES, *_MORE_RULES]))
+
 #: Where a sentence ends: always at closing marks before a blank; in the line reading at every line break too, in the
 #: flowing reading at empty lines only, for texts wrapped inside sentences.
 LINES = r"[.!?;:]*[\x20\t]*[\n\r]+|[.!?;:]+[\x20\t]+"
 FLOW = r"[.!?;:]*[\x20\t]*[\n\r][\x20\t]*[\n\r]+|[.!?;:]+[\x20\t\n\r]+"
 
 
+#: Marks inside known sentences at which nothing ends: 'free software: you', 'Foundation; either version 2', 'v. 2.0'.
+INSIDE = r"(?<=\bsoftware)[:;](?=[^\p{L}\p{N}]{1,40}you )|(?<=\bfoundation)[:;](?=[^\p{L}\p{N}]{1,40}(?:either )?version )|(?<=\bv)\.(?=[\x20\t]+[0-9])"
+_TAG = "spdx-license-identifier:"
+#: Operators between the names of an SPDX expression, and an exception with its name.
+BETWEEN = rf"[\x20\t(]+(?:or|and)[\x20\t(]+(?<={_TAG}[^\n\r]{{1,400}})"
+EXCEPT = rf"[\x20\t)]+with[\x20\t]+(?<={_TAG}[^\n\r]{{1,400}})"
+
+
+def whole_sentences(text: Column) -> Column:
+    """Lower-case text in which known sentences hold together, and each name of an SPDX tag is a sentence with the tag."""
+    low = F.lower(text)
+    tags = F.regexp_replace(low, rf"(?<={_TAG}[^\n\r]{{1,400}})(?<=[a-z0-9])\+", "-or-later")
+    tags = F.regexp_replace(F.regexp_replace(tags, EXCEPT, "\u0001"), BETWEEN, f"\u0001{_TAG} ")
+    tags = F.regexp_replace(tags, rf"{_TAG}[\x20\t]*", "\u0001spdx license identifier ")
+    low = F.when(F.contains(low, F.lit(_TAG)), tags).otherwise(low)
+    return F.regexp_replace(low, INSIDE, " ")
+
+
 def sentences(text: Column, ends: str) -> Column:
     """Normalised sentences in order."""
-    cut = F.regexp_replace(F.lower(text), ends, "\u0001")
+    cut = F.regexp_replace(whole_sentences(text), ends, "\u0001")
     plain = F.regexp_replace(cut, r"[^\p{L}\p{N}\x01]+", " ")
     return F.split(plain, r"\x20?\x01\x20?", -1)
 
 
 def identifiers(text: Column, ends: str) -> Column:
     """Identifiers of the known sentences in order; unknown ones are passed over."""
-    names = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    known = F.filter(F.transform(sentences(text, ends), lambda s: F.trim(s)), lambda s: s.isin(*SENTENCES))
+    names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    known = F.filter(F.transform(sentences(text, ends), lambda s: F.trim(s)), lambda s: s.isin(*KNOWN))
     return F.transform(known, lambda s: F.element_at(names, s))
 
 
+def ruled(left: Column) -> Column:
+    """(left, found): the rules one after another on identifiers written as " A  B ".
+
+    With two blanks between, neighbouring matches of one rule never share a blank.
+    """
+    rules = F.array(*[
+        F.struct(F.lit(" " + "  ".join(sequence) + " ").alias("wanted"), F.lit(f" #{number} ").alias("mark"), F.lit(name).alias("name"))
+        for number, (sequence, name) in enumerate(ALL_RULES)
+    ])
+    return F.aggregate(
+        rules,
+        F.struct(left.alias("left"), F.array().cast("array<string>").alias("found")),
+        lambda acc, r: F.struct(
+            F.replace(acc["left"], r["wanted"], r["mark"]).alias("left"),
+            F.when(F.contains(acc["left"], r["wanted"]), F.array_append(acc["found"], r["name"])).otherwise(acc["found"]).alias("found"),
+        ),
+    )
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, sentence_ids, licenses, n_known, n_unmatched``.
 
@@ -110,11 +235,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), identifiers(text, LINES).alias("lines"), identifiers(text, FLOW).alias("flow"))
     rows = rows.select("doc_id", F.when(F.size("flow") > F.size("lines"), F.col("flow")).otherwise(F.col("lines")).alias("ids"))
     # " A  B " with two blanks between: neighbouring matches of one rule never share a blank.
-    rows = rows.withColumn("left", F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))).withColumn("found", F.array().cast("array<string>"))
-    for number, (sequence, name) in enumerate(RULES):
-        wanted = " " + "  ".join(sequence) + " "
-        rows = rows.withColumn("found", F.when(F.contains("left", F.lit(wanted)), F.array_append("found", F.lit(name))).otherwise(F.col("found")))
-        rows = rows.withColumn("left", F.replace("left", F.lit(wanted), F.lit(f" #{number} ")))
+    left = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))
+    rows = rows.withColumn("ruled", F.when(F.size("ids") > 0, ruled(left)).otherwise(F.struct(F.lit(" ").alias("left"), F.lit(None).alias("found"))))
+    rows = rows.select("doc_id", "ids", F.col("ruled.left").alias("left"), F.coalesce("ruled.found", F.array().cast("array<string>")).alias("found"))
     unmatched = F.filter(F.split(F.trim("left"), " +"), lambda s: (s != "") & ~s.startswith("#"))
     return rows.select(
         "doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("licenses"),
