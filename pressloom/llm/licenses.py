@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.common import table, text_of
+from pressloom.llm.syncmers import let
 
 #: Normalised sentences (lower case, every run of other characters than letters and digits one space) and their
 #: identifiers. The wording of public license texts and notices.
@@ -188,18 +189,28 @@ def whole_sentences(text: Column) -> Column:
     return F.regexp_replace(low, INSIDE, " ")
 
 
-def sentences(text: Column, ends: str) -> Column:
-    """Normalised sentences in order."""
-    cut = F.regexp_replace(whole_sentences(text), ends, "\u0001")
-    plain = F.regexp_replace(cut, r"[^\p{L}\p{N}\x01]+", " ")
-    return F.split(plain, r"\x20?\x01\x20?", -1)
+def identifiers(text: Column) -> Column:
+    """Identifiers of the known sentences of both readings in order of place; unknown ones are passed over.
 
-
-def identifiers(text: Column, ends: str) -> Column:
-    """Identifiers of the known sentences in order; unknown ones are passed over."""
+    Every end of the flowing reading is an end of the line reading too, so a flowing sentence is a run of whole lines:
+    if it is known it stands for them (the longest first), if not, those of its lines that are known count.
+    """
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    known = F.filter(F.transform(sentences(text, ends), lambda s: F.trim(s)), lambda s: s.isin(*KNOWN))
-    return F.transform(known, lambda s: F.element_at(names, s))
+    cut = F.regexp_replace(whole_sentences(text), FLOW, "\u0001")
+    pieces = F.split(F.regexp_replace(cut, r"[^\p{L}\p{N}\x01\n\r]+", " "), "\u0001", -1)
+
+    def of_lines(piece: Column) -> Column:
+        known = F.filter(F.transform(F.split(piece, r"[\n\r]+", -1), lambda s: F.trim(s)), lambda s: s.isin(*KNOWN))
+        return F.transform(known, lambda s: F.element_at(names, s))
+
+    def of_piece(piece: Column) -> Column:
+        def named(whole: Column) -> Column:
+            lines = F.when(piece.rlike(r"[\n\r]"), of_lines(piece)).otherwise(F.array().cast("array<string>"))
+            return F.when(whole.isin(*KNOWN), F.array(F.element_at(names, whole))).otherwise(lines)
+
+        return let(F.trim(F.regexp_replace(piece, r"[\x20\n\r]+", " ")), named)
+
+    return F.flatten(F.transform(pieces, of_piece))
 
 
 def ruled(left: Column) -> Column:
@@ -224,17 +235,15 @@ def ruled(left: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, sentence_ids, licenses, n_known, n_unmatched``.
 
-    Both readings of the text are recognised; the one with more known sentences counts (the lines, if equal).
-    ``sentence_ids``: its identifiers, comma-joined in order. ``licenses``: names of the rules that match, sorted,
+    What either reading of the text recognises counts, at its place; within a known flowing sentence its lines do not.
+    ``sentence_ids``: the identifiers, comma-joined in order. ``licenses``: names of the rules that match, sorted,
     each once, comma-joined. ``n_unmatched``: known sentences that no rule takes. Everything happens inside the row,
     so there is no shuffle and no hot key.
 
     Null and empty texts have no sentences (empty strings, zeros). Repeated rows are scanned each.
     """
     text = text_of(text_col)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), identifiers(text, LINES).alias("lines"), identifiers(text, FLOW).alias("flow"))
-    rows = rows.select("doc_id", F.when(F.size("flow") > F.size("lines"), F.col("flow")).otherwise(F.col("lines")).alias("ids"))
-    # " A  B " with two blanks between: neighbouring matches of one rule never share a blank.
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), identifiers(text).alias("ids"))
     left = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))
     rows = rows.withColumn("ruled", F.when(F.size("ids") > 0, ruled(left)).otherwise(F.struct(F.lit(" ").alias("left"), F.lit(None).alias("found"))))
     rows = rows.select("doc_id", "ids", F.col("ruled.left").alias("left"), F.coalesce("ruled.found", F.array().cast("array<string>")).alias("found"))

@@ -100,3 +100,13 @@ def test_every_sentence_with_its_marks_is_known(scanned):
             s = s.replace(plain, marked)
         texts.append(f"Words before.\n\n * {s}.\n\nWords after.")
     assert [r.sentence_ids for r in scanned(*texts)] == list(licenses.KNOWN.values())
+
+
+def test_what_either_reading_knows_counts_at_its_place(scanned):
+    notices = "Released under the MIT License\nLicensed under CC BY 4.0\nwords without an end"
+    wrapped = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the\nfollowing conditions are met:\n"
+    rows = scanned(f"{notices}\n\n{wrapped}\n{MIT}", f"{MIT}\n{notices}", "The MIT\nLicense\n\nThe\nMIT License")
+    assert [r.sentence_ids for r in rows] == [
+        "MitNotice,CcByNotice,BsdGrant,MitGrant,MitNotices", "MitGrant,MitNotices,MitNotice,CcByNotice", "MitTitle,MitTitle",
+    ]
+    assert [r.licenses for r in rows] == ["CC-BY-4.0,MIT", "CC-BY-4.0,MIT", "MIT"]
