@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name, monkeypatch):
 
 
 def test_every_operator_has_its_query():
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
 
 
 def test_packing_against_the_tokenizer(spark, docs):
