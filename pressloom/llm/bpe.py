@@ -48,29 +48,33 @@ class PairTree:
     """
 
     def __init__(self, ranks: list[int], none: int):
-        self.width = 1 << max(0, len(ranks) - 1).bit_length()
-        self.none = none * self.width
-        leaves = [r * self.width + i if r < none else self.none for i, r in enumerate(ranks)]
-        self.nodes = [self.none] * self.width + leaves + [self.none] * (self.width - len(leaves))
-        for i in range(self.width - 1, 0, -1):
-            self.nodes[i] = min(self.nodes[2 * i], self.nodes[2 * i + 1])
+        self.width = width = 1 << max(0, len(ranks) - 1).bit_length()
+        self.none = none * width  # nothing from here on can be merged
+        nodes = [self.none] * (width - 1)
+        nodes += [r * width + i for i, r in enumerate(ranks)]
+        nodes += [self.none] * (width - len(ranks))
+        nodes.insert(0, self.none)
+        for i in range(width - 1, 0, -1):
+            left, right = nodes[2 * i], nodes[2 * i + 1]
+            nodes[i] = left if left < right else right
+        self.nodes = nodes
 
     def lowest(self) -> int:
         """The place of the pair to merge, -1 if none can be."""
         best = self.nodes[1]
-        return best % self.width if best < self.none else -1
+        return best & (self.width - 1) if best < self.none else -1
 
     def put(self, place: int, rank: int) -> None:
         nodes, i = self.nodes, self.width + place
-        nodes[i] = min(rank * self.width + place, self.none)
-        i >>= 1
-        while i:
-            left, right = nodes[2 * i], nodes[2 * i + 1]
-            least = left if left < right else right
+        nodes[i] = least = rank * self.width + place
+        while i > 1:
+            other = nodes[i ^ 1]
+            i >>= 1
+            if other < least:
+                least = other
             if nodes[i] == least:
                 break
             nodes[i] = least
-            i >>= 1
 
 
 class Merges:
@@ -104,21 +108,25 @@ class Merges:
         if n < 2:
             return ids
         unknown = (none, 0)
-        tree = PairTree([pairs.get(ids[i] << 32 | ids[i + 1], unknown)[0] for i in range(n - 1)], none)
+        found = [pairs.get(a << 32 | b, unknown) for a, b in zip(ids, ids[1:])]
+        tree = PairTree([rank for rank, _ in found], none)
+        becomes = [new for _, new in found]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while (i := tree.lowest()) >= 0:
             j = after[i]
-            ids[i], ids[j] = pairs[ids[i] << 32 | ids[j]][1], -1
+            ids[i], ids[j] = becomes[i], -1
             k = after[i] = after[j]
             if j < n - 1:
                 tree.put(j, none)
             if k < n:
                 before[k] = i
-                tree.put(i, pairs.get(ids[i] << 32 | ids[k], unknown)[0])
+                rank, becomes[i] = pairs.get(ids[i] << 32 | ids[k], unknown)
+                tree.put(i, rank)
             else:
                 tree.put(i, none)
             if (h := before[i]) >= 0:
-                tree.put(h, pairs.get(ids[h] << 32 | ids[i], unknown)[0])
+                rank, becomes[h] = pairs.get(ids[h] << 32 | ids[i], unknown)
+                tree.put(h, rank)
         return [x for x in ids if x >= 0]
 
 

@@ -67,17 +67,21 @@ class Words:
         return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
-def _summed(langs: pa.Array, lang: np.ndarray, phrases: pa.StringArray, number: np.ndarray, weight: np.ndarray, schema: T.StructType):
-    """One row per language, phrase and number with the sum of its weights."""
+def _summed(langs: pa.Array, lang: np.ndarray, phrases: pa.StringArray, number: np.ndarray, weight: np.ndarray, schema: T.StructType, least: int = 0):
+    """One row per language, phrase and number (given less ``least``) with the sum of its weights; sums stay below 2^53."""
     coded = phrases.dictionary_encode()
     wide, most = len(coded.dictionary), int(number.max(initial=0)) + 1
     key = (lang.astype(np.int64) * most + number) * wide + coded.indices.to_numpy(zero_copy_only=False)
-    kinds, back = np.unique(key, return_inverse=True)
-    sums = np.zeros(len(kinds), np.int64)
-    np.add.at(sums, back, weight)
+    if len(langs) * most * wide < 8 * len(key):  # few enough to count without a sort
+        sums = np.bincount(key, weight)
+        kinds = np.flatnonzero(sums)
+        sums = sums[kinds].astype(np.int64)
+    else:
+        kinds, back = np.unique(key, return_inverse=True)
+        sums = np.bincount(back, weight).astype(np.int64)
     group, word = np.divmod(kinds, max(wide, 1))
     group, number = np.divmod(group, most)
-    columns = [langs.take(pa.array(group)), coded.dictionary.take(pa.array(word)), pa.array(number, pa.int32()), pa.array(sums)]
+    columns = [langs.take(pa.array(group)), coded.dictionary.take(pa.array(word)), pa.array(number + least, pa.int32()), pa.array(sums)]
     return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
 
@@ -128,7 +132,7 @@ def phrase_counts(chunks: DataFrame, longest: int = LONGEST) -> DataFrame:
                 for n in range(1, longest + 1):
                     begin = np.flatnonzero((place < core[words.text]) & (np.arange(len(place)) + n <= words.piece_end))
                     own = words.text[begin]
-                    yield _summed(langs.dictionary, lang[own], words.phrases(begin, begin + n), np.full(len(begin), n), f[own], PHRASES)
+                    yield _summed(langs.dictionary, lang[own], words.phrases(begin, begin + n), np.zeros(len(begin), np.int64), f[own], PHRASES, n)
 
     found = chunks.select("lang", "chunk", "core", "f").mapInArrow(run, PHRASES)
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
