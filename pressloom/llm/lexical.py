@@ -7,8 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,11 +16,13 @@ from pressloom.session import new_path, write_and_read
 
 #: Documents returned for an item.
 TOP = 50
-#: Bytes of text in one block of the index.
-BLOCK = 8_000_000
+#: Bytes of text in one block of the index, and blocks in a row group of its files, which a reading task holds at a time.
+BLOCK, GROUP = 2_000_000, 4
 #: Terms, repeats between items included, that the items of one pass over the index have; a longer item is a pass of its own.
 PASS_TERMS = 200_000
-#: Rows that share a normaliser are dealt into so many places of the index's order, so that no task gets a stratum whole.
+#: Steps per doubling in which normalisers are counted when the blocks are laid out, and the most such steps.
+FINE, STEPS = 64, 64 * 63
+#: Parts in which an item's hits are ranked before the best of each part are ranked together.
 SALT = 64
 #: Fixed value: characters of terms.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -36,7 +37,7 @@ _LONGS, _INTS = T.ArrayType(T.LongType(), False), T.ArrayType(T.IntegerType(), F
 #: by falling tf. ``doc`` is a document's place in the block.
 BLOCKS = T.StructType(
     [
-        T.StructField("block", T.LongType()),
+        T.StructField("slot", T.LongType()),
         T.StructField("doc_ids", T.ArrayType(T.LongType(), True)),
         T.StructField("m", _LONGS),
         T.StructField("terms", T.ArrayType(T.StringType(), False)),
@@ -57,7 +58,7 @@ class Index:
     def write(self, path: str) -> None:
         """The blocks as Parquet, the two totals beside them."""
         spark = self.blocks.sparkSession
-        self.blocks.write.parquet(f"{path}/blocks")
+        _write_blocks(self.blocks, f"{path}/blocks")
         spark.createDataFrame([(self.documents, self.terms)], "documents long, terms long").write.parquet(f"{path}/totals")
 
     @staticmethod
@@ -66,9 +67,19 @@ class Index:
         return Index(spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), totals.documents, totals.terms)
 
 
-def n_terms(text: Column) -> Column:
-    """How many terms a text has, repeats included."""
-    return F.regexp_count(text, F.lit(TERM)).cast("long")
+def with_sizes(source: DataFrame) -> DataFrame:
+    """``doc_id, text, n``: how many terms each text has, repeats included."""
+
+    def run(batches):
+        for batch in batches:
+            for part in steps(batch):
+                texts = [t.as_buffer().to_pybytes() for t in part.column("text").cast(pa.binary())]
+                start, _ = runs(_IN_TERM[np.frombuffer(b"\0".join([*texts, b""]), np.uint8)])
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                n = np.diff(np.searchsorted(start, ends), prepend=0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64())], names=[*part.schema.names, "n"])
+
+    return source.mapInArrow(run, "doc_id long, text string, n long")
 
 
 def _stretches(first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -80,7 +91,7 @@ def _list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _block(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _block(slot: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     """One row of the index from documents in the order of their m."""
     m = np.concatenate([p.column("m").to_numpy(zero_copy_only=False) for p in parts])
     ids = pa.concat_arrays([p.column("doc_id") for p in parts])
@@ -99,44 +110,75 @@ def _block(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     stratum = np.cumsum(np.diff(m, prepend=m[0]) != 0)
     by = np.lexsort((-tf, term * (int(stratum[-1]) + 1) + stratum[doc]))
     columns = [
-        pa.array([number], pa.int64()), _list(ids), _list(pa.array(m)), _list(coded.dictionary.take(pa.array(order))),
+        pa.array([slot], pa.int64()), _list(ids), _list(pa.array(m)), _list(coded.dictionary.take(pa.array(order))),
         _list(pa.array(np.bincount(term, minlength=len(order)), pa.int32())),
         _list(pa.array(doc[by], pa.int32())), _list(pa.array(tf[by], pa.int32())),
     ]
     return pa.RecordBatch.from_arrays(columns, names=BLOCKS.names)
 
 
+def _in_slots(sized: DataFrame, documents: int, terms: int, block: int) -> DataFrame:
+    """``doc_id, text, m, slot``: each document's normaliser, and the slot of the index that it goes to.
+
+    Slots follow the order of m and hold about ``block`` bytes each: the bytes are counted in at most ``STEPS`` fine steps
+    of m, a step's share of all bytes is its share of the slots, and inside a step documents go by m, then by a hash. So
+    equal normalisers lie together, and a frequent one fills as many slots as its bytes need.
+    """
+    spark = sized.sparkSession
+    placed = sized.selectExpr(
+        "doc_id", "text", f"50 + (50 * n * {documents}L) div {max(terms, 1)}L AS m",
+        "octet_length(text) + 1L AS bytes", "pmod(xxhash64(doc_id, text), 1048576) / 1048576 AS u",
+    ).withColumn("step", F.floor(F.log2("m") * FINE))
+    counted = placed.groupBy("step").agg(F.sum("bytes").alias("bytes"), F.min("m").alias("low"), F.max("m").alias("high"))
+    layout, before = [], 0
+    for r in sorted(counted.limit(STEPS).collect()):
+        layout.append((r.step, before / block, r.bytes / block, r.low, r.high))
+        before += r.bytes
+    layout = spark.createDataFrame(layout, "step long, first double, slots double, low long, high long")
+    place = F.col("first") + F.col("slots") * (F.col("m") - F.col("low") + F.col("u")) / (F.col("high") - F.col("low") + 1)
+    return placed.join(F.broadcast(layout), "step").select("doc_id", "text", "m", F.floor(place).alias("slot"))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> Index:
     """The index of all documents with at least one term, written.
 
-    N and L come from one aggregate; then the texts are range-sorted by their normaliser m, so that documents of equal m
-    lie together (the salt lets a frequent m go over many tasks), and each task cuts its range into blocks of about
-    ``block`` bytes of text.
+    N and L come from one aggregate; then the texts are dealt by slots of like normalisers m (``_in_slots``) and sorted by
+    m in them; a slot becomes one row, or more where it is much larger than ``block`` bytes.
 
     Null and empty texts and those without a term are not in the index; a null id stays null; repeated rows are
     documents of their own; a long text is a block of its own. Other columns are not read.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    sized = source.withColumn("n", n_terms(F.col("text"))).where("n > 0")
+    sized = with_sizes(source).where("n > 0")
     totals = sized.agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("terms")).first()
     documents, terms = totals.documents, totals.terms or 0
-    placed = sized.selectExpr("doc_id", "text", f"50 + (50 * n * {documents}L) div {max(terms, 1)}L AS m")
-    placed = placed.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALT)))
-    placed = placed.repartitionByRange("m", "place").sortWithinPartitions("m").drop("place")
+    placed = _in_slots(sized, documents, terms, block).repartition("slot").sortWithinPartitions("slot", "m")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, parts = TaskContext.get().partitionId() << 32, 0, []
+        slot, held, parts = None, 0, []
         for batch in batches:
-            for part in steps(batch, chars=block // 8):
-                if parts and held + part.column("text").nbytes > block:
-                    yield _block(number, parts)
-                    number, held, parts = number + 1, 0, []
-                parts.append(part)
-                held += part.column("text").nbytes
+            slots = batch.column("slot").to_numpy()
+            edges = np.flatnonzero(np.diff(slots, prepend=-1, append=-1))
+            for first, last in zip(edges, edges[1:]):
+                for part in steps(batch.slice(first, last - first), chars=block):
+                    size = pc.sum(pc.binary_length(part.column("text"))).as_py()
+                    if parts and (slots[first] != slot or held + size > 2 * block):
+                        yield _block(slot, parts)
+                        held, parts = 0, []
+                    slot = int(slots[first])
+                    parts.append(part)
+                    held += size
         if parts:
-            yield _block(number, parts)
+            yield _block(slot, parts)
+
+    path = new_path(docs.sparkSession, "lexical-index")
+    _write_blocks(placed.mapInArrow(build, BLOCKS), path)
+    return Index(docs.sparkSession.read.schema(BLOCKS).parquet(path), documents, terms)
+
 
-    return Index(write_and_read(placed.mapInArrow(build, BLOCKS), "lexical-index"), documents, terms)
+def _write_blocks(blocks: DataFrame, path: str) -> None:
+    """Rows of about a megabyte, few of them in a row group."""
+    blocks.write.option("parquet.block.row.count.limit", GROUP).parquet(path)
 
 
 class Queries:

@@ -85,7 +85,7 @@ def test_search_in_several_passes_and_from_a_written_index(spark, documents, mon
 
 def test_equal_normalisers_lie_together(documents):
     index = lexical.build_index(documents(*[(i, "w " * (i % 5 + 1)) for i in range(300)]), block=100)
-    rows = index.blocks.orderBy("block").collect()
+    rows = index.blocks.orderBy("slot").collect()
     assert all(list(r.m) == sorted(r.m) for r in rows) and sum(len(r.doc_ids) for r in rows) == 300
     order = [m for r in rows for m in r.m]
     assert order == sorted(order) and len(rows) > 5
@@ -109,7 +109,7 @@ def test_strata_below_the_threshold_are_not_scored(documents, monkeypatch):
     monkeypatch.setattr(lexical.np, "bincount", counted)
     import pyarrow as pa
 
-    for r in sorted(row, key=lambda r: r.block):
+    for r in sorted(row, key=lambda r: r.slot):
         kinds = {f.name: f.dataType.elementType.typeName() for f in lexical.BLOCKS.fields[1:]}
         types = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
         lexical.search_block({c: pa.array(r[c], types[k]) for c, k in kinds.items()}, queries, best)
