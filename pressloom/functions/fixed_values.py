@@ -27,6 +27,16 @@ DATE_FORMATS = [
     "dd/MM/yyyy", "M/d/yyyy", "d/M/yyyy", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy",
 ]
 
+# --- dates of a column whose convention is inferred ------------------------------------------------
+# Two numbers and a year, the same separator between them; what follows is the time of day.
+NUMERIC_DATE = r"^\s*(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})(?!\d)(.*)$"
+WEEKDAY = r"^\s*[A-Za-z]{3,9},\s+"
+ZONE_NAME = r"\s(GMT|UTC|UT|Z)\s*$"
+PLAIN_FORMATS = [
+    "yyyy-M-d", "yyyy-M-d HH:mm[:ss][.SSSSSS][.SSS]", "yyyy-M-d'T'HH:mm[:ss][.SSSSSS][.SSS][XXX]", "yyyyMMdd",
+    "yyyy/M/d[ HH:mm:ss]", "d MMM yyyy[ HH:mm[:ss][ xx]]", "d MMMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+]
+
 # --- cleaning patterns ----------------------------------------------------------------------------
 # Python's Unicode white space, spelt out because neither Java's nor RE2's \s covers it.
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -60,6 +60,31 @@ def parse_timestamp(c: Column, formats=V.DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
 
 
+def _date_part(c: Column, group: int) -> Column:
+    return F.regexp_extract(c, V.NUMERIC_DATE, group)
+
+
+def day_first_evidence(c: Column) -> Column:
+    """1 where a numeric date can only be read day first, -1 where only month first, else 0 or (for other text) null."""
+    first, second = (_date_part(c, g).try_cast("int") for g in (1, 3))
+    return F.when((first > 12) & (second <= 12), 1).when((second > 12) & (first <= 12), -1).when(first.isNotNull(), 0)
+
+
+def parse_timestamp_as(c: Column, day_first: Column) -> Column:
+    """One convention for all numeric dates; one that can only be read the other way is read that way.
+
+    Two-digit years are of this century. ISO, compact (20200315), spelt-out months and mail dates need no convention.
+    """
+    first, second = (_date_part(c, g).try_cast("int") for g in (1, 3))
+    year = F.when(F.length(_date_part(c, 4)) == 2, F.concat(F.lit("20"), _date_part(c, 4))).otherwise(_date_part(c, 4))
+    day_comes_first = F.when(first > 12, True).when(second > 12, False).otherwise(day_first)
+    month, day = F.when(day_comes_first, second).otherwise(first), F.when(day_comes_first, first).otherwise(second)
+    plain = F.concat(year, F.lit("-"), month, F.lit("-"), day, _date_part(c, 5))
+    mail = F.regexp_replace(F.regexp_replace(c, V.WEEKDAY, ""), V.ZONE_NAME, " +0000")
+    text = F.trim(F.when(first.isNotNull(), plain).otherwise(mail))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in V.PLAIN_FORMATS])
+
+
 def clean_generated_text(c: Column, max_chars: int = V.MAX_POST_CHARS) -> Column:
     ws = V.WHITESPACE + "*"
     c = F.regexp_replace(c, f"(?iu)^{ws}{V.CHATTER_LINE}", "")

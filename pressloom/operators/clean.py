@@ -18,19 +18,44 @@ def normalize_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def parse_dates(df: DataFrame, col: str = "date", formats=V.DATE_FORMATS) -> DataFrame:
+def date_convention(df: DataFrame, col: str = "date") -> DataFrame:
+    """One row: ``day_first_dates`` and ``month_first_dates``, how many dates can be read one way only, ``numeric_dates``,
+    and ``day_first``, the convention of the column: the one with more such dates, month first if they are equally many.
+    """
+    evidence = X.day_first_evidence(F.col(f"`{col}`"))
+    found = df.agg(
+        F.count_if(evidence == 1).alias("day_first_dates"), F.count_if(evidence == -1).alias("month_first_dates"),
+        F.count(evidence).alias("numeric_dates"),
+    )
+    return found.withColumn("day_first", F.col("day_first_dates") > F.col("month_first_dates"))
+
+
+def parse_dates(df: DataFrame, col: str = "date", formats=None) -> DataFrame:
+    """Text dates to timestamps, null where they cannot be read. A typed column stays as it is.
+
+    The convention of numeric dates (day or month first) is inferred from the whole column by one pass over it, which
+    brings one row to the driver, and holds for every row. With ``formats`` the first that fits a row wins instead.
+    """
     if col not in df.columns:
         log.warning("no column %r: dates are not parsed", col)
         return df
     if df.schema[col].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
         return df
-    return df.withColumn(col, X.parse_timestamp(F.col(col), formats))
+    return df.withColumn(col, _parsed(df, col, formats))
+
+
+def _parsed(df: DataFrame, col: str, formats):
+    if formats:
+        return X.parse_timestamp(F.col(col), formats)
+    found = date_convention(df, col).first()
+    log.info("%s: %s", col, found.asDict())
+    return X.parse_timestamp_as(F.col(col), F.lit(found.day_first))
 
 
-def count_bad_dates(raw: DataFrame, col: str = "date", formats=V.DATE_FORMATS) -> DataFrame:
-    """How many texts no format could read (and how many were missing to begin with)."""
+def count_bad_dates(raw: DataFrame, col: str = "date", formats=None) -> DataFrame:
+    """How many texts could not be read as dates (and how many were missing to begin with)."""
     return raw.agg(
-        F.count_if(F.col(col).isNotNull() & X.parse_timestamp(F.col(col), formats).isNull()).alias("bad_dates"),
+        F.count_if(F.col(col).isNotNull() & _parsed(raw, col, formats).isNull()).alias("bad_dates"),
         F.count_if(F.col(col).isNull()).alias("missing_dates"),
     )
 

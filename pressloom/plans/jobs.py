@@ -29,20 +29,21 @@ def ingest_and_clean(
     """CSV articles to a cleaned table with one row per headline.
 
     With ``profile_path``, the profile of the cleaned table is written there, a table for each part, and ``steps``:
-    rows loaded, dates that no format reads, rows with text, rows that stay.
+    rows loaded, rows whose fields do not fit their header, dates that cannot be read, rows with text, rows that stay.
     """
-    df = tables.with_row_ids(clean.normalize_column_names(tables.read_articles(spark, input_path, schema)))
-    unread = []
+    df = tables.read_articles(spark, input_path, schema, malformed="malformed row")
+    df = tables.with_row_ids(clean.normalize_column_names(df))
+    unread = [F.count_if(F.col("malformed_row").isNotNull()).alias("malformed")]
     if "date" in df.columns:  # no normalised name has a blank, so the copy clashes with no column
         df = df.withColumn("raw date", F.col("date"))
-        unread = [F.count_if(F.col("raw date").isNotNull() & F.col("date").isNull()).alias("bad_dates")]
+        unread.append(F.count_if(F.col("raw date").isNotNull() & F.col("date").isNull()).alias("bad_dates"))
     # The count also keeps the filter below from being pushed under the cleaning, which would run it twice.
     df, loaded = _counted(clean.parse_dates(df), "loaded", *unread)
-    df, kept = _counted(clean.drop_missing_critical(clean.clean_text_fields(df.drop("raw date"))), "kept")
+    df, kept = _counted(clean.drop_missing_critical(clean.clean_text_fields(df.drop("raw date", "malformed_row"))), "kept")
     df, unique = _counted(clean.remove_duplicates(clean.fill_optional_missing(df)), "unique")
     table = tables.write_table(df, output_path)
     steps = {
-        "loaded": loaded.get["rows"], "bad_dates": loaded.get.get("bad_dates", 0),
+        "loaded": loaded.get["rows"], "malformed": loaded.get["malformed"], "bad_dates": loaded.get.get("bad_dates", 0),
         "with_text": kept.get["rows"], "unique": unique.get["rows"],
     }
     log.info("ingest: %s", ", ".join(f"{step} {n}" for step, n in steps.items()))

@@ -467,6 +467,10 @@ ORACLES = {
   {null_if_na('headline')} AS "Headline", {null_if_na('description')} AS "Description",
   {null_if_na('covid_status')} AS "Covid Status", image_url AS "Image URL", source AS "Source",
   {null_if_na('sentiment')} AS "Sentiment" FROM raw"""),
+    "A1_different_headers": with_(ARTICLES, RAW, select=f"""SELECT doc_id, {null_if_na('raw_date')} AS "Date",
+  {null_if_na('headline')} AS "Headline", {null_if_na('description')} AS "Description",
+  {null_if_na('covid_status')} AS "Covid Status", image_url AS "Image URL", source AS "Source",
+  CASE WHEN doc_id % 3 < 2 THEN {null_if_na('sentiment')} END AS "Sentiment" FROM raw"""),
     "A2_write_table": with_(ARTICLES, SPLIT_ARTICLES, select="SELECT doc_id, headline, source, split FROM split_articles"),
     "A2_write_csv": """SELECT vec_id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',')
   AS embedding, label FROM embeddings""",
@@ -481,6 +485,12 @@ FROM embeddings GROUP BY label""",
     "B2_parse_dates": with_(ARTICLES, RAW, select="SELECT doc_id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date FROM raw"),
     "B2_count_bad_dates": with_(ARTICLES, RAW, select="""SELECT count(*) FILTER (WHERE raw_date IN ('not a date', 'N/A')) AS bad_dates,
   count(*) FILTER (WHERE raw_date IS NULL) AS missing_dates FROM raw"""),
+    # the days behind the texts; day first is the only convention in which all of them can be read
+    "B2_infer_dates": with_(ARTICLES, select="""SELECT doc_id, CASE WHEN doc_id % 8 <> 7 THEN strftime(date, '%Y-%m-%d') ||
+  CASE WHEN doc_id % 8 = 5 THEN ' 08:30:00' ELSE ' 00:00:00' END END AS date FROM articles"""),
+    "B2_date_convention": with_(ARTICLES, select="""SELECT count(*) FILTER (WHERE day(date) > 12) AS day_first_dates,
+  0::BIGINT AS month_first_dates, count(*) AS numeric_dates, count(*) FILTER (WHERE day(date) > 12) > 0 AS day_first
+FROM articles WHERE date IS NOT NULL AND doc_id % 8 IN (0, 1, 2, 4)"""),
     "B3_strip_html": f"SELECT page_id, {strip_html('html')} AS text FROM pages",
     "B4_drop_missing_critical": with_(ARTICLES, RAW, select=f"""SELECT doc_id, headline, description FROM raw
 WHERE {collapse('headline')} <> '' AND {collapse('description')} <> ''"""),
@@ -646,6 +656,7 @@ FROM means WHERE prompt_strategy IS NOT NULL GROUP BY split, metric"""),
     "P1_ingest_and_clean": with_(ARTICLES, RAW, CLEANED, select="SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date) FROM ingested"),
     "P1_ingest_profile": with_(ARTICLES, RAW, CLEANED, select=" UNION ALL ".join([
         "SELECT 'step' AS part, 'loaded' AS name, count(*) AS n FROM raw",
+        "SELECT 'step', 'malformed', 0",  # the files are written by the library
         # what no format reads is the text 'not a date' of the raw view
         "SELECT 'step', 'bad_dates', count(*) FROM raw WHERE raw_date = 'not a date'",
         "SELECT 'step', 'with_text', count(*) FROM cleaned WHERE headline <> '' AND description <> ''",

@@ -104,6 +104,16 @@ def a1_read_articles(spark, d):
     return tables.read_articles(spark, path, spark.createDataFrame([], schema).schema)
 
 
+def a1_files_with_different_headers(spark, d):
+    raw = views.raw_articles(spark, d)
+    path = new_path(spark, "articles-csv")
+    orders = [raw.columns, raw.columns[::-1], [c for c in raw.columns if c != "Sentiment"]]
+    for i, columns in enumerate(orders):
+        tables.write_csv(raw.where(F.col("doc_id") % 3 == i).select(*columns), path, "append")
+    schema = "doc_id long, " + ", ".join(f"`{c}` string" for c in V.SOURCE_COLUMNS)
+    return tables.read_articles(spark, path, spark.createDataFrame([], schema).schema)
+
+
 def a2_write_table(spark, d):
     table = tables.write_table(split_articles(spark, d), new_path(spark, "articles"), ["split"])
     return table.select("doc_id", "headline", "source", "split")
@@ -164,6 +174,24 @@ def b2_count_bad_dates(spark, d):
     return clean.count_bad_dates(clean.normalize_column_names(views.raw_articles(spark, d)))
 
 
+def _mixed_dates(spark, d):
+    """Days written in eight ways; every other numeric date could be read both ways."""
+    day, kind = F.col("date"), F.col("doc_id") % 8
+    text = F.when(day.isNull() | (kind == 7), "soon")
+    for i, form in enumerate(["d/M/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyyMMdd", "dd/MM/yy", "EEE, dd MMM yyyy 08:30:00 +0000", "MMM d, yyyy"]):
+        text = text.when(kind == i, F.date_format(day, form.replace("08:30:00 +0000", "'08:30:00 +0000'")))
+    return views.articles(spark, d).select("doc_id", text.alias("date"))
+
+
+def b2_infer_dates(spark, d):
+    parsed = clean.parse_dates(_mixed_dates(spark, d))
+    return parsed.select("doc_id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"))
+
+
+def b2_date_convention(spark, d):
+    return clean.date_convention(_mixed_dates(spark, d))
+
+
 def b3_strip_html(spark, d):
     return views.table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
@@ -675,6 +703,7 @@ def p5_run_generation(spark, d):
 
 QUERIES = {
     "A1_read_articles": a1_read_articles,
+    "A1_different_headers": a1_files_with_different_headers,
     "A2_write_table": a2_write_table,
     "A2_write_csv": a2_write_csv,
     "A3_save_model": a3_save_model,
@@ -684,6 +713,8 @@ QUERIES = {
     "B1_normalize_column_names": b1_normalize_column_names,
     "B2_parse_dates": b2_parse_dates,
     "B2_count_bad_dates": b2_count_bad_dates,
+    "B2_infer_dates": b2_infer_dates,
+    "B2_date_convention": b2_date_convention,
     "B3_strip_html": b3_strip_html,
     "B4_drop_missing_critical": b4_drop_missing_critical,
     "B5_fill_optional_missing": b5_fill_optional_missing,
