@@ -15,12 +15,14 @@ from pressloom.llm.common import steps, table, text_of
 MAX_TOKENS = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker remembers the ids of; it starts anew beyond that, which bounds its memory and changes no result.
-REMEMBERED = 700_000
+#: Bytes that a worker's memory of words may take: it starts anew beyond that, which changes no result. An entry is
+#: estimated at so many bytes besides four for each of its characters.
+MEMORY, ENTRY = 260_000_000, 130
 #: Words encoded in one call.
 CALL = 500
-#: White space that str.split() and the tokenizer may see differently: texts with it go to the tokenizer whole.
-UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Separators that str.split() cuts at and the tokenizer does not; texts with them are cut at the white space of both.
+UNUSUAL = re.compile("[\x1c-\x1f]")
+WHITE = re.compile(r"[^\S\x1c-\x1f]+")
 
 PIECES = T.StructType(
     [
@@ -57,6 +59,7 @@ class WordIds(dict):
         self.clear()
         self[""] = 0  # the end of a document; no word is empty
         self.new: list[str] = []
+        self.held = 0
         self.flat, self.used = np.full(1, self.end_id, np.uint32), 1
         self.begin, self.count, self.known = np.zeros(1, np.int64), np.ones(1, np.int64), 1
 
@@ -67,6 +70,7 @@ class WordIds(dict):
 
     def learn(self) -> None:
         ids, counts = [], []
+        self.held += ENTRY * len(self.new) + 4 * sum(map(len, self.new))
         for i in range(0, len(self.new), CALL * 20):
             part = self.new[i : i + CALL * 20]
             groups = [part[j : j + CALL] for j in range(0, len(part), CALL)]
@@ -93,44 +97,17 @@ class WordIds(dict):
         array[used : used + len(more)] = more
         return array
 
-    def whole(self, text: str) -> int:
-        """The place of a text that is encoded as it is."""
-        place = self["\n" + text] = len(self)  # no word begins with a line break
-        self.learn()
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        self.flat = self._grown(self.flat, self.used, ids)
-        self.begin = self._grown(self.begin, self.known, np.array([self.used]))
-        self.count = self._grown(self.count, self.known, np.array([len(ids)]))
-        self.used += len(ids)
-        self.known += 1
-        return place
-
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, the end id after each, and where each text ends."""
-        if len(self) > REMEMBERED:
+        if self.held > MEMORY:
             self.forget()
-        places, ends = [], []
-        words: list[list[str]] = []
-        for text in texts:
-            if UNUSUAL.search(text):
-                places.extend(map(self.__getitem__, chain.from_iterable(words)))
-                words = []
-                self.learn()
-                places.append(self.whole(text))
-                words.append([""])
-                ends.append(2)
-            else:
-                found = text.split()
-                found.append("")
-                words.append(found)
-                ends.append(len(found))
-        places.extend(map(self.__getitem__, chain.from_iterable(words)))
+        words = [[*filter(None, WHITE.split(t)), ""] if UNUSUAL.search(t) else [*t.split(), ""] for t in texts]
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         self.learn()
-        at = np.array(places, np.int64)
         count = self.count[at]
         last = np.cumsum(count)
         ids = self.flat[np.repeat(self.begin[at] - (last - count), count) + np.arange(last[-1] if len(last) else 0)]
-        return ids, last[np.cumsum(ends) - 1] if ends else np.zeros(0, np.int64)
+        return ids, last[np.cumsum([len(w) for w in words]) - 1] if words else np.zeros(0, np.int64)
 
 
 _LEARNED: dict[tuple[str, int], WordIds] = {}
