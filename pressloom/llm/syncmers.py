@@ -14,9 +14,10 @@ _LOWEST = -(1 << 63)
 
 
 def units(text: Column) -> Column:
-    """What k-mers are made of: blank-separated words, or the code points of a text with few words."""
-    words = F.split(F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", ""), f"{BLANK}+", -1)
-    return F.when(F.size(words) >= 2 * K, words).otherwise(F.split(text, "", -1))
+    """What k-mers are made of: blank-separated words, with K - 1 empty ones at both ends so that few words have k-mers too."""
+    words = F.filter(F.split(text, f"{BLANK}+", -1), lambda w: w != "")
+    edge = F.array(*[F.lit("")] * (K - 1))
+    return F.when(F.size(words) > 0, F.concat(edge, words, edge)).otherwise(F.array().cast("array<string>"))
 
 
 def _from(a: Column, first: int, length: Column) -> Column:
@@ -60,22 +61,33 @@ def anchors(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The KEPT smallest distinct syncmer codes, in order. A text of fewer than K units that is not empty has one code."""
-    found = F.filter(codes(units(text)), lambda c: c.isNotNull())
-    some = F.when((F.size(found) == 0) & (F.length(text) > 0), F.array(F.xxhash64(text))).otherwise(found)
-    return F.slice(F.array_sort(F.array_distinct(some)), 1, KEPT)
+    """``codes``: the KEPT smallest distinct syncmer codes, in order; ``whole``: a hash of all syncmers in their order.
+
+    A text of blanks alone has one code, its hash; an empty text has none.
+    """
+    all_codes = codes(units(text))
+
+    def of(found: Column) -> Column:
+        some = F.filter(found, lambda c: c.isNotNull())
+        some = F.when((F.size(some) == 0) & (F.length(text) > 0), F.array(F.xxhash64(text))).otherwise(some)
+        kept = F.slice(F.array_sort(F.array_distinct(some)), 1, KEPT)
+        return F.struct(kept.alias("codes"), F.xxhash64(found).alias("whole"))
+
+    return let(all_codes, of)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Similarity of the syncmer sets, estimated on the smallest codes of their union; two empty sketches are alike."""
+    a, b = a["codes"], b["codes"]
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
     both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(union), F.lit(1)))
 
 
-def as_text(codes: Column) -> Column:
-    """16 hex digits for each code."""
-    return F.lower(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c), 16, "0")), ""))
+def as_text(sketch: Column) -> Column:
+    """16 hex digits for each kept code, and for the hash of all syncmers: any syncmer that changes or changes place with another changes it."""
+    every = F.concat(sketch["codes"], F.array(sketch["whole"]))
+    return F.lower(F.array_join(F.transform(every, lambda c: F.lpad(F.hex(c), 16, "0")), ""))
 
 
 def following(keys: DataFrame) -> DataFrame:
@@ -100,17 +112,18 @@ def edit_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows that repeat an id are rows of their own, and as next document the one with the greatest text stands for them.
     The texts are shuffled once by id (both joins use the same exchange), the borrowed starts once more.
     """
-    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LOWEST)).alias("key"), text_of(text_col).alias("text"))
+    keys = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LOWEST)).alias("key"), text_of(text_col).alias("text"))
+    own = keys.withColumn("sketch", sketch(F.col("text")))  # once per text, before the shuffle that both joins share
     part = F.floor(F.length("text") / 3).cast("int")
-    wanted = own.groupBy("key").agg(F.max(part).alias("need"))
-    wanted = wanted.join(following(own.select("key")), "key").select(F.col("key").alias("before"), F.col("next").alias("key"), "need")
-    lent = own.join(wanted, "key").select("before", F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("start"), sketch(F.col("text")).alias("sketch")).alias("lent"))
+    wanted = keys.groupBy("key").agg(F.max(part).alias("need"))
+    wanted = wanted.join(following(keys.select("key")), "key").select(F.col("key").alias("before"), F.col("next").alias("key"), "need")
+    lent = own.join(wanted, "key").select("before", F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("start"), "sketch").alias("lent"))
     lent = lent.groupBy(F.col("before").alias("key")).agg(F.max("lent").alias("lent"))
     text, n = F.col("text"), F.length("text")
     return own.join(lent, "key").select(
         F.when(F.col("key") != _LOWEST, F.col("key")).alias("doc_id"), n.cast("long").alias("n_chars"), "text",
         F.concat(text.substr(F.lit(1), n - part), F.col("lent.start").substr(F.lit(1), part)).alias("edited"),
-        sketch(text).alias("sketch"), F.col("lent.sketch").alias("next_sketch"),
+        "sketch", F.col("lent.sketch").alias("next_sketch"),
     )
 
 
