@@ -29,7 +29,8 @@ def ingest_and_clean(
     """CSV articles to a cleaned table with one row per headline.
 
     With ``profile_path``, the profile of the cleaned table is written there, a table for each part, and ``steps``:
-    rows loaded, rows whose fields do not fit their header, dates that cannot be read, rows with text, rows that stay.
+    rows loaded, dates that cannot be read, rows with text, rows that stay; ``malformed`` has the number of rows whose fields
+    do not fit their file's header.
     """
     df = tables.read_articles(spark, input_path, schema, malformed="malformed row")
     df = tables.with_row_ids(clean.normalize_column_names(df))
@@ -43,14 +44,16 @@ def ingest_and_clean(
     df, unique = _counted(clean.remove_duplicates(clean.fill_optional_missing(df)), "unique")
     table = tables.write_table(df, output_path)
     steps = {
-        "loaded": loaded.get["rows"], "malformed": loaded.get["malformed"], "bad_dates": loaded.get.get("bad_dates", 0),
+        "loaded": loaded.get["rows"], "bad_dates": loaded.get.get("bad_dates", 0),
         "with_text": kept.get["rows"], "unique": unique.get["rows"],
     }
-    log.info("ingest: %s", ", ".join(f"{step} {n}" for step, n in steps.items()))
+    malformed = loaded.get["malformed"]
+    log.info("ingest: %s, malformed %d", ", ".join(f"{step} {n}" for step, n in steps.items()), malformed)
     if profile_path:
         parts = {"shape": profile.profile_shape(table), "nulls": profile.profile_nulls(table), "value_counts": profile.profile_value_counts(table)}
         if "date" in table.columns:
             parts["date_range"] = profile.profile_date_range(table)
+        parts["malformed"] = spark.createDataFrame([(malformed,)], "n long")
         parts["steps"] = spark.createDataFrame(list(steps.items()), "step string, n long")
         tables.save_model(parts, profile_path)
     return table

@@ -656,7 +656,6 @@ FROM means WHERE prompt_strategy IS NOT NULL GROUP BY split, metric"""),
     "P1_ingest_and_clean": with_(ARTICLES, RAW, CLEANED, select="SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date) FROM ingested"),
     "P1_ingest_profile": with_(ARTICLES, RAW, CLEANED, select=" UNION ALL ".join([
         "SELECT 'step' AS part, 'loaded' AS name, count(*) AS n FROM raw",
-        "SELECT 'step', 'malformed', 0",  # the files are written by the library
         # what no format reads is the text 'not a date' of the raw view
         "SELECT 'step', 'bad_dates', count(*) FROM raw WHERE raw_date = 'not a date'",
         "SELECT 'step', 'with_text', count(*) FROM cleaned WHERE headline <> '' AND description <> ''",

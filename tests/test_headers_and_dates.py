@@ -37,7 +37,8 @@ def test_malformed_rows_are_told(spark, tmp_path):
     }
     jobs.ingest_and_clean(spark, path, str(tmp_path / "out"), profile_path=str(tmp_path / "profile"))
     steps = {r.step: r.n for r in spark.read.parquet(str(tmp_path / "profile/steps")).collect()}
-    assert steps["loaded"] == 4 and steps["malformed"] == 2 and steps["with_text"] == 3
+    assert steps["loaded"] == 4 and steps["with_text"] == 3
+    assert spark.read.parquet(str(tmp_path / "profile/malformed")).first().n == 2
 
 
 def test_no_rows_without_headers(spark, tmp_path):
