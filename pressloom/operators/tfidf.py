@@ -26,10 +26,13 @@ ROW_LOCAL_TERMS = 50_000
 _HASH_SLOTS = 16_384
 
 
-def document_frequency(df: DataFrame, text: Column, stop_words=V.ENGLISH_STOP_WORDS) -> DataFrame:
-    """Documents and occurrences per term. Counts are taken inside each row, then combined map-side."""
+def document_frequency(df: DataFrame, text: Column, stop_words=V.ENGLISH_STOP_WORDS, counts: Column | None = None) -> DataFrame:
+    """Documents and occurrences per term. Counts are taken inside each row, then combined map-side.
+
+    ``counts``: the row's term counts where they are already in a column; the text is not read then.
+    """
     return (
-        explode_once(df, [], K.term_counts(K.tfidf_terms(text, stop_words)), "t")
+        explode_once(df, [], K.term_counts(K.tfidf_terms(text, stop_words)) if counts is None else counts, "t")
         .groupBy(F.col("t.term").alias("term"))
         .agg(F.count("*").alias("df"), F.sum("t.tf").alias("corpus_count"))
     )
@@ -42,11 +45,12 @@ def fit_vocabulary(
     min_df: int = V.MIN_DF,
     max_df: float = V.MAX_DF,
     stop_words=V.ENGLISH_STOP_WORDS,
+    counts: Column | None = None,
 ) -> DataFrame:
     """The ``max_features`` most frequent terms within the document-frequency bounds, ties by term."""
     n_docs = df.agg(F.count("*").alias("n_docs")).scalar()
     top = (
-        document_frequency(df, text, stop_words)
+        document_frequency(df, text, stop_words, counts)
         .withColumn("n_docs", n_docs)
         .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
         .orderBy(F.desc("corpus_count"), "term")
@@ -103,9 +107,10 @@ def tfidf_features(
     id_col: str = "doc_id",
     stop_words=V.ENGLISH_STOP_WORDS,
     out: str = "features",
+    counts: Column | None = None,
 ) -> DataFrame:
-    """Add ``features``. Every row is kept; a text without known terms gets an empty array."""
-    counts = K.term_counts(K.tfidf_terms(text, stop_words))
+    """Add ``features``. Every row is kept; a text without known terms gets an empty array. ``counts`` as above."""
+    counts = K.term_counts(K.tfidf_terms(text, stop_words)) if counts is None else counts
     if not fits_broadcast(vocabulary, ROW_LOCAL_TERMS):
         return _joined_features(df, counts, vocabulary, id_col, out)
 

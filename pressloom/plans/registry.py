@@ -12,9 +12,9 @@ from pressloom.functions import text as X
 from pressloom.functions import tokens as K
 from pressloom.functions import vectors as VX
 from pressloom.functions.lambdas import explode_once, posexplode_once, rounded
-from pressloom.operators import clean, generate, metrics, profile, prompts, report, split, svd, tfidf, topics
+from pressloom.operators import clean, generate, metrics, profile, prompts, report, search_index, split, svd, tfidf, topics
 from pressloom.plans import jobs
-from pressloom.session import new_path, write_and_read
+from pressloom.session import new_path, staged, write_and_read
 from pressloom.sources import tables, views
 
 
@@ -400,11 +400,16 @@ def d13_enrich_split(spark, d):
 
 
 def d14_tfidf_search(spark, d):
-    vocabulary = write_and_read(tfidf.fit_vocabulary(views.table(spark, d, "documents"), F.col("text")), "vocabulary")
-    documents = tfidf.tfidf_features(views.table(spark, d, "documents"), F.col("text"), vocabulary)
+    """Documents are tokenised once; vocabulary, features and the index come from their written term counts."""
+    counted = views.table(spark, d, "documents").select("doc_id", K.term_counts(K.tfidf_terms(F.col("text"))).alias("counts"))
+    counts, no_text = F.col("counts"), F.lit("")
+    with staged(counted, "counts", small_groups=True) as documents:
+        vocabulary = write_and_read(tfidf.fit_vocabulary(documents, no_text, counts=counts), "vocabulary")
+        features = tfidf.tfidf_features(documents, no_text, vocabulary, counts=counts)
+        index = search_index.build_index(features, new_path(spark, "search-index"))
     queries = views.table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
     queries = tfidf.tfidf_features(queries, F.col("text"), vocabulary, "query_id")
-    return tfidf.tfidf_search(queries, documents).select("query_id", "doc_id", "rank", "score")
+    return search_index.search(queries, index).select("query_id", "doc_id", "rank", "score")
 
 
 # --- E: topics and prompt dataset -----------------------------------------------------------------

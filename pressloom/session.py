@@ -55,11 +55,14 @@ def write_and_read(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 @contextlib.contextmanager
-def staged(df: DataFrame, name: str = "table"):
-    """A written table for the length of a block; its folder is deleted after it."""
+def staged(df: DataFrame, name: str = "table", small_groups: bool = False):
+    """A written table for the length of a block; its folder is deleted after it.
+
+    ``small_groups``: row groups of 8 MB, so that several tasks share a file whose rows mean much work.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     try:
-        df.write.parquet(path)
+        df.write.options(**({"parquet.block.size": 8 << 20} if small_groups else {})).parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
