@@ -1,22 +1,154 @@
 """K-means topics over dense vectors, and their labels in terms."""
 
-from multiprocessing.pool import ThreadPool
+import math
+from collections.abc import Iterator
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
 from pressloom.functions.lambdas import inline_once, let
 from pressloom.functions.vectors import dot, squared_distance
+from pressloom.session import staged
 
+#: Coordinates and squared distances are added up as integers of this many bits, so a sum is the same in any order.
+BITS = 30
+#: Rounds of the start, and candidates for each centre that a round draws on average.
+START_ROUNDS, PER_CENTRE = 2, 2
+#: Vectors whose distances are held at a time.
+_SLICE = 4_096
 
-def dealt(df: DataFrame, vector: str = "svd_vector", partitions: int = 4) -> DataFrame:
-    """The vectors as ``features``, dealt and ordered by their values alone."""
-    rows = df.select(vector).repartition(partitions, F.xxhash64(vector)).sortWithinPartitions(vector)
-    return rows.select(array_to_vector(F.col(vector)).alias("features"))
+
+def weighted(df: DataFrame, vector: str = "svd_vector") -> DataFrame:
+    """``vector, n, draw``: each distinct vector once with its number of rows, and a hash of its value for random draws.
+
+    Counts are combined map-side, so a vector in a third of all rows is one row.
+    """
+    value = F.transform(vector, lambda x: x.cast("double")).alias("vector")
+    rows = df.where(F.col(vector).isNotNull()).select(value).groupBy("vector").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("draw", F.xxhash64("vector"))
+
+
+def _uniform(draw: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in (0, 1) for each hash: the same for a vector wherever it lies, another for each salt."""
+    x = draw.astype(np.uint64)
+    for s in salt:
+        x = (x + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(start, _SLICE)
+            flat = part.column("vector").flatten().to_numpy(zero_copy_only=False)
+            yield flat.reshape(part.num_rows, -1), part.column("n").to_numpy(), part.column("draw").to_numpy()
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * (x @ centres.T) + (centres * centres).sum(axis=1)[None], 0.0)
+
+
+class _Points:
+    """The weighted vectors of one fit, and the passes over them. A pass serves all restarts and returns sums alone."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.context = rows, rows.sparkSession.sparkContext
+        greatest, self.dims, self.n_rows = rows.agg(
+            F.max(F.array_max(F.transform("vector", F.abs))), F.max(F.size("vector")), F.sum("n")
+        ).first()
+        if greatest is None:
+            raise ValueError("no vectors to cluster")
+        self.unit = 2.0 ** (BITS - 1 - math.ceil(math.log2(greatest))) if greatest else 1.0
+        self.unit2 = 2.0**BITS * self.unit**2 / (2.0 ** (2 * BITS) * self.dims)
+
+    def add_up(self, centres: list[np.ndarray], sums: bool = True) -> tuple[list[np.ndarray], list[np.ndarray], list[float]]:
+        """For each restart: the members of each centre, the sums of their vectors, and the cost."""
+        shared, dims, unit, unit2 = self.context.broadcast(centres), self.dims, self.unit, self.unit2
+
+        def partial(batches):
+            held = [np.zeros((len(c), dims + 2 if sums else 2), np.int64) for c in shared.value]
+            for x, n, _ in _blocks(batches):
+                whole = np.rint(x * unit).astype(np.int64) * n[:, None] if sums else None
+                for total, c in zip(held, shared.value):
+                    d = _distances(x, c)
+                    nearest = d.argmin(axis=1)
+                    np.add.at(total[:, 0], nearest, n)
+                    np.add.at(total[:, 1], nearest, np.rint(d[np.arange(len(x)), nearest] * unit2).astype(np.int64) * n)
+                    if sums:
+                        order = np.argsort(nearest, kind="stable")
+                        found, first = np.unique(nearest[order], return_index=True)
+                        total[found, 2:] += np.add.reduceat(whole[order], first, axis=0)
+            for r, total in enumerate(held):
+                used = np.flatnonzero(total[:, 0])
+                if len(used):
+                    at = np.arange(0, total[used].size + 1, total.shape[1], dtype=np.int32)
+                    parts = pa.ListArray.from_arrays(at, total[used].ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), r, np.int32)), pa.array(used.astype(np.int32)), parts], ["restart", "centre", "sums"])
+
+        parts = self.rows.mapInArrow(partial, "restart int, centre int, sums array<long>").select("restart", "centre", F.posexplode("sums"))
+        # Only more rows than fit beside BITS into 63 bits need a wider sum.
+        one = F.col("col") if self.n_rows < 1 << (62 - BITS) else F.col("col").cast("decimal(38,0)")
+        added = parts.groupBy("restart", "centre", "pos").agg(F.sum(one).alias("s")).toArrow()
+        totals = [np.zeros((len(c), dims + 2 if sums else 2)) for c in centres]
+        r, c, pos, s = (added.column(name).to_numpy() for name in ("restart", "centre", "pos", "s"))
+        for i, total in enumerate(totals):
+            mine = r == i
+            total[c[mine], pos[mine]] = s[mine].astype(np.float64)
+        return [t[:, 0] for t in totals], [t[:, 2:] / unit for t in totals], [t[:, 1].sum() / unit2 for t in totals]
+
+    def first(self, seeds: list[int]) -> list[np.ndarray]:
+        """One vector per restart, each row as likely as any other: the least of exponential draws by weight."""
+
+        def least(batches):
+            best = [None] * len(seeds)
+            for x, n, draw in _blocks(batches):
+                for r, seed in enumerate(seeds):
+                    clock = -np.log(_uniform(draw, seed, 0)) / n
+                    i = int(clock.argmin())
+                    best[r] = min(filter(None, (best[r], (float(clock[i]), x[i].tolist()))))
+            for r, b in enumerate(best):
+                if b:
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b[0]]), pa.array([b[1]])], ["restart", "clock", "vector"])
+
+        found = self.rows.mapInArrow(least, "restart int, clock double, vector array<double>")
+        won = found.groupBy("restart").agg(F.min(F.struct("clock", "vector")).alias("won")).orderBy("restart").collect()
+        return [np.array([row.won.vector]) for row in won]
+
+    def draw(self, seeds: list[int], nr: int, centres: list[np.ndarray], costs: list[float], expected: int) -> list[np.ndarray]:
+        """More candidates: a vector is drawn with the chance ``expected`` x its part of the cost, so about that many are."""
+        shared = self.context.broadcast(centres)
+
+        def drawn(batches):
+            for x, n, draw in _blocks(batches):
+                for r, (seed, c, cost) in enumerate(zip(seeds, shared.value, costs)):
+                    if cost > 0:
+                        chance = expected * n * _distances(x, c).min(axis=1) / cost
+                        hit = np.flatnonzero(_uniform(draw, seed, nr) < chance)
+                        if len(hit):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), r, np.int32)), pa.array(x[hit].tolist())], ["restart", "vector"])
+
+        found = self.rows.mapInArrow(drawn, "restart int, vector array<double>").orderBy("restart", "vector").collect()
+        return [np.array([*c.tolist(), *(f.vector for f in found if f.restart == r)]) for r, c in enumerate(centres)]
+
+
+def _reduced(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` of the few candidates: of some drawn by weight x squared distance to those chosen, the one that leaves least."""
+    between, trials = _distances(candidates, candidates), 2 + int(math.log(k))
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(candidates), p=weights / weights.sum()))]
+    while len(chosen) < k:
+        near = between[:, chosen].min(axis=1)
+        near[chosen] = 0.0
+        pull = weights * near
+        if pull.sum() <= 0:
+            break  # fewer distinct vectors than centres
+        some = rng.choice(len(candidates), size=trials, p=pull / pull.sum())
+        chosen.append(int(min(some, key=lambda i: (weights * np.minimum(near, between[:, i])).sum())))
+    return candidates[chosen]
 
 
 def fit_kmeans(
@@ -26,29 +158,43 @@ def fit_kmeans(
     seed: int = V.SEED,
     restarts: int = V.KMEANS_RESTARTS,
     max_iter: int = 300,
-    parallel_fits: int = 8,
-    partitions: int = 4,
 ) -> tuple[DataFrame, float]:
-    """Centres (cluster_id, center) and cost of the best of ``restarts`` seeds.
+    """Centres (cluster_id, center) and cost of the best of ``restarts`` starts, each run until no centre moves.
+
+    Equal vectors are one weighted row. The starts draw candidates in rounds by a hash of the vector's value, and sums are
+    of integers, so the fit is the same however the rows are spread, in as many tasks as Spark likes. One pass over the
+    rows serves all restarts that still move; a task returns k rows of sums for each. The driver holds centres only.
 
-    The vectors are cached once for all fits, which run side by side: a fit is a chain of many short jobs. They are
-    dealt by value into a number of ``partitions`` that depends neither on the rows nor on the cores, and sorted there,
-    so a seed means one result on any cluster. Raise it with the data (about 10 million vectors of 100 a partition).
+    Null vectors are left out, fewer distinct vectors than ``k`` give as many centres, and none is an error. Two starts
+    of equal cost (to nine digits) go to the first.
     """
-    points = dealt(df, vector, partitions).persist()
-
-    @inheritable_thread_target(df.sparkSession)
-    def fit(s):
-        model = KMeans(k=k, seed=s, maxIter=max_iter).fit(points)
-        return model.summary.trainingCost, s, [c.tolist() for c in model.clusterCenters()]
-
-    try:
-        with ThreadPool(min(parallel_fits, restarts)) as pool:
-            cost, _, centres = min(pool.map(fit, range(seed, seed + restarts)))
-    finally:
-        points.unpersist()
-    rows = list(enumerate(centres))
-    return df.sparkSession.createDataFrame(rows, "cluster_id int, center array<double>"), cost
+    seeds = list(range(seed, seed + restarts))
+    with staged(weighted(df, vector), "vectors") as rows:
+        points = _Points(rows.persist())
+        try:
+            centres = points.first(seeds)
+            for nr in range(1, START_ROUNDS + 1):
+                costs = points.add_up(centres, sums=False)[2]
+                centres = points.draw(seeds, nr, centres, costs, PER_CENTRE * k)
+            members = points.add_up(centres, sums=False)[0]
+            current = [_reduced(c, m, k, s) for c, m, s in zip(centres, members, seeds)]
+            final, moving = [math.inf] * restarts, list(range(restarts))
+            for _ in range(max_iter):
+                counts, sums, costs = points.add_up([current[r] for r in moving])
+                still = []
+                for r, n, total, cost in zip(moving, counts, sums, costs):
+                    moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], current[r])
+                    if not np.array_equal(moved, current[r]):
+                        still.append(r)
+                    current[r], final[r] = moved, cost
+                moving = still
+                if not moving:
+                    break
+        finally:
+            rows.unpersist()
+    best = min(range(restarts), key=lambda r: (float(f"{final[r]:.9g}"), r))
+    found = list(enumerate(current[best].tolist()))
+    return df.sparkSession.createDataFrame(found, "cluster_id int, center array<double>"), float(final[best])
 
 
 def _centres_column(centres: DataFrame) -> Column:

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from pressloom.functions import fixed_values as V
@@ -123,8 +124,8 @@ def blobs(spark):
 
 def test_kmeans_keeps_the_best_restart(blobs):
     df, points = blobs
-    centres, cost = topics.fit_kmeans(df, k=4, restarts=4)
-    data = topics.dealt(df)  # the start depends on how rows are dealt
+    centres, cost = topics.fit_kmeans(df, k=4)
+    data = df.select(array_to_vector("svd_vector").alias("features"))
     singles = [KMeans(k=4, seed=s, maxIter=300).fit(data).summary.trainingCost for s in range(V.SEED, V.SEED + 4)]
     assert cost <= min(singles) + 1e-6
     c = np.array([r["center"] for r in centres.orderBy("cluster_id").collect()])
@@ -135,6 +136,36 @@ def test_kmeans_keeps_the_best_restart(blobs):
     assert topics.cluster_inertia(assigned).first()[0] == pytest.approx(cost)
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 32])
+def test_kmeans_does_not_depend_on_how_rows_are_spread(blobs, partitions):
+    df, _ = blobs
+    one, cost = topics.fit_kmeans(df, k=4, restarts=3)
+    other, again = topics.fit_kmeans(df.orderBy(F.rand(partitions)).repartition(partitions), k=4, restarts=3)
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())) and cost == again
+
+
+def test_kmeans_weighs_equal_vectors(spark, blobs):
+    df, points = blobs
+    many = df.unionByName(spark.range(400).selectExpr("id + 1000 as doc_id", "array(9.0D, 9.0D, 9.0D) as svd_vector"), allowMissingColumns=True)
+    many = many.unionByName(spark.createDataFrame([(5000, None)], df.schema))  # a null vector is left out
+    rows = topics.weighted(many)
+    assert rows.count() == len(points) + 1 and rows.agg(F.max("n")).first()[0] == 400
+    centres, cost = topics.fit_kmeans(many, k=4)
+    assert any(np.allclose(r["center"], 9.0) for r in centres.collect())
+    c = np.array([r["center"] for r in centres.collect()])
+    every = np.concatenate([points, np.full((400, 3), 9.0)])
+    assert cost == pytest.approx(((every[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum(), abs=1e-4)
+
+
+def test_kmeans_with_few_or_no_vectors(spark):
+    schema = "doc_id long, svd_vector array<double>"
+    centres, cost = topics.fit_kmeans(spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(9)], schema), k=5)
+    assert sorted(r["center"][0] for r in centres.collect()) == [0.0, 1.0] and cost == 0.0
+    assert topics.fit_kmeans(spark.createDataFrame([(1, [0.0, 0.0])] * 3, schema), k=2)[1] == 0.0
+    with pytest.raises(ValueError):
+        topics.fit_kmeans(spark.createDataFrame([], schema), k=2)
+
+
 def test_topic_labels_are_the_heaviest_terms(spark):
     centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 2.0])], "cluster_id int, center array<double>")
     loadings = spark.createDataFrame(
