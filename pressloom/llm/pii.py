@@ -27,6 +27,8 @@ CANDIDATE = (
 CANDIDATE_HINT = r"@|[0-9](?:[\x20().-]{0,2}[0-9]){6}"
 #: Characters on each side in which context words are looked for.
 SIDE = 80
+#: Matches that one step of a pass over a text's matches handles.
+CHUNK = 128
 #: Rounds of scoring, and what a pattern and an instance need to be believed. SMOOTHING stands for instances that
 #: speak against a pattern before any is seen.
 ROUNDS, BELIEVED, SEEDS, SMOOTHING = 3, 0.8, 5, 1.0
@@ -60,46 +62,74 @@ def passes(kind: str, found: Column) -> Column:
 def located(text: Column, pattern: str, hint: str) -> Column:
     """All matches in order as (start, end, found, before, after) in code points; before and after are their surroundings.
 
-    Matches and the stretches between them come from the same search, so their lengths give the places.
+    Matches and the stretches between them come from the same search, so their lengths give the places. The running
+    sum over them goes CHUNK by CHUNK, because an array that grows by one is copied each time.
     """
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,found:string,before:string,after:string>>)")
+    kind = "array<struct<start:int,end:int,found:string,before:string,after:string>>"
+    empty = F.expr(f"cast(array() as {kind})")
+
+    def one(acc: Column, r: Column) -> Column:
+        start = acc["at"] + F.length(r["g"])
+        span = F.struct(
+            start.alias("start"), (start + F.length(r["m"])).alias("end"), r["m"].alias("found"),
+            F.right(r["g"], F.lit(SIDE)).alias("before"), F.left(r["h"], F.lit(SIDE)).alias("after"),
+        )
+        return F.struct((start + F.length(r["m"])).alias("at"), F.array_append(acc["out"], span).alias("out"))
 
     def walk(gaps: Column) -> Column:
         def zipped(found: Column) -> Column:
             rows = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.element_at(gaps, i + 1).alias("g"), F.element_at(gaps, i + 2).alias("h")))
-            start = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,found:string,before:string,after:string>>))")
-            return F.aggregate(
-                rows,
-                start,
-                lambda acc, r: F.struct(
-                    (acc["at"] + F.length(r["g"]) + F.length(r["m"])).alias("at"),
-                    F.array_append(
-                        acc["out"],
-                        F.struct(
-                            (acc["at"] + F.length(r["g"])).alias("start"),
-                            (acc["at"] + F.length(r["g"]) + F.length(r["m"])).alias("end"),
-                            r["m"].alias("found"),
-                            F.right(r["g"], F.lit(SIDE)).alias("before"),
-                            F.left(r["h"], F.lit(SIDE)).alias("after"),
-                        ),
-                    ).alias("out"),
-                ),
-                lambda acc: acc["out"],
-            )
+
+            def chunked(rows: Column) -> Column:
+                def chunk(acc: Column, c: Column) -> Column:
+                    part = F.aggregate(F.slice(rows, c * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), empty.alias("out")), one)
+                    return let(part, lambda p: F.struct(p["at"].alias("at"), F.array_append(acc["out"], p["out"]).alias("out")))
+
+                start = F.expr(f"named_struct('at', 0, 'out', cast(array() as array<{kind}>))")
+                return F.aggregate(_chunks(rows), start, chunk, lambda acc: F.flatten(acc["out"]))
+
+            return let(rows, chunked)
 
         return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), zipped)
 
     return F.when(text.rlike(hint), let(F.split(text, pattern, -1), walk)).otherwise(empty)
 
 
+def _chunks(rows: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.greatest(F.size(rows), F.lit(1)) - 1) / CHUNK).cast("int"))
+
+
+def apart_from(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` (in order) that touch none of ``others``: CHUNK of them at a time look at the others near them."""
+
+    def chunk_of(spans: Column):
+        def keep(c: Column) -> Column:
+            def near(part: Column) -> Column:
+                first, last = F.element_at(part, 1)["start"], F.element_at(part, -1)["end"]
+                close = F.filter(others, lambda b: (b["start"] < last) & (first < b["end"]))
+                return let(close, lambda some: F.filter(part, lambda m: ~F.exists(some, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+
+            part = F.slice(spans, c * CHUNK + 1, F.lit(CHUNK))
+            return F.when(F.size(spans) > 0, let(part, near)).otherwise(part)
+
+        return keep
+
+    return let(spans, lambda s: F.flatten(F.transform(_chunks(s), chunk_of(s))))
+
+
 def _context(before: Column, after: Column) -> Column:
-    """Lexical patterns of an occurrence: two words before; the word before and the word after; each only if there."""
-    near = F.regexp_extract(F.lower(before), r"([\p{L}]+)[^\p{L}]+([\p{L}]+)[^\p{L}\n]*$", 0)
-    two = F.trim(F.regexp_replace(near, r"[^\p{L}]+", " "))
-    one = F.regexp_extract(F.lower(before), r"([\p{L}]+)[^\p{L}\n]*$", 1)
-    word_after = F.regexp_extract(F.lower(after), r"^[^\p{L}\n]*([\p{L}]+)", 1)
-    both = F.when((one != "") & (word_after != ""), F.concat(one, F.lit(" _ "), word_after))
-    return F.array_compact(F.array(F.when(two != "", F.concat(two, F.lit(" _"))), both))
+    """Lexical patterns of an occurrence, all within its line and each only if there: the word before, the two words
+    before, the word after, and the words on both sides."""
+    line = F.lower(before)
+    one = F.regexp_extract(line, r"([\p{L}]+)[^\p{L}\n]*\z", 1)
+    ahead = F.regexp_extract(line, r"([\p{L}]+)[^\p{L}\n]+[\p{L}]+[^\p{L}\n]*\z", 1)
+    behind = F.regexp_extract(F.lower(after), r"^[^\p{L}\n]*([\p{L}]+)", 1)
+    return F.array_compact(F.array(
+        F.when(one != "", F.concat(one, F.lit(" _"))),
+        F.when(ahead != "", F.concat_ws(" ", ahead, one, F.lit("_"))),
+        F.when(behind != "", F.concat(F.lit("_ "), behind)),
+        F.when((one != "") & (behind != ""), F.concat(one, F.lit(" _ "), behind)),
+    ))
 
 
 def kind_of(found: Column) -> Column:
@@ -141,8 +171,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("maybe", located(text, CANDIDATE, CANDIDATE_HINT)).drop("text")
     tagged = [F.transform(kind, _tagged(kind, place)) for place, kind in enumerate(KINDS)]
     rows = rows.select("row_key", "doc_id", F.array_sort(F.concat(*tagged)).alias("base"), "maybe")
-    apart = F.filter("maybe", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    others = F.transform(apart, lambda m: F.struct(
+    others = F.transform(apart_from(F.col("maybe"), F.col("base")), lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), kind_of(m["found"]).alias("kind"),
         instance_of(m["found"]).alias("instance"), _context(m["before"], m["after"]).alias("patterns"),
     ))
@@ -179,7 +208,8 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tasks are identifiers with their contexts, and every count is combined map-side.
 
     Null and empty texts have no spans. Repeated rows are rows of their own; in the scores a repeated occurrence counts
-    once. A table without matches adds nothing.
+    once. A table without matches adds nothing. A very long text is searched whole, in its row: time grows with its
+    length, and with its matches to the power of 1.5. Other columns are not read, whatever their names.
     """
     rows = write_and_read(occurrences(docs, id_col, text_col), "occurrences")
     seen = rows.select(F.explode("base").alias("o")).select("o.kind", "o.instance", "o.patterns", F.lit(True).alias("seed"))
