@@ -118,20 +118,32 @@ def apart_from(spans: Column, others: Column) -> Column:
 
 
 def _context(before: Column, after: Column) -> Column:
-    """Lexical patterns of an occurrence, all within its line and each only if there: the word before, the two words
-    before, the word after, and the words on both sides."""
+    """Lexical patterns of an occurrence, all within its line and each only if there: a label (one word with a mark behind
+    it, as in ``tel: _``), the two words before, and the words on both sides.
+
+    A word without a mark is no pattern by itself: ``the _`` stands before anything.
+    """
     line = F.lower(before)
+    label = F.regexp_extract(line, r"([\p{L}]+)[ \t]*[:=#][^\p{L}\n]*\z", 1)
     one = F.regexp_extract(line, r"([\p{L}]+)[^\p{L}\n]*\z", 1)
     ahead = F.regexp_extract(line, r"([\p{L}]+)[^\p{L}\n]+[\p{L}]+[^\p{L}\n]*\z", 1)
     behind = F.regexp_extract(F.lower(after), r"^[^\p{L}\n]*([\p{L}]+)", 1)
     return F.array_compact(F.array(
-        F.when(one != "", F.concat(one, F.lit(" _"))),
+        F.when(label != "", F.concat(label, F.lit(": _"))),
         F.when(ahead != "", F.concat_ws(" ", ahead, one, F.lit("_"))),
-        F.when(behind != "", F.concat(F.lit("_ "), behind)),
         F.when((one != "") & (behind != ""), F.concat(one, F.lit(" _ "), behind)),
     ))
 
 
+def could_be(kind: Column, found: Column) -> Column:
+    """False for what its own digits refute: a card number that fails Luhn, an address with a part above 255.
+
+    Such an instance speaks against its patterns and is never found.
+    """
+    refuted = F.when(kind == "card", F.length(_digits(found)).between(14, 19) & ~passes("card", found)).when(kind == "ip", ~passes("ip", found))
+    return ~F.coalesce(refuted, F.lit(False))
+
+
 def kind_of(found: Column) -> Column:
     """The only kind that an identifier of this shape can be."""
     n = F.length(_digits(found))
@@ -174,16 +186,17 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     others = F.transform(apart_from(F.col("maybe"), F.col("base")), lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), kind_of(m["found"]).alias("kind"),
         instance_of(m["found"]).alias("instance"), _context(m["before"], m["after"]).alias("patterns"),
+        could_be(kind_of(m["found"]), m["found"]).alias("possible"),
     ))
     return rows.select("row_key", "doc_id", "base", others.alias("others"))
 
 
 def believed(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``kind, instance`` of the unseen identifiers that trusted patterns find, from ``kind, pattern, instance, seed``.
+    """``kind, instance`` of the unseen identifiers that trusted patterns find, from ``kind, pattern, instance, seed, possible``.
 
     The edges are distinct, so a pattern or an instance in a third of all documents weighs as one for each partner.
     Round by round: a pattern's confidence is what its instances score over their number plus SMOOTHING, counted only
-    with SEEDS seeds or more; an instance that is no seed scores as the chance that one of its patterns is right.
+    with SEEDS seeds or more; an instance that is no seed scores as the chance that one of its patterns is right, one that is not possible scores nothing.
     """
     scored = graph.withColumn("score", F.col("seed").cast("double"))
     for number in range(rounds):
@@ -191,7 +204,7 @@ def believed(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             (F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("trust"), F.sum(F.col("seed").cast("int")).alias("seeds")
         )
         trust = trust.where(F.col("seeds") >= SEEDS).select("kind", "pattern", F.least("trust", F.lit(0.999)).alias("trust"))
-        unseen = graph.where("not seed").join(trust, ["kind", "pattern"])
+        unseen = graph.where("possible and not seed").join(trust, ["kind", "pattern"])
         found = unseen.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("found"), F.max("trust").alias("best"))
         found = write_and_read(found, f"scores-{number}")
         scored = graph.join(found.drop("best"), ["kind", "instance"], "left").withColumn(
@@ -212,12 +225,12 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     length, and with its matches to the power of 1.5. Other columns are not read, whatever their names.
     """
     rows = write_and_read(occurrences(docs, id_col, text_col), "occurrences")
-    seen = rows.select(F.explode("base").alias("o")).select("o.kind", "o.instance", "o.patterns", F.lit(True).alias("seed"))
-    other = rows.select(F.explode("others").alias("o")).select("o.kind", "o.instance", "o.patterns", F.lit(False).alias("seed"))
-    edges = seen.unionByName(other).select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
-    graph = write_and_read(edges.groupBy("kind", "instance", "pattern").agg(F.max("seed").alias("seed")), "pattern-graph")
+    seen = rows.select(F.explode("base").alias("o")).select("o.kind", "o.instance", "o.patterns", F.lit(True).alias("seed"), F.lit(True).alias("possible"))
+    other = rows.select(F.explode("others").alias("o")).select("o.kind", "o.instance", "o.patterns", F.lit(False).alias("seed"), "o.possible")
+    edges = seen.unionByName(other).select("kind", "instance", "seed", "possible", F.explode("patterns").alias("pattern"))
+    graph = write_and_read(edges.groupBy("kind", "instance", "pattern").agg(F.max("seed").alias("seed"), F.max("possible").alias("possible")), "pattern-graph")
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("o.kind")) - 1
-    new = rows.select("row_key", F.explode("others").alias("o")).select(
+    new = rows.select("row_key", F.explode("others").alias("o")).where("o.possible").select(
         "row_key", F.col("o.kind").alias("kind"), F.col("o.instance").alias("instance"),
         F.struct(F.col("o.start").alias("start"), place.cast("int").alias("place"), F.col("o.end").alias("end"), F.col("o.kind").alias("kind")).alias("span"),
     )

@@ -15,19 +15,29 @@ def added(spark, texts):
 
 def test_labels_at_the_start_of_texts_and_lines(spark):
     seeds = [f"Tel: +1 (234) 555-{i:04d}" for i in range(200)]
-    cases = ["Tel: 234 555 7777", "Smith Ltd\nTel: 234 555 7778\nopen daily", "ask for us, tel 234 555 7779 or write", "order 234 555 7780 came", "234 555 7781"]
+    cases = ["Tel: 234 555 7777", "Smith Ltd\nTel: 234 555 7778\nopen daily", "ask for us, tel: 234 555 7779 or write", "order 234 555 7780 came", "234 555 7781"]
     found = added(spark, seeds + cases)
-    assert [found[200 + i] for i in range(5)] == [[("phone", 5, 17)], [("phone", 15, 27)], [("phone", 16, 28)], [], []]
+    assert [found[200 + i] for i in range(5)] == [[("phone", 5, 17)], [("phone", 15, 27)], [("phone", 17, 29)], [], []]
     assert not any(found[i] for i in range(200))
 
 
 def test_patterns_of_an_occurrence(spark):
     rows = spark.createDataFrame([("Our mail: ", " today"), ("x\n", "\ny"), ("one two\nTel. ", ""), ("", " now")], "b string, a string")
     got = [r[0] for r in rows.select(pii._context(rows.b, rows.a)).collect()]
-    assert got == [["mail _", "our mail _", "_ today", "mail _ today"], [], ["tel _"], ["_ now"]]
+    assert got == [["mail: _", "our mail _", "mail _ today"], [], [], []]
+    # A word without a mark is no label, however often identifiers follow it; and failed checksums are never found.
+    texts = [f"the +1 (234) 555-{i:04d}" for i in range(50)] + ["the 234 555 7777"] + [f"Card: {4000000000000000 + 10 * i + luhn(400000000000000 + i)}" for i in range(50)]
+    found = added(spark, texts + ["Card: 4000000000000001"])
+    assert not any(found.values())
 
 
-def brute_scores(edges, rounds):
+def luhn(number):
+    """The last digit that makes ``number`` with it pass."""
+    twice = [int(d) * (2 if i % 2 == 0 else 1) for i, d in enumerate(reversed(str(number)))]
+    return -sum(t - 9 if t > 9 else t for t in twice) % 10
+
+
+def brute_scores(edges, rounds, refuted):
     score = {(k, i): 1.0 if s else 0.0 for k, i, p, s in edges}
     seeded = {(k, i) for k, i, p, s in edges if s}
     for _ in range(rounds):
@@ -38,7 +48,7 @@ def brute_scores(edges, rounds):
                 trust[k, p] = min(sum(score[m] for m in mine) / (len(mine) + pii.SMOOTHING), 0.999)
         best = {}
         for k, i, p, s in edges:
-            if not s and (k, p) in trust:
+            if not s and i not in refuted and (k, p) in trust:
                 best.setdefault((k, i), []).append(trust[k, p])
         for m in score:
             if m not in seeded:
@@ -48,10 +58,11 @@ def brute_scores(edges, rounds):
 
 def test_scores_against_plain_python(spark):
     edges = [("phone", f"s{i}", p, True) for i in range(40) for p in ("tel _", "call _", "id _") if (i * 7 + len(p)) % 3]
+    refuted = {f"u{i}" for i in range(0, 30, 7)}
     edges += [("phone", f"u{i}", p, False) for i in range(30) for j, p in enumerate(("tel _", "call _", "id _")) if (i + j) % (4 + 9 * (j == 0)) == 0]
-    graph = spark.createDataFrame(edges, "kind string, instance string, pattern string, seed boolean")
+    graph = spark.createDataFrame([(*e, e[1] not in refuted) for e in edges], "kind string, instance string, pattern string, seed boolean, possible boolean")
     for rounds in (1, 2, 4):
-        assert {tuple(r) for r in pii.believed(graph, rounds).collect()} == brute_scores(edges, rounds)
+        assert {tuple(r) for r in pii.believed(graph, rounds).collect()} == brute_scores(edges, rounds, refuted)
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 300])
