@@ -21,6 +21,7 @@ from pressloom.functions.stemming import stem_tokens
 from pressloom.functions.vectors import cosine, dot, sparse_dot, unit
 from pressloom.operators.joins import fits_broadcast, lookup_join
 from pressloom.operators.tfidf import tfidf_features
+from pressloom.operators.token_vectors import embed_pairs
 
 
 def f_measure(overlap: Column, generated_size: Column, reference_size: Column) -> Column:
@@ -122,9 +123,16 @@ def embed_text(text: Column, factory: Callable[[], Callable[[list[str]], np.ndar
 
 def with_similarity(
     df: DataFrame, vocabulary: DataFrame | None = None, encoder=None, gen: str = "generated_text", ref: str = "target",
-    id_col: str = "id",
+    id_col: str = "id", sentence_vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``sbert_similarity``: cosine of encoder vectors, or of TF-IDF rows when no encoder is given."""
+    """Add ``sbert_similarity``: cosine of encoder vectors, of weighted token vectors, or of TF-IDF rows.
+
+    ``sentence_vectors`` is a (token, vector) table; a text without a known token is like nothing (0).
+    """
+    if encoder is None and sentence_vectors is not None:
+        pair = df.join(embed_pairs(df, sentence_vectors, gen, ref, id_col), id_col, "left")
+        likeness = F.coalesce(cosine(F.col("generated_vec"), F.col("target_vec")), F.lit(0.0))
+        return pair.withColumn("sbert_similarity", likeness).drop("generated_vec", "target_vec")
     if encoder is not None:
         pair = df.withColumns({"_g": embed_text(F.col(gen), encoder), "_r": embed_text(F.col(ref), encoder)})
         return pair.withColumn("sbert_similarity", cosine(F.col("_g"), F.col("_r"))).drop("_g", "_r")
@@ -259,10 +267,11 @@ def evaluate_generations(
     token_vectors: DataFrame | None = None,
     stem: bool = True,
     id_col: str = "id",
+    sentence_vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Add the columns of the chosen metric groups. A missing text counts as ''."""
     if run_sbert:
-        df = with_similarity(df, vocabulary, encoder, id_col=id_col)
+        df = with_similarity(df, vocabulary, encoder, id_col=id_col, sentence_vectors=sentence_vectors)
     if run_rouge:
         df = with_rouge(df, stem=stem)
     if run_bertscore:
