@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from pressloom.functions import fixed_values as V
 from pressloom.functions.text import clean_generated_text
+from pressloom.operators.joins import lookup_join
+from pressloom.session import staged
+from pressloom.sources import tables
 
 Generator = Callable[[list[str]], list[str]]
 
@@ -76,6 +79,47 @@ def generate_batch(
     return df.withColumn(out, generated(F.col(prompt_col), factory, batch_size))
 
 
+def generate_once(
+    df: DataFrame,
+    answers_path: str,
+    prompt_col: str = "prompt_text",
+    factory: Callable[[], Generator] = central_sentence,
+    batch_size: int = V.BATCH_SIZE,
+    out: str = "generated_text",
+    id_col: str = "id",
+    parts: int = 16,
+) -> DataFrame:
+    """``generate_batch`` with one answer per distinct prompt, kept in a table of (digest, answer) at ``answers_path``.
+
+    Prompts whose answer is there are not generated again, so a job that was ended goes on where it stood and a later job
+    pays for new prompts only. The new ones are written in ``parts`` jobs: what was lost is at most the part under way (a task
+    that fails within it asks the model again, but one answer is kept). Prompts of like length share a batch. One model,
+    one table: name another path for another model. A null prompt is an empty one; without rows nothing is generated.
+    Of two jobs on one table at a time both may ask for the same prompt; a reader takes one answer of each.
+    """
+    spark = df.sparkSession
+    prompt = F.coalesce(F.col(prompt_col), F.lit(""))
+    digest = "_digest"
+    asked = df.select(F.sha2(prompt, 256).alias(digest), prompt.alias("_prompt"))
+    # One row per prompt leaves each task, however often it is repeated.
+    todo = asked.groupBy(digest).agg(F.first("_prompt").alias("_prompt"))
+    schema = f"{digest} string, _answer string"
+
+    def answers() -> DataFrame:
+        kept = spark.read.schema(schema).parquet(answers_path) if tables.path_exists(spark, answers_path) else spark.createDataFrame([], schema)
+        return kept.groupBy(digest).agg(F.min("_answer").alias("_answer"))
+
+    todo = todo.join(answers().select(digest), digest, "left_anti")
+    with staged(todo.withColumn("_part", F.pmod(F.xxhash64(digest), F.lit(parts)).cast("int")), "prompts") as waiting:
+        for part in sorted(r["_part"] for r in waiting.select("_part").distinct().collect()):  # at most ``parts`` rows
+            mine = waiting.where(F.col("_part") == part).repartition(digest).sortWithinPartitions(F.length("_prompt"), digest)
+            answered = mine.select(digest, generated(F.col("_prompt"), factory, batch_size).alias("_answer"))
+            answered.write.mode("append").parquet(answers_path)
+    # A prompt in a third of all rows meets a broadcast or a salted copy of its answer.
+    whole = lookup_join(df.withColumn(digest, F.sha2(prompt, 256)), answers(), digest, id_col)
+    return whole.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col("_answer").alias(out))
+
+
 def tag_generation(df: DataFrame, strategy: str, raw_col: str = "generated_text") -> DataFrame:
     """Clean the raw text and name the strategy it came from."""
     return df.withColumns(

@@ -68,8 +68,9 @@ def ppmi(pairs: DataFrame, counts: DataFrame, contexts: DataFrame, min_count: in
     columns = kept.groupBy("context").agg(F.sum("n").alias("column_n"))  # at most a row for each context
     total = kept.agg(F.sum("n").alias("total")).scalar()
     whole = lookup_join(with_row, columns, "context", "token").withColumn("total", total)
-    value = F.log(F.col("n").cast("double") * F.col("total") / (F.col("row_n").cast("double") * F.col("column_n")))
-    return whole.withColumn("ppmi", value).where("ppmi > 0").select("token", "term_id", "context", "n", "ppmi")
+    beyond_chance = F.col("n").cast("double") * F.col("total") / (F.col("row_n").cast("double") * F.col("column_n"))
+    above = whole.withColumn("ratio", beyond_chance).where("ratio > 1")
+    return above.select("token", "term_id", "context", "n", F.log("ratio").alias("ppmi"))
 
 
 def fit_token_vectors(

@@ -137,11 +137,20 @@ def run_generation(
     run_sbert: bool = True,
     run_rouge: bool = True,
     run_bertscore: bool = True,
+    answers_path: str | None = None,
     **models,
 ) -> DataFrame:
-    """Prompts under one strategy, the text generated from them, cleaned, and its metrics."""
+    """Prompts under one strategy, the text generated from them, cleaned, and its metrics.
+
+    With ``answers_path`` each distinct prompt is generated once, and a job that was ended goes on from that table; all
+    strategies may share it, as long as the model is the same.
+    """
     df = prompts.build_prompt(spark.read.parquet(prompt_path), strategy)
-    df = generate.tag_generation(generate.generate_batch(df, input_col, factory, batch_size), strategy)
+    if answers_path is None:
+        df = generate.generate_batch(df, input_col, factory, batch_size)
+    else:
+        df = generate.generate_once(df, answers_path, input_col, factory, batch_size)
+    df = generate.tag_generation(df, strategy)
     by = ["split"] if "split" in df.columns else []
     if not (run_sbert or run_rouge or run_bertscore):
         return tables.write_table(df, output_path, by)

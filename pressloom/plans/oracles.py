@@ -593,6 +593,9 @@ FROM nearest n LEFT JOIN labels_of l ON l.cluster_id = n.cluster_id"""),
     "F6_generate_batch": with_(
         ARTICLES, PROMPT_ARTICLES, f"prompted AS (SELECT id, prompt_strategy, {prompt_by('prompt_strategy')} AS prompt_text FROM prompt_articles, {STRATEGIES})",
         *central_sentence("prompted"), select="SELECT id, prompt_strategy, raw AS generated_text FROM answers"),
+    "F6_generate_once": with_(
+        ARTICLES, PROMPT_ARTICLES, f"prompted AS (SELECT id, prompt_strategy, {prompt_by('prompt_strategy')} AS prompt_text FROM prompt_articles, {STRATEGIES})",
+        *central_sentence("prompted"), select="SELECT id, prompt_strategy, raw AS generated_text FROM answers"),
     "F7_clean_generated_text": f"""SELECT conv_id, turn, {clean_generated('opening || text')} AS text FROM (
   SELECT *, CASE conv_id % 5 WHEN 0 THEN 'Sure! Let me see.' || chr(10) WHEN 1 THEN 'Here is the post' || chr(10) || chr(10)
     WHEN 2 THEN '  Post : ' WHEN 3 THEN 'certainly, gladly' || chr(10) || 'Summary:' || chr(10) ELSE '' END AS opening
@@ -612,6 +615,30 @@ FROM prompt_articles, (SELECT unnest(['structured', 'detailed', 'role_based', 'm
         weights("gen_weights", "gen_counts", "id"),
         "dots AS (SELECT a.id, sum(a.weight * b.weight) AS s FROM gen_weights a JOIN ref_weights b ON a.id = b.id AND a.term_id = b.term_id GROUP BY a.id)",
         select=f"SELECT p.id, {rnd('coalesce(s, 0.0)')} AS sbert_similarity FROM pairs p LEFT JOIN dots d ON d.id = p.id"),
+    "G2_weighted_token_vectors": recursive(
+        *SOFT_MATCH[:6],
+        """shares AS (SELECT token, 0.001 / (0.001 + sum(tf) / (SELECT sum(tf) FROM side_counts)) AS weight
+  FROM side_counts GROUP BY token)""",
+        """text_vectors AS (
+  SELECT id, side, pos, sum(c.tf * s.weight * t.v[pos]) / sum(c.tf) AS x
+  FROM side_counts c JOIN shares s ON s.token = c.token JOIN token_vectors t ON t.token = c.token,
+    unnest(range(1, len(t.v) + 1)) AS u(pos) GROUP BY id, side, pos)""",
+        """products AS (SELECT list(line ORDER BY i) AS m FROM (
+  SELECT i, list(g ORDER BY j) AS line FROM (
+    SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) AS g FROM text_vectors a
+    JOIN text_vectors b ON a.id = b.id AND a.side = b.side GROUP BY i, j) GROUP BY i))""",
+        # the greatest eigenvector by power iteration
+        """direction AS (
+  SELECT 0 AS step, list_transform(m, lambda line: CAST(1.0 AS DOUBLE)) AS v FROM products
+  UNION ALL
+  SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (
+    SELECT step, list_transform(m, lambda line: list_dot_product(line, v)) AS w FROM direction, products WHERE step < 300))""",
+        """along AS (SELECT t.id, t.side, sum(t.x * d.v[t.pos]) AS s FROM text_vectors t, direction d WHERE d.step = 300 GROUP BY t.id, t.side)""",
+        """left_over AS (SELECT t.id, t.side, list(t.x - a.s * d.v[t.pos] ORDER BY t.pos) AS v
+  FROM text_vectors t JOIN along a ON a.id = t.id AND a.side = t.side, direction d WHERE d.step = 300 GROUP BY t.id, t.side)""",
+        select=f"""SELECT p.id, {rnd('coalesce(list_dot_product(g.v, r.v) / sqrt(list_dot_product(g.v, g.v) * list_dot_product(r.v, r.v)), 0.0)')}
+  AS sbert_similarity
+FROM pairs p LEFT JOIN left_over g ON g.id = p.id AND g.side = 'g' LEFT JOIN left_over r ON r.id = p.id AND r.side = 'r'"""),
     "G3_rouge1": with_(PAIRS, PAIR_TOKENS, overlap_f1("r1", "pair_tokens", UNIGRAMS), select=f"SELECT id, {rnd('f1')} AS rouge1 FROM r1"),
     "G4_rouge2": with_(PAIRS, PAIR_TOKENS, overlap_f1("r2", "pair_tokens", BIGRAMS), select=f"SELECT id, {rnd('f1')} AS rouge2 FROM r2"),
     "G5_rougeL": recursive(PAIRS, PAIR_TOKENS, lcs_f1("rl", "pair_tokens"), select=f'SELECT id, {rnd("f1")} AS "rougeL" FROM rl'),
@@ -622,6 +649,16 @@ FROM prompt_articles, (SELECT unnest(['structured', 'detailed', 'role_based', 'm
                               select=f"SELECT r1.id, {rnd('r1.f1')} AS rouge1, {rnd('r2.f1')} AS rouge2 FROM r1 JOIN r2 ON r1.id = r2.id"),
     "G7_soft_token_score": with_(*SOFT_MATCH, select=f"""SELECT id, {rnd('p')} AS bertscore_p, {rnd('r')} AS bertscore_r,
   {rnd('CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END')} AS bertscore_f1 FROM matched"""),
+    "G7_token_ppmi": with_(
+        f"words AS (SELECT conv_id, turn, generate_subscripts(ts, 1) AS i, unnest(ts) AS token FROM (SELECT conv_id, turn, {rouge_tokens('text')} AS ts FROM conversations))",
+        "token_counts AS (SELECT token, count(*) AS n FROM words GROUP BY token)",
+        "contexts AS (SELECT token FROM token_counts ORDER BY n DESC, token LIMIT 20000)",
+        """kept AS (SELECT a.token, b.token AS context, count(*) AS n
+  FROM words a JOIN words b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.i <> b.i AND abs(a.i - b.i) <= 5
+  WHERE a.token IN (SELECT token FROM token_counts WHERE n >= 2) AND b.token IN (SELECT token FROM contexts) GROUP BY 1, 2)""",
+        """ratios AS (SELECT token, context, n, CAST(n AS DOUBLE) * CAST(sum(n) OVER () AS BIGINT)
+    / (CAST(sum(n) OVER (PARTITION BY token) AS DOUBLE) * CAST(sum(n) OVER (PARTITION BY context) AS BIGINT)) AS ratio FROM kept)""",
+        select=f"SELECT token, context, n, {rnd('ln(ratio)')} AS ppmi FROM ratios WHERE ratio > 1"),
     "G8_evaluate_generations": recursive(PAIRS, *all_metrics(), select=f"SELECT id, {METRIC_COLUMNS} FROM all_scores"),
     "G9_contrast_ratio": with_(
         VECTOR_PAIRS,

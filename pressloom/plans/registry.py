@@ -12,7 +12,9 @@ from pressloom.functions import text as X
 from pressloom.functions import tokens as K
 from pressloom.functions import vectors as VX
 from pressloom.functions.lambdas import explode_once, posexplode_once, rounded
-from pressloom.operators import clean, generate, metrics, profile, prompts, report, search_index, split, svd, tfidf, topics
+from pressloom.operators import clean, generate, metrics, profile, prompts, report, search_index, split, svd, tfidf
+from pressloom.operators import token_vectors as token_space
+from pressloom.operators import topics
 from pressloom.plans import jobs
 from pressloom.session import new_path, staged, write_and_read
 from pressloom.sources import tables, views
@@ -501,6 +503,13 @@ def f6_generate_batch(spark, d):
     return generate.generate_batch(prompted).select("id", "prompt_strategy", "generated_text")
 
 
+def f6_generate_once(spark, d):
+    """One model call for each distinct prompt, answers kept in a table that a later run takes up."""
+    prompted = prompts.run_strategies(prompt_articles(spark, d))
+    made = generate.generate_once(prompted, new_path(spark, "answers"), id_col="id")
+    return made.select("id", "prompt_strategy", "generated_text")
+
+
 def f7_clean_generated_text(spark, d):
     openings = ["Sure! Let me see.\n", "Here is the post\n\n", "  Post : ", "certainly, gladly\nSummary:\n", ""]
     opening = F.element_at(F.array(*[F.lit(o) for o in openings]), (F.col("conv_id") % 5 + 1).cast("int"))
@@ -530,6 +539,13 @@ def g2_embed_text(spark, d):
     return _rounded(metrics.with_similarity(pairs, vocabulary).select("id", "sbert_similarity"), "sbert_similarity")
 
 
+def g2_weighted_token_vectors(spark, d):
+    """Weighted token vectors of both texts less their common direction as the encoder, and their cosine."""
+    vectors = write_and_read(token_vectors(spark, d), "tokens")
+    scored = metrics.with_similarity(views.chat_pairs(spark, d), sentence_vectors=vectors)
+    return _rounded(scored.select("id", "sbert_similarity"), "sbert_similarity")
+
+
 def _rouge_query(name, stem=False):
     def query(spark, d):
         scored = metrics.with_rouge(views.chat_pairs(spark, d), stem=stem, which=(name,))
@@ -559,6 +575,22 @@ def g7_soft_token_score_word2vec(spark, d):
     return metrics.with_soft_match(pairs, vectors).select("id", "bertscore_p", "bertscore_r", "bertscore_f1")
 
 
+def g7_token_ppmi(spark, d):
+    """What the token vectors are factorised from, over every conversation."""
+    texts = views.table(spark, d, "conversations")
+    counts = write_and_read(token_space.token_counts(texts, "text"), "token-counts")
+    pairs = write_and_read(token_space.cooccurrences(texts, "text"), "pairs")
+    contexts = write_and_read(token_space.context_table(counts), "contexts")
+    found = token_space.ppmi(pairs, counts, contexts)
+    return found.select("token", "context", "n", rounded(F.col("ppmi")).alias("ppmi"))
+
+
+def g7_soft_token_score_ppmi(spark, d):
+    vectors = token_space.fit_token_vectors(views.table(spark, d, "conversations"), "text")
+    scored = metrics.with_soft_match(views.chat_pairs(spark, d), vectors)
+    return scored.select("id", "bertscore_p", "bertscore_r", "bertscore_f1")
+
+
 def g8_evaluate_generations(spark, d):
     scored = metrics.evaluate_generations(views.chat_pairs(spark, d), **metric_models(spark, d))
     return _rounded(scored.select("id", *V.METRICS), *V.METRICS)
@@ -772,6 +804,7 @@ QUERIES = {
     "F4_prompt_metadata_aware": _strategy_query("metadata_aware"),
     "F5_build_prompt": f5_build_prompt,
     "F6_generate_batch": f6_generate_batch,
+    "F6_generate_once": f6_generate_once,
     "F7_clean_generated_text": f7_clean_generated_text,
     "F8_tag_generation": f8_tag_generation,
     "F9_run_strategies": f9_run_strategies,
@@ -782,7 +815,10 @@ QUERIES = {
     "G5_rougeL": _rouge_query("rougeL"),
     "G6_stem_tokens": g6_stem_tokens,
     "G6_rouge_stemmed": g6_rouge_stemmed,
+    "G2_weighted_token_vectors": g2_weighted_token_vectors,
     "G7_soft_token_score": g7_soft_token_score,
+    "G7_soft_token_score_ppmi": g7_soft_token_score_ppmi,
+    "G7_token_ppmi": g7_token_ppmi,
     "G7_soft_token_score_word2vec": g7_soft_token_score_word2vec,
     "G8_evaluate_generations": g8_evaluate_generations,
     "G9_contrast_ratio": g9_contrast_ratio,
