@@ -80,7 +80,8 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def rouge_l(generated: Column, reference: Column) -> Column:
-    return f_measure(lcs_length(generated, reference), F.size(generated), F.size(reference))
+    # Not deterministic for the optimizer: a filter on the score must not be pushed into a join below, nor run it twice.
+    return f_measure(lcs_length.asNondeterministic()(generated, reference), F.size(generated), F.size(reference))
 
 
 def with_rouge(
@@ -180,7 +181,7 @@ def _match_by_dictionary(df: DataFrame, vectors: DataFrame, g: Column, r: Column
         for c in ("_g", "_r")
         for f in ("term", "tf")
     ]
-    return counted.withColumn("_m", match(*arrays)).drop("_g", "_r")
+    return counted.withColumn("_m", match.asNondeterministic()(*arrays)).drop("_g", "_r")
 
 
 def _match_by_join(df: DataFrame, vectors: DataFrame, g: Column, r: Column, id_col: str) -> DataFrame:
@@ -207,7 +208,7 @@ def _match_by_join(df: DataFrame, vectors: DataFrame, g: Column, r: Column, id_c
     per_pair = found.groupBy(id_col).agg(
         *[gather(s, f).alias(f"_{n}_{f}") for s, n in ((True, "g"), (False, "r")) for f in ("vector", "tf")]
     )
-    scored = per_pair.select(id_col, match("_g_vector", "_g_tf", "_r_vector", "_r_tf").alias("_m"))
+    scored = per_pair.select(id_col, match.asNondeterministic()("_g_vector", "_g_tf", "_r_vector", "_r_tf").alias("_m"))
     return df.join(scored, id_col, "left")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressloom.operators import token_vectors as W
-from pressloom.operators.metrics import with_similarity
+from pressloom.operators.metrics import with_rouge, with_similarity, with_soft_match
 
 TEXTS = [
     "The cat sat on the mat, the cat slept.", "A dog sat on a log; the dog slept", "the the the", "", None, "lonely",
@@ -117,3 +117,14 @@ def test_no_pairs_no_direction(spark, given):
     assert with_similarity(df, sentence_vectors=vectors).collect() == []
     one = spark.createDataFrame([(1, None, "zebra")], df.schema)
     assert [r["sbert_similarity"] for r in with_similarity(one, sentence_vectors=vectors).collect()] == [0.0]
+
+
+def test_scores_of_joined_pairs_can_be_filtered(spark, texts, given):
+    """A filter on a score that Python computes stays above the join that the pairs come from."""
+    other = texts.select((F.col("id") - 1).alias("id"), F.col("text").alias("target"))
+    pairs = texts.withColumnRenamed("text", "generated_text").join(other, "id")
+    vectors = spark.createDataFrame([(t, [float(x) for x in v]) for t, v in given.items()], "token string, vector array<double>")
+    scored = with_rouge(with_soft_match(pairs, vectors), which=("rougeL",))
+    everything = scored.collect()
+    high = scored.where("bertscore_f1 > 0.5 and rougeL > 0.2").collect()
+    assert {r["id"] for r in high} == {r["id"] for r in everything if r["bertscore_f1"] > 0.5 and r["rougeL"] > 0.2} != set()
