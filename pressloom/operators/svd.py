@@ -158,6 +158,14 @@ def fit_svd(
     return spark.createDataFrame(table), np.sqrt(np.clip(values[:k], 0, None)).tolist()
 
 
+def for_vocabulary(components: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term_id, term, vector) for every term of ``vocabulary``; one that ``components`` (term, vector) lack is zero."""
+    width = components.select(F.size("vector")).first()
+    zero = F.array_repeat(F.lit(0.0), width[0] if width else 0)
+    found = vocabulary.select("term_id", "term").join(components.select("term", F.col("vector").cast("array<double>")), "term", "left")
+    return found.select("term_id", "term", F.coalesce("vector", zero).alias("vector"))
+
+
 def component_matrix(components: DataFrame) -> np.ndarray:
     table = components.select("term_id", "vector").orderBy("term_id").toArrow()
     _, values = _flat(table.column("vector").combine_chunks())

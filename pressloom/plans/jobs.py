@@ -76,8 +76,13 @@ def extract_metadata_and_keywords(
     model_path: str,
     max_features: int = V.MAX_FEATURES,
     components: int = V.SVD_COMPONENTS,
+    given_components: DataFrame | None = None,
 ) -> DataFrame:
-    """Keywords and dense vectors for every split, from models fitted on the train split alone."""
+    """Keywords and dense vectors for every split, from models fitted on the train split alone.
+
+    ``given_components`` (term, vector) take the place of the fit, as when a new batch joins an earlier model's space;
+    terms they do not have weigh nothing, and no singular values are written.
+    """
     df = spark.read.parquet(input_path)
     train = df.where(F.col("split") == "train")
     headline = F.col("headline")
@@ -85,9 +90,13 @@ def extract_metadata_and_keywords(
     vocabulary = tables.load_model(spark, model_path, "vocabulary")["vocabulary"]
     with staged(tfidf.tfidf_features(df, headline, vocabulary), "features") as featured:
         train_features = featured.where(F.col("split") == "train")
-        loadings, singular_values = svd.fit_svd(train_features.select("doc_id", "features"), vocabulary, components)
-        values = spark.createDataFrame(list(enumerate(singular_values)), "component int, singular_value double")
-        tables.save_model({"components": loadings, "singular_values": values}, model_path)
+        if given_components is None:
+            loadings, singular_values = svd.fit_svd(train_features.select("doc_id", "features"), vocabulary, components)
+            values = spark.createDataFrame(list(enumerate(singular_values)), "component int, singular_value double")
+            tables.save_model({"components": loadings, "singular_values": values}, model_path)
+        else:
+            tables.save_model({"components": svd.for_vocabulary(given_components, vocabulary)}, model_path)
+            loadings = tables.load_model(spark, model_path, "components")["components"]
         table = tables.write_table(_with_keywords(featured, loadings), output_path, ["split"])
         with staged(svd.svd_transform(train_features.select("features"), loadings), "projected") as projected:
             tables.save_model({"explained_variance": svd.explained_variance(projected)}, model_path)

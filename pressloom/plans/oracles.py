@@ -476,6 +476,14 @@ ORACLES = {
   AS embedding, label FROM embeddings""",
     "A3_save_model": with_(ARTICLES, ALL_COUNTS, ALL_VOCABULARY,
                            select=f"SELECT term_id, term, df, corpus_count, {rnd('idf')} AS idf FROM vocabulary"),
+    "A3_model_tables": with_(ARTICLES, ALL_COUNTS, ALL_VOCABULARY, CENTRES, COMPONENTS, LABELS,
+        """long_components AS (SELECT term_id, term, CAST(pos - 1 AS INTEGER) AS pos, vector[pos] AS x
+  FROM components, unnest(range(1, len(vector) + 1)) AS u(pos))""",
+        select=f"""SELECT 'vocabulary' AS part, CAST(term_id AS BIGINT) AS id, CAST(NULL AS INTEGER) AS pos, term AS name, {rnd('idf')} AS value FROM vocabulary
+UNION ALL SELECT 'components', term_id, pos, term, {rnd('x')} FROM long_components
+UNION ALL SELECT 'singular_values', pos, NULL, NULL, {rnd('sqrt(sum(x * x))')} FROM long_components GROUP BY pos
+UNION ALL SELECT 'centers', cluster_id, CAST(pos - 1 AS INTEGER), NULL, {rnd('center[pos]')} FROM centres, unnest(range(1, len(center) + 1)) AS u(pos)
+UNION ALL SELECT 'labels', cluster_id, NULL, topic_label, NULL FROM labels_of"""),
     "A4_write_label_dictionary": """SELECT CAST(label AS VARCHAR) AS cluster_id, 'label | ' || count(*) AS topic_label
 FROM embeddings GROUP BY label""",
     "A5_read_if_exists": with_(PAIRS, select="SELECT split, count(*) AS n FROM pairs GROUP BY split"),
@@ -707,6 +715,11 @@ FROM means WHERE prompt_strategy IS NOT NULL GROUP BY split, metric"""),
                                  weights("weights", "counts", "doc_id"), KEYWORDS,
                                  select=f"""SELECT k.doc_id, a.split, k.keywords, {DIMENSIONS}
 FROM keywords k JOIN split_articles a ON a.doc_id = k.doc_id"""),
+    "P3_job_vectors": with_(ARTICLES, RAW, CLEANED, PREPARED, TRAIN_COUNTS, TRAIN_VOCABULARY,
+                            weights("weights", "counts", "doc_id"), KEYWORDS, COMPONENTS,
+                            PROJECTED.replace("FROM articles a", "FROM split_articles a"),
+                            select=f"""SELECT k.doc_id, a.split, k.keywords, p.pos, {rnd('p.x')} AS x
+FROM keywords k JOIN split_articles a ON a.doc_id = k.doc_id JOIN projected p ON p.doc_id = k.doc_id"""),
     "P4_cluster_and_build_prompts": with_(ARTICLES, RAW, CLEANED, PREPARED, TRAIN_COUNTS, TRAIN_VOCABULARY,
                                           weights("weights", "counts", "doc_id"), KEYWORDS,
                                           select="""SELECT a.doc_id AS id, a.description AS target, a.headline, k.keywords,

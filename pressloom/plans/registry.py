@@ -133,6 +133,34 @@ def a3_save_model(spark, d):
     return _rounded(tables.load_model(spark, path, "vocabulary")["vocabulary"], "idf")
 
 
+def a3_model_tables(spark, d):
+    """All five tables of a model, written and read again, as lines of (part, id, pos, name, value)."""
+    path = new_path(spark, "model")
+    tables.save_model({"vocabulary": tfidf.fit_vocabulary(views.articles(spark, d), F.col("headline"))}, path)
+    components = _stand_in_components(spark, d, tables.load_model(spark, path, "vocabulary")["vocabulary"])
+    tables.save_model({"components": components.withColumn("vector", VX.as_doubles(F.col("vector"))), "centers": views.label_centres(spark, d)}, path)
+    made = tables.load_model(spark, path, "components", "centers")
+    lengths = posexplode_once(made["components"], [], F.col("vector"), "component", "x").groupBy("component")
+    lengths = lengths.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("singular_value"))
+    tables.save_model({"singular_values": lengths, "labels": topics.topic_labels(made["centers"], made["components"])}, path)
+    made = tables.load_model(spark, path, "vocabulary", "components", "singular_values", "centers", "labels")
+
+    def lines(df, part, key, pos=None, name=None, value=None):
+        none = F.lit(None)
+        columns = [F.col(key).cast("long").alias("id"), (none if pos is None else F.col(pos)).cast("int").alias("pos")]
+        columns += [(none if name is None else F.col(name)).cast("string").alias("name")]
+        return df.select(F.lit(part).alias("part"), *columns, rounded((none if value is None else F.col(value)).cast("double")).alias("value"))
+
+    parts = [
+        lines(made["vocabulary"], "vocabulary", "term_id", name="term", value="idf"),
+        lines(posexplode_once(made["components"], ["term_id", "term"], F.col("vector"), "pos", "x"), "components", "term_id", "pos", "term", "x"),
+        lines(made["singular_values"], "singular_values", "component", value="singular_value"),
+        lines(posexplode_once(made["centers"], ["cluster_id"], F.col("center"), "pos", "x"), "centers", "cluster_id", "pos", value="x"),
+        lines(made["labels"], "labels", "cluster_id", name="topic_label"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 def a4_write_label_dictionary(spark, d):
     labels = (
         views.table(spark, d, "embeddings")
@@ -713,6 +741,18 @@ def p3_extract_keywords(spark, d):
     return df.select("doc_id", "split", "keywords", F.size("svd_vector").cast("long").alias("dimensions"))
 
 
+def p3_job_vectors(spark, d):
+    """The job's keywords and vectors under given components, so that SQL can follow the vectors."""
+    root = new_path(spark, "p3")
+    train = _preprocessed(spark, d, root).where(F.col("split") == "train")
+    vocabulary = write_and_read(tfidf.fit_vocabulary(train, F.col("headline")), "vocabulary")
+    given = _stand_in_components(spark, d, vocabulary)
+    made = jobs.extract_metadata_and_keywords(
+        spark, f"{root}/split", f"{root}/keywords", f"{root}/model", given_components=given
+    )
+    return _rounded(posexplode_once(made, ["doc_id", "split", "keywords"], F.col("svd_vector"), "pos", "x"), "x")
+
+
 def p4_cluster_and_build_prompts(spark, d):
     """All that does not hang on the fitted clusters, and checks of what does: cluster, label, a prompt that shows it."""
     root = new_path(spark, "p4")
@@ -744,6 +784,7 @@ QUERIES = {
     "A2_write_table": a2_write_table,
     "A2_write_csv": a2_write_csv,
     "A3_save_model": a3_save_model,
+    "A3_model_tables": a3_model_tables,
     "A4_write_label_dictionary": a4_write_label_dictionary,
     "A5_read_if_exists": a5_read_if_exists,
     "A6_markdown_report": a6_markdown_report,
@@ -836,6 +877,7 @@ QUERIES = {
     "P1_ingest_profile": p1_ingest_profile,
     "P2_preprocess_and_split": p2_preprocess_and_split,
     "P3_extract_keywords": p3_extract_keywords,
+    "P3_job_vectors": p3_job_vectors,
     "P4_cluster_and_build_prompts": p4_cluster_and_build_prompts,
     "P5_run_generation": p5_run_generation,
 }
