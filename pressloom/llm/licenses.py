@@ -89,7 +89,10 @@ _WORKS = ("program", "library", "file", "software")
 _NAMES = {
     "MIT": "MitNotice", "Apache-2.0": "ApacheNotice", "BSD-2-Clause": "Bsd2Notice", "BSD-3-Clause": "Bsd3Notice", "MPL-2.0": "MplNotice",
     "ISC": "IscNotice", "Unlicense": "UnlicenseNotice", "CC0-1.0": "Cc0Notice", "CC-BY-4.0": "CcByNotice", "CC-BY-SA-4.0": "CcBySaNotice",
-    "CC-BY-NC-4.0": "CcByNcNotice",
+    "CC-BY-NC-4.0": "CcByNcNotice", "Zlib": "ZlibNotice", "BSL-1.0": "BoostNotice", "EPL-2.0": "Epl2Notice", "EPL-1.0": "Epl1Notice",
+    "0BSD": "ZeroBsdNotice", "WTFPL": "WtfplNotice", "Artistic-2.0": "ArtisticNotice", "PostgreSQL": "PostgresNotice", "MIT-0": "Mit0Notice",
+    "CDDL-1.0": "CddlNotice", "EUPL-1.2": "EuplNotice", "OFL-1.1": "OflNotice", "Python-2.0": "PythonNotice", "NCSA": "NcsaNotice",
+    "MPL-1.1": "Mpl1Notice", "CC-BY-3.0": "CcBy3Notice", "CC-BY-SA-3.0": "CcBySa3Notice", "CC-BY-ND-4.0": "CcByNdNotice",
 }
 
 
@@ -115,6 +118,10 @@ def _more() -> tuple[dict[str, str], list[tuple[tuple[str, ...], str]]]:
         "you should have received a copy of the cc0 public domain dedication along with this software": "Cc0Received",
         "licensed under the mozilla public license version 2 0": "MplNotice",
         "licensed under the isc license": "IscNotice",
+        "licensed under the boost software license version 1 0": "BoostNotice",
+        "distributed under the boost software license version 1 0": "BoostNotice",
+        "the names of its contributors may not be used to endorse or promote products derived from this software without specific "
+        "prior written permission": "BsdEndorse",
         "you may obtain a copy of the license at http www apache org licenses license 2 0": "ApacheCopy",
         "you may obtain a copy of the license at https www apache org licenses license 2 0": "ApacheCopy",
     }
@@ -177,6 +184,29 @@ _TAG = "spdx-license-identifier:"
 #: Operators between the names of an SPDX expression, and an exception with its name.
 BETWEEN = rf"[\x20\t(]+(?:or|and)[\x20\t(]+(?<={_TAG}[^\n\r]{{1,400}})"
 EXCEPT = rf"[\x20\t)]+with[\x20\t]+(?<={_TAG}[^\n\r]{{1,400}})"
+#: What stands between two words of a sentence: blanks, line breaks, the marks of comment lines.
+_GAP = r"[^\p{L}\p{N}\x01]{1,40}"
+#: The clause of BSD-3-Clause, whoever is named in it, and the name that SENTENCES has in this place.
+HOLDER = _GAP.join(["neither", "the", "names?", "of"]) + rf"{_GAP}[^\x01]{{1,300}}?{_GAP}" + _GAP.join(
+    ["nor", "the", "names", "of", "(?:its|their|the|any)", "contributors", "may", "be", "used"]
+)
+HELD = "neither the name of the copyright holder nor the names of its contributors may be used"
+_SPELT = "|".join(sorted((n.lower().replace("-", "[- ]").replace(".", r"\.") for n in _NAMES), key=len, reverse=True))
+#: Notices that name what is licensed, and by which verb, as 'licensed under' and the SPDX name.
+NOTICE = (
+    r"\b(?:th(?:is|e)[\x20\t]+(?:file|project|software|program|library|package|code|source code|module|script|repository)[\x20\t]+is[\x20\t]+)?"
+    r"(?:licensed|released|distributed|available)[\x20\t]+under[\x20\t]+(?:the[\x20\t]+terms[\x20\t]+of[\x20\t]+)?(?:the[\x20\t]+)?"
+    rf"({_SPELT})(?:[\x20\t]+licen[cs]e)?(?=[\x20\t]*(?:[.!?;:]*[\x20\t\n\r]|[.!?;:]*$))"
+)
+#: The same as a field: 'license: MIT' on a line of its own.
+FIELD = rf"(?m)(?<=^[^\p{{L}}\p{{N}}\n\r]{{0,10}})licen[cs]e:[\x20\t]*[\"']?({_SPELT})[\"']?(?=[^\p{{L}}\p{{N}}\n\r]{{0,10}}$)"
+
+
+def open_places(low: Column) -> Column:
+    """Lower-case text in which sentences with a name in them have the name that the known sentence has."""
+    low = F.when(F.contains(low, F.lit("neither")), F.regexp_replace(low, HOLDER, HELD)).otherwise(low)
+    low = F.when(F.contains(low, F.lit(" under ")), F.regexp_replace(low, NOTICE, "licensed under $1")).otherwise(low)
+    return F.when(low.rlike("licen[cs]e:"), F.regexp_replace(low, FIELD, "licensed under $1")).otherwise(low)
 
 
 def whole_sentences(text: Column) -> Column:
@@ -185,7 +215,7 @@ def whole_sentences(text: Column) -> Column:
     tags = F.regexp_replace(low, rf"(?<={_TAG}[^\n\r]{{1,400}})(?<=[a-z0-9])\+", "-or-later")
     tags = F.regexp_replace(F.regexp_replace(tags, EXCEPT, "\u0001"), BETWEEN, f"\u0001{_TAG} ")
     tags = F.regexp_replace(tags, rf"{_TAG}[\x20\t]*", "\u0001spdx license identifier ")
-    low = F.when(F.contains(low, F.lit(_TAG)), tags).otherwise(low)
+    low = let(F.when(F.contains(low, F.lit(_TAG)), tags).otherwise(low), open_places)
     return F.regexp_replace(low, INSIDE, " ")
 
 
@@ -240,7 +270,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     each once, comma-joined. ``n_unmatched``: known sentences that no rule takes. Everything happens inside the row,
     so there is no shuffle and no hot key.
 
-    Null and empty texts have no sentences (empty strings, zeros). Repeated rows are scanned each.
+    Null and empty texts have no sentences (empty strings, zeros). Repeated rows are scanned each, texts of any length whole.
+    Other columns are not read, an empty table gives an empty one.
     """
     text = text_of(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), identifiers(text).alias("ids"))

@@ -25,6 +25,21 @@ def gnu(work, license, version, marks=(":", ",")):
     )
 
 
+def bsd(holder):
+    clauses = [
+        "Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the "
+        "documentation\n   and/or other materials provided with the distribution.",
+    ]
+    if holder:
+        clauses.append(
+            f"Neither the name of {holder} nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+            "   this software without specific prior written permission."
+        )
+    head = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    return head + "\n\n".join(f"{n}. {c}" for n, c in enumerate(clauses, start=1)) + "\n"
+
+
 GPL, LGPL, AGPL = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
 NOTICES = [
     ("// SPDX-License-Identifier: MIT\nint main() {}", "MIT"),
@@ -60,6 +75,20 @@ NOTICES = [
         "public domain worldwide. This software is distributed without any warranty.\n\nYou should have received a copy of the CC0 Public Domain "
         "Dedication along\nwith this software.", "CC0-1.0",
     ),
+    (bsd("Google Inc."), "BSD-3-Clause"),
+    (bsd("the University of Somewhere, Dept. of\n   Things"), "BSD-3-Clause"),
+    (bsd("the copyright holder"), "BSD-3-Clause"),
+    (bsd(None), "BSD-2-Clause"),
+    ("# This file is licensed under the MIT license.\nimport os", "MIT"),
+    ("Distributed under the terms of the MIT license", "MIT"),
+    ("Words.\nReleased under the Apache-2.0 license.\nWords.", "Apache-2.0"),
+    ("This software is available under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ('name: thing\nlicense: MIT\nversion: 1', "MIT"),
+    ('{\n  "license": "x",\n# License: "Apache-2.0"\n', "Apache-2.0"),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)", "BSL-1.0"),
+    ("// SPDX-License-Identifier: Zlib\n", "Zlib"),
+    ("// SPDX-License-Identifier: EPL-2.0 OR BSL-1.0\n", "BSL-1.0,EPL-2.0"),
+    ("It was released under MIT rules and neither the name nor the place is known. Licensed under the mittens license", ""),
     ("Ordinary words about free software: you may like it. With v. 2 or without.", ""),
 ]
 
