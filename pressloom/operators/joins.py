@@ -22,13 +22,33 @@ def _bytes(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(size.cast("long"), F.lit(0))
 
 
+def _row_bytes(lookup: DataFrame) -> Column:
+    return sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in lookup.schema), F.lit(0))
+
+
 def fits_broadcast(lookup: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when ``lookup`` is small in rows and in bytes; looks at one row more than allowed and no further."""
-    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in lookup.schema), F.lit(0))
-    rows, size = lookup.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    rows, size = lookup.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(_row_bytes(lookup)), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 
+def frequent_keys(lookup: DataFrame, counts: DataFrame, key: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(``key``): the keys of most rows, as many as can be broadcast with their rows of ``lookup``; every other key has
+    fewer rows than any of them. ``counts``: (``key``, n), a table. What is left joins without a salt: no key of it is large.
+
+    The driver gets a row per distinct ``n``, at most the root of twice their sum.
+    """
+    widest = lookup.agg(F.max(_row_bytes(lookup))).first()[0] or 1
+    room = min(max_rows, max_bytes // widest)
+    least, taken = None, 0
+    for n, keys in sorted(counts.groupBy("n").agg(F.count("*")).collect(), reverse=True):
+        taken += keys
+        if taken > room:
+            break
+        least = n
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least).select(key)
+
+
 def lookup_join(
     big: DataFrame, lookup: DataFrame, key: str, salt_by: str, how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

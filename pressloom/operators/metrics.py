@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -16,12 +17,14 @@ from pyspark.sql import types as T
 
 from pressloom.functions import fixed_values as V
 from pressloom.functions import tokens as K
-from pressloom.functions.lambdas import explode_once, inline_once, let, posexplode_once
+from pressloom.functions.lambdas import explode_once, let, posexplode_once
 from pressloom.functions.stemming import stem_tokens
 from pressloom.functions.vectors import cosine, dot, sparse_dot, unit
-from pressloom.operators.joins import fits_broadcast, lookup_join
+from pressloom.operators.joins import fits_broadcast, frequent_keys
 from pressloom.operators.tfidf import tfidf_features
+from pressloom.operators.token_lookup import known_terms, rare_rows, rare_type, rare_vectors, term_arrays, token_arrays
 from pressloom.operators.token_vectors import embed_pairs
+from pressloom.session import write_and_read
 
 
 def f_measure(overlap: Column, generated_size: Column, reference_size: Column) -> Column:
@@ -159,57 +162,54 @@ def _greedy_match(gen: np.ndarray, gen_count: np.ndarray, ref: np.ndarray, ref_c
     return precision / gen_count.sum(), float(best_ref @ ref_count / ref_count.sum())
 
 
-def _match_by_dictionary(df: DataFrame, vectors: DataFrame, g: Column, r: Column) -> DataFrame:
-    table = vectors.select("token", "vector").toPandas()
-    index = {token: i for i, token in enumerate(table["token"])}
-    shared = df.sparkSession.sparkContext.broadcast((index, np.vstack(table["vector"]) if index else np.zeros((0, 1))))
-
-    @F.pandas_udf(_MATCH_TYPE)
-    def match(g_tokens: pd.Series, g_tf: pd.Series, r_tokens: pd.Series, r_tf: pd.Series) -> pd.DataFrame:
-        known, matrix = shared.value
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    matrix = matrix.astype("float64")
+    length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return matrix / np.where(length == 0, 1.0, length)
 
-        def side(tokens, counts):
-            hits = [(known[t], c) for t, c in zip(tokens, counts) if t in known]
-            return matrix[[i for i, _ in hits]], np.array([c for _, c in hits], dtype="float64")
 
-        rows = [_greedy_match(*side(a, n), *side(b, m)) for a, n, b, m in zip(g_tokens, g_tf, r_tokens, r_tf)]
-        return pd.DataFrame(rows, columns=["p", "r"])
+def _match_rows(df: DataFrame, vectors: DataFrame, rare: Column) -> DataFrame:
+    """Add ``_m`` from the term counts ``_g`` and ``_r``, the few ``vectors`` in every task and a row's own ``rare`` ones."""
+    tokens, matrix = token_arrays(vectors)
+    shared = df.sparkSession.sparkContext.broadcast((tokens, _unit_rows(matrix)))
 
-    counted = df.withColumns({"_g": K.term_counts(g), "_r": K.term_counts(r)})
-    arrays = [
-        F.transform(F.col(c), (lambda e: e["term"]) if f == "term" else (lambda e: e["tf"]))
-        for c in ("_g", "_r")
-        for f in ("term", "tf")
-    ]
-    return counted.withColumn("_m", match.asNondeterministic()(*arrays)).drop("_g", "_r")
+    @F.arrow_udf(_MATCH_TYPE)
+    def match(g: pa.Array, g_tf: pa.Array, r: pa.Array, r_tf: pa.Array, rare: pa.Array) -> pa.Array:
+        tokens, matrix = shared.value
+        known, own = [known_terms(tokens, *lists) for lists in ((g, g_tf), (r, r_tf))], rare_rows(rare)
 
+        def side(nr, i):
+            (at, counts), (mine, mine_counts) = known[nr](i), own(i, nr)
+            if not len(mine):
+                return matrix[at], counts
+            found = _unit_rows(mine)
+            return (np.vstack([matrix[at], found]), np.concatenate([counts, mine_counts])) if len(at) else (found, mine_counts)
 
-def _match_by_join(df: DataFrame, vectors: DataFrame, g: Column, r: Column, id_col: str) -> DataFrame:
-    """For a token table of any size: salted join on the token, then one group per pair."""
+        rows = np.array([_greedy_match(*side(0, i), *side(1, i)) for i in range(len(g))]).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["p", "r"])
 
-    @F.pandas_udf(_MATCH_TYPE)
-    def match(g_vec: pd.Series, g_tf: pd.Series, r_vec: pd.Series, r_tf: pd.Series) -> pd.DataFrame:
-        def side(vecs, counts):
-            return (np.stack(vecs) if len(vecs) else np.zeros((0, 1))), np.asarray(counts, dtype="float64")
+    # Each count is mentioned twice, so that the optimizer leaves it in a projection below the function, where it is made once.
+    return df.withColumn("_m", match.asNondeterministic()(*term_arrays("_g"), *term_arrays("_r"), rare))
 
-        rows = [_greedy_match(*side(a, n), *side(b, m)) for a, n, b, m in zip(g_vec, g_tf, r_vec, r_tf)]
-        return pd.DataFrame(rows, columns=["p", "r"])
 
-    sides = F.array(
-        F.struct(F.lit(True).alias("is_g"), K.term_counts(g).alias("terms")),
-        F.struct(F.lit(False).alias("is_g"), K.term_counts(r).alias("terms")),
-    )
-    long = inline_once(inline_once(df, [id_col], sides, "is_g"), [id_col, "is_g"], F.col("terms"), "term")
-    found = lookup_join(long.withColumnRenamed("term", "token"), vectors, "token", id_col, max_rows=0)
+def _match_by_dictionary(df: DataFrame, vectors: DataFrame, g: Column, r: Column) -> DataFrame:
+    counted = df.withColumns({"_g": K.term_counts(g), "_r": K.term_counts(r)})
+    none = F.array().cast(rare_type(vectors))
+    return _match_rows(counted, vectors, none).drop("_g", "_r")
 
-    def gather(is_g, field):
-        return F.collect_list(F.when(F.col("is_g") == is_g, F.col(field)))
 
-    per_pair = found.groupBy(id_col).agg(
-        *[gather(s, f).alias(f"_{n}_{f}") for s, n in ((True, "g"), (False, "r")) for f in ("vector", "tf")]
-    )
-    scored = per_pair.select(id_col, match.asNondeterministic()("_g_vector", "_g_tf", "_r_vector", "_r_tf").alias("_m"))
-    return df.join(scored, id_col, "left")
+def _match_by_parts(df: DataFrame, vectors: DataFrame, g: Column, r: Column, key: Column, max_dictionary: int) -> DataFrame:
+    """For a token table of any size: the vectors of the most frequent tokens go to every task as a dictionary. The others
+    are rare, so few (row, token) are left whose vectors are shuffled to their rows.
+    """
+    found = explode_once(df, [], F.concat(F.array_distinct(g), F.array_distinct(r)), "token").groupBy("token")
+    counts = write_and_read(found.agg(F.count("*").alias("n")), "row-counts")
+    frequent = write_and_read(frequent_keys(vectors, counts, "token", max_dictionary), "frequent")
+    sides = {"_key": key, "_g": K.term_counts(g), "_r": K.term_counts(r)}
+    rare = rare_vectors(df.select(*[c.alias(n) for n, c in sides.items()]), ("_g", "_r"), vectors, frequent, "_key")
+    dictionary = vectors.join(F.broadcast(frequent), "token", "left_semi")
+    keyed = df.withColumn("_key", key).join(rare, "_key", "left").withColumns({"_g": sides["_g"], "_r": sides["_r"]})
+    return _match_rows(keyed, dictionary, F.col("_rare")).drop("_g", "_r", "_key", "_rare")
 
 
 def with_soft_match(
@@ -221,12 +221,14 @@ def with_soft_match(
     Every token is matched to the most similar token of the other text. Tokens without a vector do not
     count; a text without any known token scores 0.
     """
-    vectors = token_vectors.select("token", unit(F.col("vector")).alias("vector"))
+    vectors = token_vectors.select("token", "vector")
     g, r = K.rouge_tokens(F.col(gen)), K.rouge_tokens(F.col(ref))
     if fits_broadcast(vectors, max_dictionary):
         matched = _match_by_dictionary(df, vectors, g, r)
     else:
-        matched = _match_by_join(df, vectors, g, r, id_col)
+        # Rows that share id and texts share their score; ids alone may repeat or be null.
+        texts = F.struct(F.col(id_col).alias("id"), F.col(gen).alias("g"), F.col(ref).alias("r"))
+        matched = _match_by_parts(df, vectors, g, r, F.unhex(F.sha2(F.to_json(texts), 256)), max_dictionary)
     p, q = F.coalesce("_m.p", F.lit(0.0)), F.coalesce("_m.r", F.lit(0.0))
     return matched.withColumns(
         {
