@@ -16,16 +16,17 @@ from pressloom.functions import fixed_values as V
 from pressloom.functions import tokens as K
 from pressloom.functions.lambdas import explode_once, inline_once, let
 from pressloom.operators import svd
-from pressloom.operators.joins import lookup_join
+from pressloom.operators.joins import BROADCAST_ROWS, fits_broadcast, frequent_keys, lookup_join
+from pressloom.operators.token_lookup import known_terms, term_arrays, token_arrays
 from pressloom.session import staged, write_and_read
 
 WINDOW = 5
 CONTEXTS = 20_000
 
 
-def token_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(token, n): occurrences over all texts, counted in the row first."""
-    counts = explode_once(texts, [], K.term_counts(K.rouge_tokens(F.col(text))), "t")
+def token_counts(texts: DataFrame, text: str, terms: Column | None = None) -> DataFrame:
+    """(token, n): occurrences over all texts, counted in the row first; ``terms`` are its term counts where it has them."""
+    counts = explode_once(texts, [], K.term_counts(K.rouge_tokens(F.col(text))) if terms is None else terms, "t")
     return counts.groupBy(F.col("t.term").alias("token")).agg(F.sum("t.tf").alias("n"))
 
 
@@ -109,13 +110,38 @@ def weigh_tokens(token_vectors: DataFrame, counts: DataFrame, a: float = 1e-3) -
     return token_vectors.select("token", "vector").join(weighed, "token")
 
 
-def _sums(df: DataFrame, text: str, weighed: DataFrame, id_col: str) -> DataFrame:
-    """(id, vector): the weighted mean of a text's known tokens."""
-    long = inline_once(df, [id_col], K.term_counts(K.rouge_tokens(F.col(text))), "term").withColumnRenamed("term", "token")
-    # A token in a third of all rows meets a broadcast or salted table; the sums are combined before their shuffle.
-    known = lookup_join(long, weighed, "token", id_col)
-    scaled = F.transform("vector", lambda x: x.cast("double") * F.col("weight") * F.col("tf"))
-    sums = known.groupBy(id_col).agg(vector_to_array(Summarizer.sum(array_to_vector(scaled))).alias("_s"), F.sum("tf").alias("_n"))
+def _known_sums(texts: DataFrame, scaled: DataFrame) -> Column:
+    """Struct (s, n) of a row: the sum of its tokens' vectors in ``scaled``, and their number. ``scaled`` goes to every task."""
+    shared = texts.sparkSession.sparkContext.broadcast(token_arrays(scaled))
+
+    @F.arrow_udf("s array<double>, n long")
+    def add_up(terms: pa.Array, tf: pa.Array) -> pa.Array:
+        tokens, matrix = shared.value
+        known, sums, n = known_terms(tokens, terms, tf), np.zeros((len(terms), matrix.shape[1])), np.zeros(len(terms), np.int64)
+        for i in range(len(terms)):
+            at, counts = known(i)
+            sums[i], n[i] = counts @ matrix[at], counts.sum()
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
+        return pa.StructArray.from_arrays([lists, pa.array(n)], ["s", "n"])
+
+    return add_up.asNondeterministic()(*term_arrays("terms"))
+
+
+def _sums(texts: DataFrame, weighed: DataFrame, counts: DataFrame, id_col: str, max_dictionary: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, vector): the weighted mean of a text's known tokens, of its term counts ``terms``.
+
+    Frequent tokens are added up inside the row; only the vectors of rare ones are shuffled, a few for each text.
+    """
+    scaled = weighed.select("token", F.transform("vector", lambda x: x.cast("double") * F.col("weight")).alias("vector"))
+    if fits_broadcast(scaled, max_dictionary):
+        sums = texts.select(id_col, _known_sums(texts, scaled).alias("_k")).select(id_col, "_k.*")
+    else:
+        frequent = write_and_read(frequent_keys(scaled, counts, "token", max_dictionary), "frequent")
+        sums = texts.select(id_col, _known_sums(texts, scaled.join(F.broadcast(frequent), "token", "left_semi")).alias("_k")).select(id_col, "_k.*")
+        long = inline_once(texts, [id_col], F.col("terms"), "term").withColumnRenamed("term", "token")
+        rare = long.join(F.broadcast(frequent), "token", "left_anti").join(scaled.where("vector is not null"), "token")
+        sums = sums.unionAll(rare.select(id_col, F.transform("vector", lambda x: x * F.col("tf")), F.col("tf").cast("long")))
+    sums = sums.where("n > 0").groupBy(id_col).agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("_s"), F.sum("n").alias("_n"))
     return sums.select(id_col, let(F.struct("_s", "_n"), lambda x: F.transform(x["_s"], lambda v: v / x["_n"])).alias("vector"))
 
 
@@ -157,10 +183,10 @@ def embed_pairs(
     ``id_col`` must tell the rows apart.
     """
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("text")) for s, c in (("g", gen), ("r", ref))])
-    texts = inline_once(df, [id_col], sides, "side").withColumn("key", F.struct(id_col, "side"))
-    with staged(texts, "sides") as both:
-        weighed = weigh_tokens(token_vectors, token_counts(both, "text"), a)
-        vectors = write_and_read(_sums(both, "text", weighed, "key"), "text-vectors")
+    texts = inline_once(df, [id_col], sides, "side")
+    texts = texts.select(F.struct(id_col, "side").alias("key"), K.term_counts(K.rouge_tokens(F.col("text"))).alias("terms"))
+    with staged(texts, "sides") as both, staged(token_counts(both, "", F.col("terms")), "token-counts") as counts:
+        vectors = write_and_read(_sums(both, weigh_tokens(token_vectors, counts, a), counts, "key"), "text-vectors")
         known = vectors.select("key.*", _without(F.col("vector"), common_direction(vectors)).alias("vector"))
     picked = [F.max(F.when(F.col("side") == s, F.col("vector"))).alias(c) for s, c in (("g", "generated_vec"), ("r", "target_vec"))]
     return known.groupBy(id_col).agg(*picked)

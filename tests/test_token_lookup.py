@@ -1,8 +1,10 @@
 """Token tables beyond what every task can hold: frequent tokens as a dictionary, the vectors of rare ones to their rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from pressloom.operators import metrics
+from pressloom.functions import tokens as K
+from pressloom.operators import metrics, token_vectors
 from pressloom.operators.joins import frequent_keys
 
 NAMES = ["bertscore_p", "bertscore_r", "bertscore_f1"]
@@ -46,3 +48,20 @@ def test_only_vectors_of_rare_tokens_are_shuffled(spark):
     entries = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in entries  # the frequent ones leave before the vectors are joined
     assert "_salt" not in entries  # and no copies of the table are made
+
+
+def test_text_vectors_are_the_same_with_rare_tokens_joined(spark):
+    rows = [(i, a) for i, (a, _) in enumerate(_texts())] + [(90, "unknown"), (91, None), (3, "w01 w28")]
+    texts = spark.createDataFrame(rows, "id long, text string").select("id", K.term_counts(K.rouge_tokens(F.col("text"))).alias("terms"))
+    counts = token_vectors.token_counts(texts, "", F.col("terms"))
+    weighed = token_vectors.weigh_tokens(_table(spark), counts)
+    sums = lambda limit: token_vectors._sums(texts, weighed, counts, "id", limit).orderBy("id").collect()
+    whole = sums(100)
+    assert [r["id"] for r in whole] == list(range(40))
+    known = {r["token"]: np.array(r["vector"]) * r["weight"] for r in weighed.collect()}
+    words = [w for i, t in rows if i == 3 for w in t.split()]
+    assert np.allclose(whole[3]["vector"], sum(known[w] for w in words) / len(words))
+    for limit in (0, 4):
+        parts = sums(limit)
+        assert [r["id"] for r in parts] == list(range(40))
+        assert np.allclose([r["vector"] for r in whole], [r["vector"] for r in parts])
