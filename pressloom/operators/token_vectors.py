@@ -111,16 +111,25 @@ def weigh_tokens(token_vectors: DataFrame, counts: DataFrame, a: float = 1e-3) -
 
 
 def _known_sums(texts: DataFrame, scaled: DataFrame) -> Column:
-    """Struct (s, n) of a row: the sum of its tokens' vectors in ``scaled``, and their number. ``scaled`` goes to every task."""
-    shared = texts.sparkSession.sparkContext.broadcast(token_arrays(scaled))
+    """Struct (s, n) of a row: the sum of its tokens' vectors in ``scaled``, and their number. ``scaled`` goes to every task.
+
+    A token with several vectors counts with each of them, as in a join.
+    """
+    tokens, matrix = token_arrays(scaled)
+    names = tokens.to_pylist()
+    first = np.array([i for i, name in enumerate(names) if i == 0 or name != names[i - 1]], dtype=np.int64)
+    if len(first):
+        matrix = np.add.reduceat(matrix, first, axis=0)
+    times = np.diff(first, append=len(names))
+    shared = texts.sparkSession.sparkContext.broadcast((tokens.take(pa.array(first)), matrix, times))
 
     @F.arrow_udf("s array<double>, n long")
     def add_up(terms: pa.Array, tf: pa.Array) -> pa.Array:
-        tokens, matrix = shared.value
+        tokens, matrix, times = shared.value
         known, sums, n = known_terms(tokens, terms, tf), np.zeros((len(terms), matrix.shape[1])), np.zeros(len(terms), np.int64)
         for i in range(len(terms)):
             at, counts = known(i)
-            sums[i], n[i] = counts @ matrix[at], counts.sum()
+            sums[i], n[i] = counts @ matrix[at], counts @ times[at]
         lists = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
         return pa.StructArray.from_arrays([lists, pa.array(n)], ["s", "n"])
 
