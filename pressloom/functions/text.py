@@ -44,7 +44,7 @@ def normalize_unicode(c: Column) -> Column:
 
 
 def remove_special_chars(c: Column) -> Column:
-    return F.regexp_replace(c, V.SPECIAL_CHAR, " ")
+    return F.regexp_replace(c, V.SPECIAL_CHAR_SPELT, " ")
 
 
 def preprocess_text(c: Column) -> Column:
