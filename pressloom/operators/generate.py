@@ -32,19 +32,24 @@ def central_sentence() -> Generator:
     without words of its own gives ''. Spark's part is the batching; a language model takes this one's place.
     """
     ignored = frozenset(prompt_words())
-
-    def words(text: str) -> list[str]:
-        return [w for w in re.findall(r"\w{2,}", text.lower()) if w not in ignored]
+    find_words, find_sentences = re.compile(r"\w{2,}").findall, re.compile(V.SENTENCE).findall
 
     def answer(prompt: str) -> str:
-        counts, best, best_score = Counter(words(prompt)), "", 0
+        words, sentences = [], []  # each sentence's words are looked for once, for the counts and for its score
         for line in prompt.split("\n"):
-            if re.search(V.META_LINE, line):
-                continue
-            for sentence in re.findall(V.SENTENCE, re.sub(V.ARTICLE_LABEL, "", line)):
-                score = sum(counts[w] for w in set(words(sentence)))
-                if score > best_score:
-                    best, best_score = sentence, score
+            body = "" if re.search(V.META_LINE, line) else re.sub(V.ARTICLE_LABEL, "", line)
+            words += find_words(line[: len(line) - len(body)].lower())
+            for sentence in find_sentences(body):
+                sentences.append((sentence, find_words(sentence.lower())))
+                words += sentences[-1][1]
+        # A capital sigma is lower-cased by what surrounds it, in the whole prompt.
+        counts, best, best_score = Counter(find_words(prompt.lower()) if "\u03a3" in prompt else words), "", 0
+        for w in ignored & counts.keys():
+            counts[w] = 0
+        for sentence, found in sentences:
+            score = sum(map(counts.__getitem__, set(found)))
+            if score > best_score:
+                best, best_score = sentence, score
         return re.sub(r"\s+", " ", best).strip()
 
     return lambda texts: [answer(t) for t in texts]

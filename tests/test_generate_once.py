@@ -1,10 +1,14 @@
 """Answers that are kept: one model call per distinct prompt, and a job that goes on where it was ended."""
 
+import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from pressloom.functions import fixed_values as V
+from pressloom.operators import generate
 from pressloom.operators.generate import generate_batch, generate_once
 
 SCHEMA = "id int, prompt_text string, generated_text string"
@@ -71,3 +75,24 @@ def test_no_rows_no_calls(spark, asked, tmp_path):
     log = tmp_path / "calls"
     assert generate_once(asked.limit(0), str(tmp_path / "answers"), factory=recorder(log)).collect() == []
     assert not log.exists()
+
+
+def test_central_sentence_scores_as_if_every_text_were_tokenised_by_itself():
+    """The words of a sentence are looked for once; final sigmas and labels must not change what is counted."""
+    ignored = set(generate.prompt_words())
+    words = lambda text: [w for w in re.findall(r"\w{2,}", text.lower()) if w not in ignored]
+
+    def plain(prompt):
+        counts, best, best_score = Counter(words(prompt)), "", 0
+        for line in prompt.split("\n"):
+            if not re.search(V.META_LINE, line):
+                for sentence in re.findall(V.SENTENCE, re.sub(V.ARTICLE_LABEL, "", line)):
+                    score = sum(counts[w] for w in set(words(sentence)))
+                    if score > best_score:
+                        best, best_score = sentence, score
+        return re.sub(r"\s+", " ", best).strip()
+
+    rng = random.Random(5)
+    parts = ["alpha", "Beta", "ΟΔΟΣ", "ΟΔΟΣ.Α", "İstan", "x", "the", ". ", "! ", "\n", "\nHeadline: ", "\nTone: ", "\nBody: ", "gamma_1", "?", "Body"]
+    texts = ["", "...", *(" ".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(500))]
+    assert generate.central_sentence()(texts) == [plain(t) for t in texts]
