@@ -25,8 +25,10 @@ CONTEXTS = 20_000
 
 
 def token_counts(texts: DataFrame, text: str, terms: Column | None = None) -> DataFrame:
-    """(token, n): occurrences over all texts, counted in the row first; ``terms`` are its term counts where it has them."""
-    counts = explode_once(texts, [], K.term_counts(K.rouge_tokens(F.col(text))) if terms is None else terms, "t")
+    """(token, n): occurrences over all texts; ``terms`` are the row's term counts where it has them."""
+    if terms is None:
+        return explode_once(texts, [], K.rouge_tokens(F.col(text)), "token").groupBy("token").agg(F.count("*").alias("n"))
+    counts = explode_once(texts, [], terms, "t")
     return counts.groupBy(F.col("t.term").alias("token")).agg(F.sum("t.tf").alias("n"))
 
 
@@ -57,21 +59,47 @@ def context_table(counts: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     return top.select(F.col("token").alias("term"), (F.row_number().over(Window.orderBy("token")) - 1).alias("term_id"))
 
 
+def pair_rows(pairs: DataFrame, counts: DataFrame, contexts: DataFrame, min_count: int = 2) -> DataFrame:
+    """(token, row_n, entries) of tokens that occur ``min_count`` times: (term_id, n) of their pairs with known contexts.
+
+    A row has at most as many entries as there are contexts. The pairs are read once and shuffled once.
+    """
+    kept = lookup_join(pairs, contexts.withColumnRenamed("term", "context"), "context", "token")
+    rows = kept.groupBy("token").agg(F.sum("n").alias("row_n"), F.sort_array(F.collect_list(F.struct("term_id", "n"))).alias("entries"))
+    return rows.join(counts.where(F.col("n") >= min_count).select("token"), "token", "left_semi")
+
+
+def ppmi_rows(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(token, features) of written ``pair_rows``: (term_id, n, weight) of the pairs above chance, in term_id order."""
+    columns = inline_once(rows, [], F.col("entries"), "term_id").groupBy("term_id").agg(F.sum("n").alias("column_n"))
+    columns = contexts.select("term_id").join(F.broadcast(columns), "term_id", "left")  # at most a row for each context
+    in_order = F.sort_array(F.collect_list(F.struct("term_id", "column_n")))
+    found = columns.agg(F.struct(in_order["term_id"].alias("ids"), in_order["column_n"].alias("n"), F.sum("column_n").alias("total")))
+
+    def ratio(e, x):
+        column_n = F.get(x["c"]["n"], e["term_id"] - F.get(x["c"]["ids"], F.lit(0)))
+        return e["n"].cast("double") * x["c"]["total"] / (x["row_n"].cast("double") * column_n)
+
+    def above(x):
+        rated = F.transform(x["entries"], lambda e: F.struct(e["term_id"].alias("term_id"), e["n"].alias("n"), ratio(e, x).alias("ratio")))
+        kept = F.filter(rated, lambda e: e["ratio"] > 1)
+        return F.transform(kept, lambda e: F.struct(e["term_id"].alias("term_id"), e["n"].alias("n"), F.log(e["ratio"]).alias("weight")))
+
+    # In a projection of its own, because the analyzer wants no subquery inside a lambda function.
+    with_columns = rows.withColumn("_c", found.scalar())
+    return with_columns.select("token", let(F.struct(F.col("_c").alias("c"), "row_n", "entries"), above).alias("features"))
+
+
 def ppmi(pairs: DataFrame, counts: DataFrame, contexts: DataFrame, min_count: int = 2) -> DataFrame:
     """(token, term_id, context, n, ppmi) of all pairs above chance: tokens that occur ``min_count`` times, known contexts.
 
     ``ppmi`` is ln(n * all / (n of the token * n of the context)) with sums over the pairs that are kept.
+    ``contexts`` are numbered without gaps, as by ``context_table``.
     """
-    frequent = counts.where(F.col("n") >= min_count).select("token")
-    kept = pairs.join(frequent, "token", "left_semi")
-    kept = lookup_join(kept, contexts.withColumnRenamed("term", "context"), "context", "token")
-    with_row = kept.join(kept.groupBy("token").agg(F.sum("n").alias("row_n")), "token")
-    columns = kept.groupBy("context").agg(F.sum("n").alias("column_n"))  # at most a row for each context
-    total = kept.agg(F.sum("n").alias("total")).scalar()
-    whole = lookup_join(with_row, columns, "context", "token").withColumn("total", total)
-    beyond_chance = F.col("n").cast("double") * F.col("total") / (F.col("row_n").cast("double") * F.col("column_n"))
-    above = whole.withColumn("ratio", beyond_chance).where("ratio > 1")
-    return above.select("token", "term_id", "context", "n", F.log("ratio").alias("ppmi"))
+    rows = write_and_read(pair_rows(pairs, counts, contexts, min_count), "pair-rows")
+    above = inline_once(ppmi_rows(rows, contexts), ["token"], F.col("features"), "term_id")
+    named = lookup_join(above, contexts.withColumnRenamed("term", "context"), "term_id", "token")
+    return named.select("token", "term_id", "context", "n", F.col("weight").alias("ppmi"))
 
 
 def fit_token_vectors(
@@ -85,11 +113,10 @@ def fit_token_vectors(
     no tokens. With no tokens at all the table is empty.
     """
     spark = texts.sparkSession
-    with staged(token_counts(texts, text), "token-counts") as counts, staged(cooccurrences(texts, text, window), "pairs") as pairs:
-        with staged(context_table(counts, contexts), "contexts") as known:
-            entries = ppmi(pairs, counts, known, min_count)
-            entry = F.struct(F.col("term_id"), F.col("ppmi").alias("weight"))
-            rows = entries.groupBy("token").agg(F.sort_array(F.collect_list(entry)).alias("features"))
+    with staged(token_counts(texts, text), "token-counts") as counts, staged(context_table(counts, contexts), "contexts") as known:
+        with staged(pair_rows(cooccurrences(texts, text, window), counts, known, min_count), "pair-rows") as pairs:
+            entry = lambda e: F.struct(e["term_id"].alias("term_id"), e["weight"].alias("weight"))
+            rows = ppmi_rows(pairs, known).select("token", F.transform("features", entry).alias("features"))
             rows = counts.where(F.col("n") >= min_count).select("token").join(rows, "token", "left")
             rows = rows.withColumn("features", F.coalesce("features", F.array().cast(rows.schema["features"].dataType)))
             with staged(rows, "ppmi-rows") as features:
