@@ -39,8 +39,9 @@ def build_index(documents: DataFrame, path: str, doc_id: str = "doc_id", block:
     if block < 1 or block & (block - 1):
         raise ValueError("block must be a power of two")
     heaviest = F.array_max(F.transform("features", lambda e: F.struct(e["weight"].alias("w"), e["term_id"].alias("t"))))
-    rows = documents.where(F.size("features") > 0).select(F.col(doc_id).alias("doc_id"), heaviest.alias("lead"), "features")
-    rows = rows.sortWithinPartitions("lead.t", F.desc("lead.w"), "doc_id").withColumn("place", F.monotonically_increasing_id())
+    # A filter on computed features would make them twice: documents without any take the last places and leave no posting.
+    rows = documents.select(F.col(doc_id).alias("doc_id"), heaviest.alias("lead"), "features")
+    rows = rows.sortWithinPartitions(F.asc_nulls_last("lead.t"), F.desc("lead.w"), "doc_id").withColumn("place", F.monotonically_increasing_id())
     rows = rows.select(
         F.shiftright("place", block.bit_length() - 1).alias("block"), F.col("place").bitwiseAND(F.lit(block - 1)).cast("int").alias("slot"),
         "doc_id", F.transform("features", lambda e: F.struct(e["term_id"].alias("term_id"), e["weight"].alias("weight"))).alias("entries"),

@@ -115,16 +115,20 @@ def tfidf_features(
         return _joined_features(df, counts, vocabulary, id_col, out)
 
     def look_up(table):
+        def slot(c):
+            return F.get(table, F.pmod(F.xxhash64(c["term"]), F.lit(_HASH_SLOTS)).cast("int"))
+
         def find(c):
-            slot = F.get(table, F.pmod(F.xxhash64(c["term"]), F.lit(_HASH_SLOTS)).cast("int"))
             return F.transform(
-                F.filter(slot, lambda e: e["term"] == c["term"]),
+                F.filter(slot(c), lambda e: e["term"] == c["term"]),
                 lambda e: F.struct(
                     e["term_id"].alias("term_id"), e["term"].alias("term"), c["tf"].alias("tf"), e["idf"].alias("idf")
                 ),
             )
 
-        return F.flatten(F.transform(counts, find))
+        # Most terms are unknown; arrays are made for the others only.
+        known = F.filter(counts, lambda c: F.exists(slot(c), lambda e: e["term"] == c["term"]))
+        return F.flatten(F.transform(known, find))
 
     # The subquery sits in a projection of its own because the analyzer wants none inside a lambda function;
     # the optimizer merges the two projections, so the table is a constant and never part of a row.

@@ -11,6 +11,7 @@ from pressloom.functions import fixed_values as V
 from pressloom.functions import text as X
 from pressloom.functions import tokens as K
 from pressloom.functions import vectors as VX
+from pressloom.functions.counted import uni_and_bigram_counts
 from pressloom.functions.lambdas import explode_once, posexplode_once, rounded
 from pressloom.operators import clean, generate, metrics, profile, prompts, report, search_index, split, svd, tfidf
 from pressloom.operators import token_vectors as token_space
@@ -431,7 +432,8 @@ def d13_enrich_split(spark, d):
 
 def d14_tfidf_search(spark, d):
     """Documents are tokenised once; vocabulary, features and the index come from their written term counts."""
-    counted = views.table(spark, d, "documents").select("doc_id", K.term_counts(K.tfidf_terms(F.col("text"))).alias("counts"))
+    words = K.remove_stop_words(K.word_tokens(F.col("text")))
+    counted = views.table(spark, d, "documents").select("doc_id", uni_and_bigram_counts(words).alias("counts"))
     counts, no_text = F.col("counts"), F.lit("")
     with staged(counted, "counts", small_groups=True) as documents:
         vocabulary = write_and_read(tfidf.fit_vocabulary(documents, no_text, counts=counts), "vocabulary")
